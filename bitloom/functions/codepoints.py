@@ -1,0 +1,121 @@
+"""Arrow strings as flat numpy arrays of code points, and hashes over folded code points.
+
+Everything works on one batch of texts at a time; a batch is cut into chunks of bounded size, so that very long
+texts cost memory in proportion to the longest single text only.
+"""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+
+P31 = np.uint64((1 << 31) - 1)
+BASES = (np.uint64(1_103_515_245), np.uint64(1_812_433_253))
+
+
+def chunks(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Half-open row ranges whose texts have at most ``limit`` code points together (or are one text)."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > limit:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def flatten(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts one after the other, and the length of each text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return points, np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+
+
+@lru_cache(maxsize=1)
+def fold_table() -> np.ndarray:
+    """For each code point its lower-case letter or digit, or 0 if it is to be skipped."""
+    table = np.zeros(sys.maxunicode + 1, dtype=np.uint32)
+    for c in range(sys.maxunicode + 1):
+        ch = chr(c)
+        if ch.isalnum():
+            table[c] = ord(ch.lower()[0])
+    return table
+
+
+@lru_cache(maxsize=1)
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter (Unicode L)."""
+    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2^31-1; grown by doubling and kept."""
+    have = _powers.get(int(base), np.ones(1, dtype=np.uint64))
+    while len(have) < n:
+        step = have[-1] * base % P31
+        have = np.concatenate([have, have * step % P31])
+    _powers[int(base)] = have
+    return have[:n]
+
+
+def kept(points: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Folded code points that are not skipped, and how many of them each text has."""
+    folded = fold_table()[points]
+    keep = folded != 0
+    ends = np.concatenate([[0], np.cumsum(keep)])
+    bounds = np.concatenate([[0], np.cumsum(lens)])
+    return folded[keep], np.diff(ends[bounds])
+
+
+def polynomial_hashes(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A 62-bit hash (two polynomials modulo 2^31-1) of each run of ``counts`` values."""
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    at = np.arange(len(values), dtype=np.int64) - np.repeat(bounds[:-1], counts)
+    out = np.zeros(len(counts), dtype=np.uint64)
+    v = values.astype(np.uint64) + np.uint64(1)
+    for base in BASES:
+        terms = v * powers(base, int(counts.max(initial=0)) + 1)[at] % P31
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        out = (out << np.uint64(31)) | ((total[bounds[1:]] - total[bounds[:-1]]) % P31)
+    return out.astype(np.int64)
+
+
+def folded_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each text reduced to lower-case letters and digits, and whether it has a letter.
+
+    The reduced string itself is never built: each code point goes through the skip-and-fold table straight into
+    the sums of the polynomials. None counts as the empty text.
+    """
+    hashes, letters = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=bool)]
+    texts = [t or "" for t in texts]
+    for a, b in chunks(texts):
+        points, lens = flatten(texts[a:b])
+        hashes.append(polynomial_hashes(*kept(points, lens)))
+        seen = np.concatenate([[0], np.cumsum(letter_table()[points])])
+        letters.append(np.diff(seen[np.concatenate([[0], np.cumsum(lens)])]) > 0)
+    return np.concatenate(hashes), np.concatenate(letters)
+
+
+def equal_folded(left: list[str], right: list[str]) -> np.ndarray:
+    """Whether the texts of each row are equal when both are reduced to lower-case letters and digits.
+
+    The two-pointer comparison: both texts are walked at once, each pointer skipping what the table skips; all rows
+    of a chunk take their steps together.
+    """
+    out = [np.zeros(0, dtype=bool)]
+    left, right = [t or "" for t in left], [t or "" for t in right]
+    for a, b in chunks([x if len(x) > len(y) else y for x, y in zip(left, right, strict=True)]):
+        x, nx = kept(*flatten(left[a:b]))
+        y, ny = kept(*flatten(right[a:b]))
+        same = nx == ny
+        px, py = x[np.repeat(same, nx)], y[np.repeat(same, ny)]
+        wrong = np.concatenate([[0], np.cumsum(px != py)])
+        bounds = np.concatenate([[0], np.cumsum(np.where(same, nx, 0))])
+        out.append(same & (np.diff(wrong[bounds]) == 0))
+    return np.concatenate(out)

@@ -1,0 +1,68 @@
+"""A full-text index (Burrows-Wheeler) over sequences of word numbers, searched backwards for many patterns at once.
+
+The alphabet is large (words), so ranks come from the sorted places of each symbol in the transformed text instead
+of from bit vectors: one binary search answers a rank query, and numpy answers all queries of a batch together.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """Suffix array by prefix doubling."""
+    rank, n, width = text.astype(np.int64), len(text), 1
+    while True:
+        behind = np.full(n, 0, dtype=np.int64)
+        behind[: max(0, n - width)] = rank[width:] + 1
+        key = rank * (int(behind.max(initial=0)) + 1) + behind
+        order = np.argsort(key, kind="stable")
+        step = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)]) if n else np.zeros(0, dtype=np.int64)
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = step
+        width *= 2
+        if n == 0 or step[-1] == n - 1 or width >= n:
+            return order
+
+
+class FMIndex:
+    """Index of sequences; each is closed by a separator, so no match crosses a border."""
+
+    def __init__(self, symbols: np.ndarray, begins: np.ndarray, places: np.ndarray, owner: np.ndarray):
+        self.symbols, self.begins, self.places, self.owner = symbols, begins, places, owner
+        self.n = len(owner)
+        symbol_of = np.repeat(np.arange(len(begins) - 1, dtype=np.int64), np.diff(begins))
+        self.keys = symbol_of * (self.n + 1) + places
+
+    @classmethod
+    def build(cls, values: np.ndarray, counts: np.ndarray) -> FMIndex:
+        """values: the symbols of all sequences, one after the other; counts: the length of each sequence."""
+        symbols, codes = np.unique(values, return_inverse=True)
+        text = np.zeros(len(values) + len(counts), dtype=np.int64)
+        ends = np.cumsum(counts + 1) - 1
+        inner = np.ones(len(text), dtype=bool)
+        inner[ends] = False
+        text[inner] = codes + 1
+        order = suffix_order(text)
+        before = text[order - 1]
+        by_symbol = np.argsort(before, kind="stable")
+        begins = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(symbols) + 1))])
+        owner = np.repeat(np.arange(len(counts)), counts + 1)[order]
+        return cls(symbols, begins.astype(np.int64), by_symbol.astype(np.int64), owner.astype(np.int32))
+
+    def encode(self, values: np.ndarray) -> np.ndarray:
+        """Symbol numbers, 0 for values that the index lacks."""
+        if not len(self.symbols):
+            return np.zeros(len(values), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.symbols, values), len(self.symbols) - 1)
+        return np.where(self.symbols[at] == values, at + 1, 0)
+
+    def start(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix intervals of one-symbol patterns; empty for code 0."""
+        return self.begins[codes], np.where(codes > 0, self.begins[codes + 1], self.begins[codes])
+
+    def extend(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One step of backward search: intervals of the patterns with one more symbol in front."""
+        low2 = np.searchsorted(self.keys, codes * (self.n + 1) + low)
+        high2 = np.searchsorted(self.keys, codes * (self.n + 1) + high)
+        return low2, np.where(codes > 0, high2, low2)

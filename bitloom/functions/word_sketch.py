@@ -1,0 +1,45 @@
+"""Counts of all words of a corpus in a table of fixed size.
+
+Every row is counted; words share 2^bits cells by hash, so the table that goes to the driver and to the tasks has a
+fixed size, whatever the corpus. A cell's count is at least that of each of its words.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bitloom.functions.words import mixed, word_hashes, words
+
+#: 2^20 cells: 4 MB as counts, 1 MB as levels.
+BITS = 20
+
+
+def word_counts(texts: DataFrame, columns: list[str], bits: int = BITS, once_a_row: bool = False) -> np.ndarray:
+    """Counts by cell over all rows and the given text columns; with once_a_row the number of rows with the word."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, dtype=np.int64)
+        for batch in batches:
+            hashes: list[int] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [w for t in row for w in words(t)]
+                hashes += word_hashes(set(found) if once_a_row else found)
+            if hashes:
+                total += np.bincount(mixed(np.array(hashes, dtype=np.int64), bits), minlength=1 << bits)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
+
+    table = texts.select(*columns).mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << bits, dtype=np.int64)
+    out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Twice the binary logarithm of each count as one byte: how common a word is, at a fixed size."""
+    return np.minimum(255, np.round(2 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)

@@ -1,0 +1,194 @@
+"""Splits that keep all records of related sources together."""
+
+from __future__ import annotations
+
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from bitloom.functions.text import folded_name
+from bitloom.operators.skew import join_by_counts
+from bitloom.scratch import materialise
+
+# fixed values: entries that name nobody
+PLACEHOLDERS = ("", "unknown", "n/a", "-", "ismeretlen", "various")
+
+#: Labels are counted in so many hashed classes, so that what an annealing task holds is bounded.
+LABEL_CLASSES = 64
+#: Components of one annealing block.
+BLOCK = 4000
+
+
+def name_or_null(c: Column) -> Column:
+    """Lower case without outer blanks; null for entries that name nobody."""
+    n = folded_name(c)
+    return F.when(~n.isin(*PLACEHOLDERS), n)
+
+
+def file_key(c: Column) -> Column:
+    """File name in lower case, without directories and outer blanks."""
+    return folded_name(F.regexp_replace(folded_name(c), r"^.*[/\\]", ""))
+
+
+def source_groups(catalog: DataFrame) -> DataFrame:
+    """``source_id``, ``group_id``: sources that share an author or a series, also through others; the smallest id.
+
+    Every row of a source counts, also repeated ones. Rows without source_id are left out. Connected components of
+    the graph of sources and names: in each round every name takes the smallest label of its sources and every
+    source the smallest of its names, and labels are then replaced by the labels of the sources they name (pointer
+    jumping), so a chain of n sources takes about log n rounds. Names are aggregated with partial sums, so a name of
+    a third of all sources is no hot spot. Each round is cut by a table in the shared folder.
+    """
+    rows = catalog.where("source_id is not null")
+    names = [F.concat(F.lit(k + ":"), name_or_null(F.col(k))) for k in ("author", "series")]
+    links = rows.select("source_id", F.explode(F.array(*names)).alias("name")).where("name is not null").distinct()
+    links = materialise(links)
+    shared = links.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    n_links = links.count()
+    links = materialise(join_by_counts(links, shared, ["name"], "n", n_links))
+    labels = materialise(rows.select("source_id").distinct().withColumn("group_id", F.col("source_id")))
+    while True:
+        seen = links.join(labels, "source_id")
+        by_name = seen.groupBy("name").agg(F.min("group_id").alias("m"), F.count(F.lit(1)).alias("n"))
+        by_source = join_by_counts(links.drop("n"), by_name, ["name"], "n", n_links).groupBy("source_id").agg(F.min("m").alias("m"))
+        step = labels.join(by_source, "source_id", "left").select("source_id", F.col("group_id").alias("old"), F.least("group_id", F.coalesce("m", "group_id")).alias("mid"))
+        step = materialise(step)
+        # pointer jumping: the label's own label; many sources may point to one, so their labels are grouped first
+        pointed = step.groupBy("mid").agg(F.count(F.lit(1)).alias("n"))
+        target = pointed.join(step.select(F.col("source_id").alias("mid"), F.col("mid").alias("jump")), "mid")
+        new = materialise(join_by_counts(step, target, ["mid"], "n", n_links + 1).select("source_id", F.least("mid", "jump").alias("group_id"), "old"))
+        changed = not new.where("group_id <> old").isEmpty()
+        labels = new.select("source_id", "group_id")
+        if not changed:
+            return labels
+
+
+def source_keys(catalog: DataFrame) -> DataFrame:
+    """``source_id``, ``domain_key``, ``file_key`` of each source, once."""
+    return (
+        catalog.select("source_id", folded_name(F.col("domain")).alias("domain_key"), file_key(F.col("source_file")).alias("file_key"))
+        .where("source_id is not null and domain_key is not null and file_key is not null")
+        .groupBy("domain_key", "file_key")
+        .agg(F.min("source_id").alias("source_id"))
+    )
+
+
+def _keyed(records: DataFrame) -> DataFrame:
+    return records.withColumn("domain_key", folded_name(F.col("domain"))).withColumn("file_key", file_key(F.col("source_file")))
+
+
+def broken_groups(records: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``group_id``, ``source_id`` of the groups whose records stand in more than one split; sources with records only.
+
+    Records are counted by (domain, file, split) before anything is joined.
+    """
+    used = _keyed(records).where("domain_key is not null and file_key is not null").groupBy("domain_key", "file_key", "split").agg(F.count(F.lit(1)).alias("n"))
+    by_source = used.join(source_keys(catalog), ["domain_key", "file_key"]).join(source_groups(catalog), "source_id")
+    by_source = materialise(by_source.select("group_id", "source_id", "split"))
+    broken = by_source.groupBy("group_id").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi").select("group_id")
+    return by_source.select("group_id", "source_id").distinct().join(broken, "group_id", "left_semi")
+
+
+def anneal(sizes: np.ndarray, labels: np.ndarray, start: np.ndarray, targets: np.ndarray, seed: int, steps: int) -> tuple[np.ndarray, float]:
+    """Assignment of components to splits that brings the amounts near ``targets`` (splits x (1 + labels)).
+
+    A step moves one component or exchanges two; it is taken if the summed deviation falls, or with the probability
+    of the falling temperature. Returns the best assignment seen and its deviation.
+    """
+    rng = np.random.default_rng(seed)
+    n, k = len(sizes), len(targets)
+    weights = np.concatenate([sizes[:, None], labels * 0.5], axis=1).astype(np.float64)
+    goal = np.concatenate([targets[:, :1], targets[:, 1:] * 0.5], axis=1)
+    have = np.zeros_like(goal)
+    np.add.at(have, start, weights)
+    at, diff = start.copy(), have - goal
+    cost = best_cost = np.abs(diff).sum()
+    best, heat = at.copy(), max(1.0, weights[:, 0].mean() * 2)
+    for i in range(steps if n and k > 1 else 0):
+        t = heat * (1 - i / steps) ** 2 + 1e-9
+        a = int(rng.integers(n))
+        b = int(rng.integers(n)) if rng.random() < 0.5 else -1
+        old = at[a]
+        if b >= 0 and at[b] != old:
+            new, delta = at[b], weights[b] - weights[a]
+        else:
+            b, new, delta = -1, (old + 1 + int(rng.integers(k - 1))) % k, -weights[a]
+        change = np.abs(diff[old] + delta).sum() + np.abs(diff[new] - delta).sum() - np.abs(diff[old]).sum() - np.abs(diff[new]).sum()
+        if change < 0 or rng.random() < np.exp(-change / t):
+            diff[old] += delta
+            diff[new] -= delta
+            at[a] = new
+            if b >= 0:
+                at[b] = old
+            cost += change
+            if cost < best_cost - 1e-9:
+                best_cost, best = cost, at.copy()
+    return best, float(best_cost)
+
+
+def assign_splits(records: DataFrame, id_col: str, catalog: DataFrame, targets: DataFrame, seed: int = 7, replicas: int = 4, rounds: int = 2, steps: int = 6000) -> DataFrame:
+    """``id``, ``component``, ``new_split``: all records of related sources in one split, shares near the targets.
+
+    Components are the groups of source_groups; records that belong to no source, or to one that the catalog lacks,
+    are free and form LABEL_CLASSES * 16 small components by hash. The start is a hashed assignment. Components are
+    hashed into blocks of about BLOCK; each block is annealed by several replicas at once, the best is kept, and the
+    next round sees what the whole still lacks. Deviation counts records and records of each label (domain).
+    Targets with null or no positive share are left out.
+    """
+    spark = records.sparkSession
+    goals = [(r[0], r[1]) for r in targets.where("split is not null and target_share > 0").groupBy("split").agg(F.max("target_share")).orderBy("split").limit(1001).collect()]
+    if not goals or len(goals) > 1000:
+        raise ValueError("between 1 and 1000 splits with a positive share are needed")
+    names = [g[0] for g in goals]
+    shares = np.array([g[1] for g in goals]) / sum(g[1] for g in goals)
+    sources = source_keys(catalog).join(source_groups(catalog), "source_id").select("domain_key", "file_key", "group_id")
+    slim = _keyed(records.select(F.col(id_col).alias("id"), "domain", "source_file")).drop("domain", "source_file")
+    used = slim.where("domain_key is not null and file_key is not null").groupBy("domain_key", "file_key").agg(F.count(F.lit(1)).alias("n"))
+    table = used.join(sources, ["domain_key", "file_key"])
+    total = slim.count()
+    placed = join_by_counts(slim, table, ["domain_key", "file_key"], "n", total)
+    bound = placed.select("id", F.concat(F.lit("g"), "group_id").alias("component"), "domain_key")
+    free = slim.join(placed.select("id"), "id", "left_anti").select("id", F.concat(F.lit("f"), F.pmod(F.xxhash64("id"), F.lit(LABEL_CLASSES * 16))).alias("component"), "domain_key")
+    where = materialise(bound.unionByName(free))
+    label = F.pmod(F.xxhash64("domain_key"), F.lit(LABEL_CLASSES)).cast("int")
+    cells = where.groupBy("component", label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    comps = materialise(cells.groupBy("component").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("labels")))
+    n_blocks = max(1, -(-comps.count() // BLOCK))
+    edges = np.cumsum(shares)
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col("component")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    first = F.array_position(F.array(*[u < F.lit(float(e)) for e in edges[:-1]], F.lit(True)), True) - 1
+    state = comps.withColumn("at", first.cast("int")).withColumn("block", F.pmod(F.xxhash64("component"), F.lit(n_blocks)).cast("int"))
+
+    for turn in range(rounds):
+        state = materialise(state)
+        have = np.zeros((len(names), 1 + LABEL_CLASSES))
+        for r in state.groupBy("at").agg(F.sum("size").alias("n")).collect():
+            have[r["at"], 0] = r["n"]
+        for r in state.select("at", F.explode("labels").alias("label", "n")).groupBy("at", "label").agg(F.sum("n").alias("n")).collect():
+            have[r["at"], 1 + (r["label"] if r["label"] is not None else 0)] += r["n"]
+        lack = (shares[:, None] * have.sum(axis=0) - have) / n_blocks
+
+        def block_search(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("component").reset_index(drop=True)
+            lab = np.zeros((len(pdf), LABEL_CLASSES))
+            for i, m in enumerate(pdf["labels"]):
+                for key, n in dict(m).items():
+                    lab[i, int(key or 0)] += n
+            size, start = pdf["size"].to_numpy(np.float64), pdf["at"].to_numpy(np.int64)
+            now = np.zeros_like(lack)
+            np.add.at(now, start, np.concatenate([size[:, None], lab], axis=1))
+            replica = int(pdf["replica"].iloc[0])
+            at, cost = anneal(size, lab, start, now + lack, hash((seed, turn, replica, int(pdf["block"].iloc[0]))) & 0x7FFFFFFF, steps)
+            return pd.DataFrame({"block": pdf["block"], "replica": replica, "cost": cost, "component": pdf["component"], "new_at": at.astype(np.int32)})
+
+        many = state.withColumn("replica", F.explode(F.array(*map(F.lit, range(replicas)))))
+        tried = materialise(many.groupBy("block", "replica").applyInPandas(block_search, "block int, replica int, cost double, component string, new_at int"))
+        best = tried.groupBy("block").agg(F.min(F.struct("cost", "replica")).alias("b")).select("block", F.col("b.replica").alias("replica"))
+        state = state.join(tried.join(best, ["block", "replica"]).select("component", "new_at"), "component").withColumn("at", F.col("new_at")).drop("new_at")
+
+    final = state.select("component", F.element_at(F.array(*map(F.lit, names)), F.col("at") + 1).alias("new_split"), F.col("size").alias("n"))
+    return join_by_counts(where.select("id", "component"), final, ["component"], "n", total).select("id", "component", "new_split")
+
+

@@ -1,0 +1,129 @@
+"""A sample whose shares of the categories match targets, with a floor for small categories."""
+
+from __future__ import annotations
+
+import random
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bitloom.functions.text import folded_name
+from bitloom.operators.skew import prefix_cut, union_all
+
+#: The driver holds one number for each category of the targets; more targets than this are refused.
+MAX_TARGETS = 100_000
+
+
+def _deviation(counts: dict, wanted: dict) -> float:
+    return sum(abs(counts[c] - wanted[c]) for c in wanted)
+
+
+def swap_repair(available: dict, floors: dict, wanted: dict, size: int, rng: random.Random) -> dict:
+    """How many rows of each category to take, by repairing a random sample that keeps the floors.
+
+    available: rows that exist; floors: least number; wanted: number by the target share; size: size of the sample.
+    The start takes min(floor, available) of each category and fills up with rows drawn at random. Then rows are
+    exchanged between the signatures (here: categories) with the largest surplus and the largest lack, as many at a
+    time as lower the deviation, until no exchange lowers it.
+    """
+    take = {c: min(floors[c], available[c]) for c in wanted}
+    room = {c: available[c] - take[c] for c in wanted}
+    left = min(max(0, size - sum(take.values())), sum(room.values()))
+    # a random fill: shares of what is left, in random order, each by its part of the rest
+    rest = sum(room.values())
+    for c in sorted(room, key=lambda _: rng.random()):
+        if rest <= 0 or left <= 0:
+            break
+        mean, spread = left * room[c] / rest, (left * room[c] / rest * (1 - room[c] / rest)) ** 0.5
+        n = max(0, min(room[c], left, round(rng.gauss(mean, spread))), left - (rest - room[c]))
+        take[c] += n
+        left -= n
+        rest -= room[c]
+    while True:
+        over = max(wanted, key=lambda c: (min(take[c] - wanted[c], take[c] - min(floors[c], available[c])), c))
+        under = max(wanted, key=lambda c: (min(wanted[c] - take[c], available[c] - take[c]), c))
+        most = int(min(take[over] - wanted[over], take[over] - min(floors[over], available[over]), wanted[under] - take[under], available[under] - take[under]))
+        if over == under or most < 1:
+            # the last single row: worth it if the deviation falls
+            trial = dict(take)
+            trial[over] -= 1
+            trial[under] += 1
+            legal = trial[over] >= min(floors[over], available[over]) and trial[under] <= available[under] and over != under
+            if not legal or _deviation(trial, wanted) >= _deviation(take, wanted) - 1e-9:
+                break
+            take = trial
+            continue
+        take[over] -= most
+        take[under] += most
+    while True:  # rows without a counterpart: a floor above its target may push the total over the size
+        over = [c for c in wanted if take[c] > max(wanted[c], min(floors[c], available[c])) and sum(take.values()) > size]
+        if not over:
+            return take
+        take[max(over, key=lambda c: (take[c] - wanted[c], c))] -= 1
+
+
+def plan_quotas(records: DataFrame, category: str, targets: DataFrame, seed: int = 7) -> tuple[DataFrame, dict]:
+    """The report of all plans as a DataFrame, and the counts to take: {(plan, category): n}.
+
+    records are counted once by category (partial sums first); only the counts of categories that some plan names
+    come to the driver. Report columns: plan_id, category, target_share, min_rows, available, needed, taken, short.
+    ``short`` is true if the category has fewer records than the greater of its floor and its share of the sample.
+    Repeated target rows count once; a null category of a record belongs to no category, a target without a
+    category is left out; an empty table of records gives available 0 everywhere.
+    """
+    spark = records.sparkSession
+    named = targets.withColumn("_c", folded_name(F.col("domain"))).where("_c is not null and plan_id is not null").dropDuplicates(["plan_id", "_c"])
+    goals = named.select("plan_id", "domain", "_c", "target_share", "min_rows", "sample_share").limit(MAX_TARGETS + 1).collect()
+    if len(goals) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} targets")
+    counted = records.select(folded_name(F.col(category)).alias("_c")).where("_c is not null").groupBy("_c").count()
+    wanted_names = named.select("_c").distinct()
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    have = {r["_c"]: r["count"] for r in counted.join(F.broadcast(wanted_names), "_c", "left_semi").collect()}
+    take: dict[tuple[str, str], int] = {}
+    report = []
+    for plan in sorted({g["plan_id"] for g in goals}):
+        own = sorted((g for g in goals if g["plan_id"] == plan), key=lambda g: g["_c"])
+        share = next((g["sample_share"] for g in own if g["sample_share"] is not None), 0.0)
+        size = share * total
+        available = {g["_c"]: have.get(g["_c"], 0) for g in own}
+        floors = {g["_c"]: g["min_rows"] or 0 for g in own}
+        wanted = {g["_c"]: (g["target_share"] or 0.0) * size for g in own}
+        got = swap_repair(available, floors, wanted, round(size), random.Random(f"{seed}/{plan}"))
+        for g in own:
+            c = g["_c"]
+            needed = max(float(floors[c]), (g["target_share"] or 0.0) * share * total)
+            take[plan, c] = got[c]
+            report.append((plan, g["domain"], g["target_share"], g["min_rows"], available[c], needed, got[c], available[c] < needed))
+    schema = "plan_id string, domain string, target_share double, min_rows bigint, available bigint, needed double, taken bigint, short boolean"
+    return spark.createDataFrame(report, schema), take
+
+
+def quota_sample(records: DataFrame, id_col: str, category: str, targets: DataFrame, seed: int = 7) -> DataFrame:
+    """The samples of all plans: ``plan_id``, the id, the category. See plan_quotas for how many are taken.
+
+    Which rows of a category are taken is decided by a hash of plan and id: the cut is found from counts by range of
+    the hash, so no category, however large, is sorted in one task.
+    """
+    spark = records.sparkSession
+    _, take = plan_quotas(records, category, targets, seed)
+    rows = records.select(F.col(id_col), folded_name(F.col(category)).alias("category")).where("category is not null")
+    schema = "category string, _budget bigint"
+    parts = []
+    for plan in sorted({p for p, _ in take}):
+        budgets = spark.createDataFrame([(c, n) for (p, c), n in take.items() if p == plan], schema)
+        keyed = rows.withColumn("_key", F.xxhash64(F.lit(f"{seed}/{plan}"), F.col(id_col))).withColumn("_one", F.lit(1).cast("bigint"))
+        cut = prefix_cut(keyed, ["category"], "_key", "_one", budgets, "_budget")
+        parts.append(cut.select(F.lit(plan).alias("plan_id"), id_col, "category"))
+    if not parts:
+        return rows.select(F.lit("").alias("plan_id"), id_col, "category").limit(0)
+    return union_all(parts)
+
+
+def shortfalls(records: DataFrame, category: str, targets: DataFrame, seed: int = 7) -> DataFrame:
+    """The target rows that cannot be met."""
+    return plan_quotas(records, category, targets, seed)[0].where("short").select("plan_id", "domain")
+
+
+__all__: Sequence[str] = ("plan_quotas", "quota_sample", "shortfalls", "swap_repair")

@@ -1,0 +1,248 @@
+"""Records of evaluation splits that stand again, exactly or almost, in the training split."""
+
+from __future__ import annotations
+
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from bitloom.functions.fm_index import FMIndex
+from bitloom.functions.word_sketch import BITS, levels, word_counts
+from bitloom.functions.words import has_letter, mixed, word_hashes, words
+from bitloom.scratch import materialise
+
+#: Evaluation records of one shard of the index (about 40 MB for sentences).
+SHARD = 150_000
+#: Places that one step of the search looks up at once.
+STEP = 3_000_000
+PAD = np.int64(-1)
+
+
+def needed_pairs(n: np.ndarray) -> np.ndarray:
+    """How many neighbouring pairs of common words the prefixes of two matching sets share at least."""
+    return np.where(n >= 12, 3, np.where(n >= 8, 2, 1))
+
+
+def prefix_length(n: np.ndarray, share: float) -> np.ndarray:
+    """How many of the rarest words of a set of n words the search needs.
+
+    Let a set of n words have e words that the other lacks, and the two differ in d words in all, with o = n - e in
+    common. A Jaccard value of at least t means d <= (1/t - 1) * o. The first d + 1 + q common words (rarest first)
+    stand among the first e + d + 1 + q words and are cut by at most d other words of either set into d + 1 runs, so
+    at least q pairs of neighbours in both sets are in common. The length is the largest over all possible e.
+    """
+    ratio = 1 / share - 1
+    most = np.floor((1 - share) * n + 1e-9).astype(np.int64)
+    out = np.zeros(len(n), dtype=np.int64)
+    for e in range(int(most.max(initial=0)) + 1):
+        out = np.where(e <= most, np.maximum(out, e + np.floor(ratio * (n - e) + 1e-9).astype(np.int64)), out)
+    return np.minimum(n, out + 1 + 3)
+
+
+def word_sets(left: list[str | None], right: list[str | None], level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each record, rarest first, flat; their number; and which rows have a letter in both texts.
+
+    The order is one order for all records: by the word's level in the corpus, then by its hash.
+    """
+    rows = np.flatnonzero([has_letter(a) and has_letter(b) for a, b in zip(left, right, strict=True)])
+    flat: list[int] = []
+    counts = np.zeros(len(rows), dtype=np.int64)
+    for k, i in enumerate(rows):
+        own = set(words(left[i]))
+        own.update(words(right[i]))
+        flat += word_hashes(own)
+        counts[k] = len(own)
+    values = np.array(flat, dtype=np.int64)
+    row = np.repeat(np.arange(len(rows)), counts)
+    order = np.lexsort((values, level[mixed(values, BITS)], row))
+    return values[order], counts, rows
+
+
+def prefixes(values: np.ndarray, counts: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of each set that is indexed or searched; sets of one word get a pad to make a pair."""
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    size = prefix_length(counts, share) if len(counts) else counts
+    at = np.arange(len(values)) - np.repeat(begins[:-1], counts)
+    cut = values[at < np.repeat(size, counts)]
+    ends = np.cumsum(size)
+    lone = np.flatnonzero(counts == 1)
+    return np.insert(cut, ends[lone], PAD), size + (counts == 1)
+
+
+def common_counts(t: np.ndarray, e: np.ndarray, train: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Number of common words of train set t[i] and held-out set e[i]; sets as (flat word numbers, begins).
+
+    Word numbers are dense and below 2^31; the train numbers ascend within each set.
+    """
+    values, begins = train
+    keys = np.repeat(np.arange(len(begins) - 1, dtype=np.int64), np.diff(begins)) << 32 | values
+    sizes = np.diff(held[1])[e]
+    starts = np.repeat(held[1][:-1][e], sizes)
+    at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    wanted = np.repeat(t.astype(np.int64), sizes) << 32 | held[0][starts + at]
+    place = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    hit = (keys[place] == wanted) if len(keys) else np.zeros(len(wanted), dtype=bool)
+    total = np.concatenate([[0], np.cumsum(hit)])
+    return np.diff(total[np.concatenate([[0], np.cumsum(sizes)])])
+
+
+class Shard:
+    """One shard: the index over the prefixes of its sets, the sets themselves, and their keys."""
+
+    def __init__(self, index: FMIndex, vocabulary: np.ndarray, sets: np.ndarray, begins: np.ndarray, keys: list[bytes]):
+        self.index, self.vocabulary, self.sets, self.begins, self.keys = index, vocabulary, sets, begins, keys
+        self.sizes = np.diff(begins)
+
+    @classmethod
+    def build(cls, packed: list[bytes], keys: list[bytes], share: float) -> Shard:
+        counts = np.array([len(p) // 8 for p in packed], dtype=np.int64)
+        values = np.frombuffer(b"".join(packed), dtype=np.int64)
+        index = FMIndex.build(*prefixes(values, counts, share))
+        vocabulary, sets = np.unique(values, return_inverse=True)
+        return cls(index, vocabulary, sets.astype(np.int64), np.concatenate([[0], np.cumsum(counts)]), keys)
+
+    def dumps(self) -> bytes:
+        out = io.BytesIO()
+        i = self.index
+        np.savez_compressed(out, symbols=i.symbols, begins=i.begins, places=i.places.astype(np.uint32), owner=i.owner, vocabulary=self.vocabulary, sets=self.sets.astype(np.uint32), bounds=self.begins, keys=np.frombuffer(b"".join(self.keys), dtype="S16") if self.keys else np.zeros(0, dtype="S16"))
+        return out.getvalue()
+
+    @classmethod
+    def loads(cls, data: bytes) -> Shard:
+        z = np.load(io.BytesIO(data))
+        keys = z["keys"].tobytes()
+        index = FMIndex(z["symbols"], z["begins"], z["places"].astype(np.int64), z["owner"])
+        return cls(index, z["vocabulary"], z["sets"].astype(np.int64), z["bounds"], [keys[k : k + 16] for k in range(0, len(keys), 16)])
+
+    def search(self, values: np.ndarray, counts: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(train row, held-out set, common words, words matched by the index) of all pairs at or above ``share``."""
+        pattern, size = prefixes(values, counts, share)
+        row = np.repeat(np.arange(len(counts)), size)
+        codes = self.index.encode(pattern)
+        # backward search: each word is a pattern, then the word before it is put in front
+        front = np.flatnonzero((codes[1:] > 0) & (codes[:-1] > 0) & (row[1:] == row[:-1]))
+        low, high = self.index.start(codes[front + 1])
+        low, high = self.index.extend(codes[front], low, high)
+        alive = high > low
+        low, high, row = low[alive], high[alive], row[front[alive]]
+        if not len(low):
+            return
+        own_at = np.minimum(np.searchsorted(self.vocabulary, values), len(self.vocabulary) - 1)
+        dense = np.where(self.vocabulary[own_at] == values, own_at, (1 << 31) - 1)
+        owners = np.repeat(np.arange(len(counts)), counts)
+        order = np.lexsort((dense, owners))
+        train = (dense[order], np.concatenate([[0], np.cumsum(counts)]))
+        # rows in steps of bounded size; a row is never divided
+        found = np.bincount(row, weights=(high - low).astype(np.float64), minlength=len(counts)).cumsum()
+        step_of = (found[row] // STEP).astype(np.int64)
+        for begin, end in zip(*(lambda s: (s, [*s[1:], len(row)]))([0, *(np.flatnonzero(np.diff(step_of)) + 1)]), strict=True):
+            width = high[begin:end] - low[begin:end]
+            place = np.repeat(low[begin:end], width) + np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+            key = np.repeat(row[begin:end].astype(np.int64), width) << 32 | self.index.owner[place]
+            key, pairs = np.unique(key, return_counts=True)
+            t, e = key >> 32, key & 0xFFFFFFFF
+            n, m = counts[t], self.sizes[e]
+            fit = (pairs >= needed_pairs(n)) & (m >= share * n - 1e-9) & (n >= share * m - 1e-9)
+            t, e, n, m, pairs = t[fit], e[fit], n[fit], m[fit], pairs[fit]
+            common = common_counts(t, e, train, (self.sets, self.begins))
+            # in whole numbers where the share is a decimal: common / (n + m - common) >= share
+            good = common * 1_000_000 >= round(share * 1_000_000) * (n + m - common)
+            yield t[good], e[good], common[good], pairs[good]
+
+
+_loaded: dict[str, Shard] = {}
+
+
+def load_shard(uri: str) -> Shard:
+    """A shard from the shared folder; the last one is kept by the worker."""
+    if uri not in _loaded:
+        _loaded.clear()
+        fs, path = pyarrow.fs.FileSystem.from_uri(uri) if ":" in uri else (pyarrow.fs.LocalFileSystem(), uri)
+        _loaded[uri] = Shard.loads(pyarrow.parquet.read_table(path, filesystem=fs, columns=["payload"]).column(0)[0].as_py())
+    return _loaded[uri]
+
+
+def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_col: str, train: str = "train", share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Near-copies of evaluation records in training: (matches, members).
+
+    matches: ``train_id``, ``set_key``, ``common`` (words), ``jaccard``: one row for each training record and each
+    *distinct* evaluation word set that has at least ``share`` of the words of either in common. members:
+    ``set_key``, ``eval_id``: the evaluation records of each set; copies are thus not expanded. Records without a
+    letter in one of the texts, or with a null split, take part in nothing. The result is exact.
+
+    The evaluation splits are the stated query set. Their distinct word sets, rarest words first, are put into
+    Burrows-Wheeler indexes of at most about SHARD sets, written to the shared folder. Training is streamed through
+    backward search, without any shuffle: pairs of neighbouring words that a training set shares with an indexed set
+    are located, their spans merged and counted, and what has enough of them (see prefix_length: no match can have
+    fewer) is compared in full. "Rare" comes from counts over all rows in a table of fixed size.
+    """
+    spark = records.sparkSession
+    base = records.select(F.col(id_col).alias("id"), F.col(left).alias("a"), F.col(right).alias("b"), (F.col(split_col) == train).alias("is_train")).where("is_train is not null")
+    id_type = dict(base.dtypes)["id"]
+    level = levels(word_counts(base, ["a", "b"], once_a_row=True))
+    shared_level = spark.sparkContext.broadcast(level)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, counts, rows = word_sets(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shared_level.value)
+            ends = np.cumsum(counts)
+            packed = [values[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
+            keys = [xxhash.xxh3_128_digest(p) for p in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["id", "set_key", "words"])
+
+    held = materialise(base.where("not is_train").select("id", "a", "b").mapInArrow(keyed, f"id {id_type}, set_key binary, words binary"))
+    members = held.select("set_key", F.col("id").alias("eval_id"))
+    n_shards = max(1, -(-held.count() // SHARD))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("set_key")
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "payload": [Shard.build(list(pdf["words"]), list(pdf["set_key"]), share).dumps()]})
+
+    distinct = held.groupBy("set_key").agg(F.first("words").alias("words"))
+    sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("set_key"), F.lit(n_shards)).cast("int"))
+    index = materialise(sharded.groupBy("shard").applyInPandas(build, "shard int, payload binary"), "shard", partitions=n_shards)
+    files = sorted(index.select(F.input_file_name().alias("f")).distinct().toPandas()["f"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            values, counts, rows = word_sets(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shared_level.value)
+            for uri in files:
+                shard = load_shard(uri)
+                for t, e, common, matched in shard.search(values, counts, share):
+                    jaccard = common / np.maximum(1, counts[t] + shard.sizes[e] - common)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(rows[t])), pa.array([shard.keys[i] for i in e], pa.binary()), pa.array(common.astype(np.int64)), pa.array(jaccard.astype(np.float64)), pa.array(matched.astype(np.int64))],
+                        ["train_id", "set_key", "common", "jaccard", "matched"],
+                    )
+
+    schema = f"train_id {id_type}, set_key binary, common bigint, jaccard double, matched bigint"
+    matches = base.where("is_train").select("id", "a", "b").mapInArrow(stream, schema)
+    return matches, members
+
+
+def overlap_pairs(records: DataFrame, id_col: str, left: str, right: str, split_col: str, share: float = 0.8) -> DataFrame:
+    """Every pair of a training and an evaluation record at or above ``share``, the smaller id first."""
+    matches, members = split_overlap(records, id_col, left, right, split_col, share=share)
+    pairs = matches.join(members, "set_key")
+    return pairs.select(F.least("train_id", "eval_id").alias("pair_id_a"), F.greatest("train_id", "eval_id").alias("pair_id_b"), "train_id", "eval_id", "common", "jaccard")
+
+
+def overlap_report(records: DataFrame, id_col: str, left: str, right: str, split_col: str, source_col: str, share: float = 0.8) -> DataFrame:
+    """For each evaluation split and source: its records, how many overlap with training, and the overlapping pairs."""
+    pairs = materialise(overlap_pairs(records, id_col, left, right, split_col, share).select("eval_id"))
+    per = pairs.groupBy("eval_id").agg(F.count(F.lit(1)).alias("n"))
+    own = records.where(F.col(split_col) != "train").select(F.col(id_col).alias("eval_id"), F.col(split_col).alias("split"), F.col(source_col).alias("source"))
+    return (
+        own.join(per, "eval_id", "left")
+        .groupBy("split", "source")
+        .agg(F.count(F.lit(1)).alias("n_records"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+    )

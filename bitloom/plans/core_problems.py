@@ -1,0 +1,59 @@
+"""Queries of the core operators for training data, each over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bitloom.operators.format_dedup import collapse_formats, format_duplicates
+from bitloom.operators.group_split import assign_splits, broken_groups
+from bitloom.operators.quota_sample import plan_quotas, quota_sample, shortfalls
+from bitloom.operators.split_overlap import overlap_pairs, overlap_report
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap_pairs(_t(spark, sf, "hunglish_sampler"), "pair_id", "hun", "eng", "split").select("pair_id_a", "pair_id_b")
+
+
+def p2_report(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap_report(_t(spark, sf, "hunglish_sampler"), "pair_id", "hun", "eng", "split", "source_file")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    twins = format_duplicates(_t(spark, sf, "hunglish_sampler"), "pair_id", "hun", "eng")
+    return twins.select(F.col("rep").alias("pair_id_a"), F.col("id").alias("pair_id_b"))
+
+
+def p5_collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    return collapse_formats(_t(spark, sf, "hunglish_sampler"), "pair_id", "hun", "eng").select("pair_id", "n_copies")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return shortfalls(_t(spark, sf, "hunglish_sampler"), "domain", _t(spark, sf, "domain_target"))
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    return plan_quotas(_t(spark, sf, "hunglish_sampler"), "domain", _t(spark, sf, "domain_target"))[0]
+
+
+def p6_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return quota_sample(_t(spark, sf, "hunglish_sampler"), "pair_id", "domain", _t(spark, sf, "domain_target"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return broken_groups(_t(spark, sf, "hunglish_sampler"), _t(spark, sf, "source_catalog"))
+
+
+def p7_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return assign_splits(_t(spark, sf, "hunglish_sampler"), "pair_id", _t(spark, sf, "source_catalog"), _t(spark, sf, "split_target"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_collapsed, p6_found, p6_report, p6_sample, p7_found, p7_splits)}
