@@ -19,25 +19,35 @@ from bitloom.functions.words import mixed, word_hashes, words
 BITS = 20
 
 
-def word_counts(texts: DataFrame, columns: list[str], bits: int = BITS, once_a_row: bool = False) -> np.ndarray:
-    """Counts by cell over all rows and the given text columns; with once_a_row the number of rows with the word."""
+def cells(hashes: np.ndarray, bits: int = BITS, row: int = 0) -> np.ndarray:
+    """The cell of each hash in one row of the table: row 0 by the top bits, row 1 by the lowest."""
+    return mixed(hashes, bits) if row == 0 else hashes.astype(np.int64) & ((1 << bits) - 1)
+
+
+def word_counts(texts: DataFrame, columns: list[str], bits: int = BITS, once_a_row: bool = False, rows: int = 1) -> np.ndarray:
+    """Counts by row and cell over all rows and text columns; with once_a_row the number of rows with the word.
+
+    One row of cells, or two with independent places: the smaller of a word's two counts is close to its own.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
+        total = np.zeros(rows << bits, dtype=np.int64)
         for batch in batches:
             hashes: list[int] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = [w for t in row for w in words(t)]
+            for texts_of_row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [w for t in texts_of_row for w in words(t)]
                 hashes += word_hashes(set(found) if once_a_row else found)
             if hashes:
-                total += np.bincount(mixed(np.array(hashes, dtype=np.int64), bits), minlength=1 << bits)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
+                h = np.array(hashes, dtype=np.int64)
+                for r in range(rows):
+                    total += np.bincount(cells(h, bits, r) + (r << bits), minlength=rows << bits)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
     table = texts.select(*columns).mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << bits, dtype=np.int64)
+    out = np.zeros(rows << bits, dtype=np.int64)
     out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    return out
+    return out.reshape(rows, -1) if rows > 1 else out
 
 
 def levels(counts: np.ndarray) -> np.ndarray:

@@ -57,3 +57,43 @@ def p7_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_report, p5_found, p5_collapsed, p6_found, p6_report, p6_sample, p7_found, p7_splits)}
+
+#: The same results in SQL.
+ORACLES: dict[str, str] = {
+    "p2_found": r"""
+WITH r AS (SELECT pair_id, split = 'train' AS tr,
+    list_distinct(regexp_extract_all(lower(hun || ' ' || eng), '[\p{L}\p{N}]+')) AS ws
+  FROM hunglish_sampler WHERE regexp_matches(hun, '\p{L}') AND regexp_matches(eng, '\p{L}')),
+w AS (SELECT pair_id, tr, len(ws) AS n, unnest(ws) AS word FROM r),
+c AS (SELECT a.pair_id AS x, b.pair_id AS y, a.n, b.n AS m, count(*) AS k
+  FROM w a JOIN w b ON a.word = b.word AND a.tr AND NOT b.tr GROUP BY ALL)
+SELECT least(x, y) AS pair_id_a, greatest(x, y) AS pair_id_b FROM c WHERE k * 10 >= (n + m - k) * 8
+""",
+    "p5_found": r"""
+WITH r AS (SELECT pair_id, regexp_replace(lower(hun), '[^\p{L}\p{N}]', '', 'g') AS a, regexp_replace(lower(eng), '[^\p{L}\p{N}]', '', 'g') AS b
+  FROM hunglish_sampler WHERE regexp_matches(hun, '\p{L}') AND regexp_matches(eng, '\p{L}')),
+g AS (SELECT pair_id, min(pair_id) OVER (PARTITION BY least(a, b), greatest(a, b)) AS first_id FROM r)
+SELECT first_id AS pair_id_a, pair_id AS pair_id_b FROM g WHERE first_id <> pair_id
+""",
+    "p6_found": r"""
+WITH d AS (SELECT lower(trim(domain)) AS domain, count(*) AS n FROM hunglish_sampler WHERE domain IS NOT NULL GROUP BY 1),
+t AS (SELECT sum(n) AS total FROM d)
+SELECT plan_id, p.domain FROM domain_target p CROSS JOIN t LEFT JOIN d ON d.domain = lower(trim(p.domain))
+WHERE coalesce(d.n, 0) < greatest(min_rows, target_share * sample_share * total)
+""",
+    "p7_found": r"""
+WITH RECURSIVE names AS (
+  SELECT DISTINCT source_id, k || lower(trim(v)) AS name FROM (
+    SELECT source_id, 'a' AS k, author AS v FROM source_catalog UNION ALL SELECT source_id, 's', series FROM source_catalog)
+  WHERE v IS NOT NULL AND lower(trim(v)) NOT IN ('', 'unknown', 'n/a', '-', 'ismeretlen', 'various')),
+pairs AS (SELECT DISTINCT x.source_id AS a, y.source_id AS b FROM names x JOIN names y USING (name)
+  UNION SELECT source_id, source_id FROM source_catalog),
+reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+grp AS (SELECT a AS source_id, min(b) AS group_id FROM reach GROUP BY a),
+src AS (SELECT DISTINCT source_id, lower(trim(source_file)) AS f, lower(trim(domain)) AS d FROM source_catalog),
+rec AS (SELECT DISTINCT lower(trim(domain)) AS d, regexp_replace(lower(trim(source_file)), '^.*[/\\]', '') AS f, split FROM hunglish_sampler),
+used AS (SELECT DISTINCT group_id, source_id, split FROM rec JOIN src USING (f, d) JOIN grp USING (source_id)),
+bad AS (SELECT group_id FROM used GROUP BY 1 HAVING count(DISTINCT split) > 1)
+SELECT DISTINCT group_id, source_id FROM used SEMI JOIN bad USING (group_id)
+""",
+}
