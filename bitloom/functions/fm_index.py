@@ -54,8 +54,9 @@ class FMIndex:
         """Symbol numbers, 0 for values that the index lacks."""
         if not len(self.symbols):
             return np.zeros(len(values), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.symbols, values), len(self.symbols) - 1)
-        return np.where(self.symbols[at] == values, at + 1, 0)
+        some, back = np.unique(values, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.symbols, some), len(self.symbols) - 1)
+        return np.where(self.symbols[at] == some, at + 1, 0)[back]
 
     def start(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals of one-symbol patterns; empty for code 0."""
@@ -63,6 +64,9 @@ class FMIndex:
 
     def extend(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One step of backward search: intervals of the patterns with one more symbol in front."""
-        low2 = np.searchsorted(self.keys, codes * (self.n + 1) + low)
-        high2 = np.searchsorted(self.keys, codes * (self.n + 1) + high)
+        at = codes * (self.n + 1)
+        order = np.argsort(at + low)  # neighbouring questions touch neighbouring memory
+        low2, high2 = np.empty(len(codes), dtype=np.int64), np.empty(len(codes), dtype=np.int64)
+        low2[order] = np.searchsorted(self.keys, (at + low)[order])
+        high2[order] = np.searchsorted(self.keys, (at + high)[order])
         return low2, np.where(codes > 0, high2, low2)

@@ -15,72 +15,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions.fm_index import FMIndex
-from bitloom.functions.word_sketch import BITS, levels, word_counts
-from bitloom.functions.words import has_letter, mixed, word_hashes, words
+from bitloom.functions.words import has_letter, word_hashes, words
 from bitloom.scratch import materialise
 
-#: Evaluation records of one shard of the index (about 40 MB for sentences).
+#: Distinct evaluation sets of one shard of the index (about 100 MB for sentences).
 SHARD = 150_000
 #: Places that one step of the search looks up at once.
 STEP = 3_000_000
+#: Pairs of neighbours beyond the least number that are searched; a candidate needs as many matches more.
+EXTRA = 2
 PAD = np.int64(-1)
 
 
-def needed_pairs(n: np.ndarray) -> np.ndarray:
-    """How many neighbouring pairs of common words the prefixes of two matching sets share at least."""
-    return np.where(n >= 12, 3, np.where(n >= 8, 2, 1))
+def breakable(n: np.ndarray, share: float) -> np.ndarray:
+    """How many pairs of neighbours of a set of n words a match may lack at most.
 
-
-def prefix_length(n: np.ndarray, share: float) -> np.ndarray:
-    """How many of the rarest words of a set of n words the search needs.
-
-    Let a set of n words have e words that the other lacks, and the two differ in d words in all, with o = n - e in
-    common. A Jaccard value of at least t means d <= (1/t - 1) * o. The first d + 1 + q common words (rarest first)
-    stand among the first e + d + 1 + q words and are cut by at most d other words of either set into d + 1 runs, so
-    at least q pairs of neighbours in both sets are in common. The length is the largest over all possible e.
+    The words of all sets stand in one order. If a set has e words that the other lacks, and the other f words that
+    this one lacks, each of the e spoils two pairs of neighbours at most and each of the f one (the gap it falls
+    into). A Jaccard value of at least t means e + f <= (1/t - 1) * (n - e) and e <= (1 - t) * n. The result is the
+    largest 2e + f.
     """
-    ratio = 1 / share - 1
-    most = np.floor((1 - share) * n + 1e-9).astype(np.int64)
+    ratio, most = 1 / share - 1, np.floor((1 - share) * n + 1e-9).astype(np.int64)
     out = np.zeros(len(n), dtype=np.int64)
     for e in range(int(most.max(initial=0)) + 1):
         out = np.where(e <= most, np.maximum(out, e + np.floor(ratio * (n - e) + 1e-9).astype(np.int64)), out)
-    return np.minimum(n, out + 1 + 3)
+    return out
 
 
-def word_sets(left: list[str | None], right: list[str | None], level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of each record, rarest first, flat; their number; and which rows have a letter in both texts.
-
-    The order is one order for all records: by the word's level in the corpus, then by its hash.
-    """
+def word_sets(left: list[str | None], right: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each record as hashes in ascending order, flat; their number; and the rows with a letter in both texts."""
     rows = np.flatnonzero([has_letter(a) and has_letter(b) for a, b in zip(left, right, strict=True)])
     flat: list[int] = []
     counts = np.zeros(len(rows), dtype=np.int64)
     for k, i in enumerate(rows):
         own = set(words(left[i]))
         own.update(words(right[i]))
-        flat += word_hashes(own)
-        counts[k] = len(own)
-    values = np.array(flat, dtype=np.int64)
-    row = np.repeat(np.arange(len(rows)), counts)
-    order = np.lexsort((values, level[mixed(values, BITS)], row))
-    return values[order], counts, rows
+        hashes = word_hashes(own)
+        hashes.sort()
+        flat += hashes
+        counts[k] = len(hashes)
+    return np.array(flat, dtype=np.int64), counts, rows
 
 
-def prefixes(values: np.ndarray, counts: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """The prefix of each set that is indexed or searched; sets of one word get a pad to make a pair."""
-    begins = np.concatenate([[0], np.cumsum(counts)])
-    size = prefix_length(counts, share) if len(counts) else counts
-    at = np.arange(len(values)) - np.repeat(begins[:-1], counts)
-    cut = values[at < np.repeat(size, counts)]
-    ends = np.cumsum(size)
-    lone = np.flatnonzero(counts == 1)
-    return np.insert(cut, ends[lone], PAD), size + (counts == 1)
+def padded(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets with a pad after each single word, so that every set has a pair of neighbours."""
+    ends = np.cumsum(counts)
+    return np.insert(values, ends[counts == 1], PAD), counts + (counts == 1)
 
 
 def common_counts(t: np.ndarray, e: np.ndarray, train: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Number of common words of train set t[i] and held-out set e[i]; sets as (flat word numbers, begins).
 
-    Word numbers are dense and below 2^31; the train numbers ascend within each set.
+    Word numbers are those of the index (below 2^31); the train numbers ascend within each set.
     """
     values, begins = train
     keys = np.repeat(np.arange(len(begins) - 1, dtype=np.int64), np.diff(begins)) << 32 | values
@@ -95,24 +81,23 @@ def common_counts(t: np.ndarray, e: np.ndarray, train: tuple[np.ndarray, np.ndar
 
 
 class Shard:
-    """One shard: the index over the prefixes of its sets, the sets themselves, and their keys."""
+    """One shard: the index over its sets, the sets themselves, and their keys."""
 
-    def __init__(self, index: FMIndex, vocabulary: np.ndarray, sets: np.ndarray, begins: np.ndarray, keys: list[bytes]):
-        self.index, self.vocabulary, self.sets, self.begins, self.keys = index, vocabulary, sets, begins, keys
+    def __init__(self, index: FMIndex, sets: np.ndarray, begins: np.ndarray, keys: list[bytes]):
+        self.index, self.sets, self.begins, self.keys = index, sets, begins, keys
         self.sizes = np.diff(begins)
 
     @classmethod
-    def build(cls, packed: list[bytes], keys: list[bytes], share: float) -> Shard:
+    def build(cls, packed: list[bytes], keys: list[bytes]) -> Shard:
         counts = np.array([len(p) // 8 for p in packed], dtype=np.int64)
         values = np.frombuffer(b"".join(packed), dtype=np.int64)
-        index = FMIndex.build(*prefixes(values, counts, share))
-        vocabulary, sets = np.unique(values, return_inverse=True)
-        return cls(index, vocabulary, sets.astype(np.int64), np.concatenate([[0], np.cumsum(counts)]), keys)
+        index = FMIndex.build(*padded(values, counts))
+        return cls(index, index.encode(values), np.concatenate([[0], np.cumsum(counts)]), keys)
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
         i = self.index
-        np.savez_compressed(out, symbols=i.symbols, begins=i.begins, places=i.places.astype(np.uint32), owner=i.owner, vocabulary=self.vocabulary, sets=self.sets.astype(np.uint32), bounds=self.begins, keys=np.frombuffer(b"".join(self.keys), dtype="S16") if self.keys else np.zeros(0, dtype="S16"))
+        np.savez_compressed(out, symbols=i.symbols, begins=i.begins, places=i.places.astype(np.uint32), owner=i.owner, sets=self.sets.astype(np.uint32), bounds=self.begins, keys=np.frombuffer(b"".join(self.keys), dtype="S16") if self.keys else np.zeros(0, dtype="S16"))
         return out.getvalue()
 
     @classmethod
@@ -120,26 +105,31 @@ class Shard:
         z = np.load(io.BytesIO(data))
         keys = z["keys"].tobytes()
         index = FMIndex(z["symbols"], z["begins"], z["places"].astype(np.int64), z["owner"])
-        return cls(index, z["vocabulary"], z["sets"].astype(np.int64), z["bounds"], [keys[k : k + 16] for k in range(0, len(keys), 16)])
+        return cls(index, z["sets"].astype(np.int64), z["bounds"], [keys[k : k + 16] for k in range(0, len(keys), 16)])
 
     def search(self, values: np.ndarray, counts: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(train row, held-out set, common words, words matched by the index) of all pairs at or above ``share``."""
-        pattern, size = prefixes(values, counts, share)
+        pattern, size = padded(values, counts)
         row = np.repeat(np.arange(len(counts)), size)
         codes = self.index.encode(pattern)
         # backward search: each word is a pattern, then the word before it is put in front
-        front = np.flatnonzero((codes[1:] > 0) & (codes[:-1] > 0) & (row[1:] == row[:-1]))
+        front = np.flatnonzero(row[1:] == row[:-1])
         low, high = self.index.start(codes[front + 1])
         low, high = self.index.extend(codes[front], low, high)
-        alive = high > low
-        low, high, row = low[alive], high[alive], row[front[alive]]
+        row, width = row[front], high - low
+        # of all pairs of a set only the rarest are located, as many as a match cannot lack, and a few more
+        pairs_of = size - 1
+        lacking = breakable(counts, share)
+        extra = np.minimum(EXTRA, pairs_of - lacking)
+        order = np.lexsort((width, row))
+        place = np.arange(len(order)) - np.repeat(np.cumsum(pairs_of) - pairs_of, pairs_of)
+        chosen = np.sort(order[(place < np.repeat(lacking + extra, pairs_of)) & (width[order] > 0)])
+        low, high, row = low[chosen], high[chosen], row[chosen]
         if not len(low):
             return
-        own_at = np.minimum(np.searchsorted(self.vocabulary, values), len(self.vocabulary) - 1)
-        dense = np.where(self.vocabulary[own_at] == values, own_at, (1 << 31) - 1)
-        owners = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((dense, owners))
-        train = (dense[order], np.concatenate([[0], np.cumsum(counts)]))
+        own = codes[pattern != PAD]
+        known = own > 0
+        train = (own[known], np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(counts)])])
         # rows in steps of bounded size; a row is never divided
         found = np.bincount(row, weights=(high - low).astype(np.float64), minlength=len(counts)).cumsum()
         step_of = (found[row] // STEP).astype(np.int64)
@@ -150,7 +140,7 @@ class Shard:
             key, pairs = np.unique(key, return_counts=True)
             t, e = key >> 32, key & 0xFFFFFFFF
             n, m = counts[t], self.sizes[e]
-            fit = (pairs >= needed_pairs(n)) & (m >= share * n - 1e-9) & (n >= share * m - 1e-9)
+            fit = (pairs >= extra[t]) & (m >= share * n - 1e-9) & (n >= share * m - 1e-9)
             t, e, n, m, pairs = t[fit], e[fit], n[fit], m[fit], pairs[fit]
             common = common_counts(t, e, train, (self.sets, self.begins))
             # in whole numbers where the share is a decimal: common / (n + m - common) >= share
@@ -178,21 +168,19 @@ def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_
     ``set_key``, ``eval_id``: the evaluation records of each set; copies are thus not expanded. Records without a
     letter in one of the texts, or with a null split, take part in nothing. The result is exact.
 
-    The evaluation splits are the stated query set. Their distinct word sets, rarest words first, are put into
-    Burrows-Wheeler indexes of at most about SHARD sets, written to the shared folder. Training is streamed through
-    backward search, without any shuffle: pairs of neighbouring words that a training set shares with an indexed set
-    are located, their spans merged and counted, and what has enough of them (see prefix_length: no match can have
-    fewer) is compared in full. "Rare" comes from counts over all rows in a table of fixed size.
+    The evaluation splits are the stated query set. Their distinct word sets, words in the order of their hashes, are
+    put into Burrows-Wheeler indexes of about SHARD sets, written to the shared folder. Training is streamed through
+    backward search without any shuffle: of the pairs of neighbouring words of a training set the rarest in the index
+    are located, as many as every match must share some of (see breakable); spans are merged and counted by set, and
+    what has enough of them is compared in full. So words that all records share are never looked up.
     """
     spark = records.sparkSession
     base = records.select(F.col(id_col).alias("id"), F.col(left).alias("a"), F.col(right).alias("b"), (F.col(split_col) == train).alias("is_train")).where("is_train is not null")
     id_type = dict(base.dtypes)["id"]
-    level = levels(word_counts(base, ["a", "b"], once_a_row=True))
-    shared_level = spark.sparkContext.broadcast(level)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, counts, rows = word_sets(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shared_level.value)
+            values, counts, rows = word_sets(batch.column(1).to_pylist(), batch.column(2).to_pylist())
             ends = np.cumsum(counts)
             packed = [values[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
             keys = [xxhash.xxh3_128_digest(p) for p in packed]
@@ -204,7 +192,7 @@ def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("set_key")
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "payload": [Shard.build(list(pdf["words"]), list(pdf["set_key"]), share).dumps()]})
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "payload": [Shard.build(list(pdf["words"]), list(pdf["set_key"])).dumps()]})
 
     distinct = held.groupBy("set_key").agg(F.first("words").alias("words"))
     sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("set_key"), F.lit(n_shards)).cast("int"))
@@ -214,7 +202,7 @@ def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            values, counts, rows = word_sets(batch.column(1).to_pylist(), batch.column(2).to_pylist(), shared_level.value)
+            values, counts, rows = word_sets(batch.column(1).to_pylist(), batch.column(2).to_pylist())
             for uri in files:
                 shard = load_shard(uri)
                 for t, e, common, matched in shard.search(values, counts, share):
