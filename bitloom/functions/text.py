@@ -119,7 +119,7 @@ def main_label(c: Column) -> Column:
 
 def iso_code(c: Column) -> Column:
     """The part after the last double underscore."""
-    return F.regexp_extract(c, r"(?:^|.*__)(.*)$", 1)
+    return F.substring_index(c, "__", -1)
 
 
 def key_form(c: Column) -> Column:

@@ -39,7 +39,8 @@ def format_duplicates(records: DataFrame, id_col: str, left: str, right: str) ->
     """One row for each record that repeats an earlier one: ``id``, ``rep`` (the smallest id of its set).
 
     Two records are alike if their two texts, reduced to lower-case letters and digits, are the same two strings in
-    either order. Records without a letter in one of the texts (null, empty, signs only) are like no other.
+    either order. Records without a letter in one of the texts (null, empty, signs only) are like no other. Repeated
+    rows of one id are one record.
 
     The texts are streamed through a skip-and-fold table into polynomial hashes; only ids and hashes are grouped (with
     partial sums, so a group of a third of all rows is one row for each map task). Then each repeated record is
@@ -63,16 +64,16 @@ def format_duplicates(records: DataFrame, id_col: str, left: str, right: str) ->
         found = good if found is None else found.unionByName(good)
         failed = checked.where("not same")
         if failed.isEmpty():
-            return found
+            return found.distinct()
         pending = failed.select("id", "k1", "k2")
 
 
 def collapse_formats(records: DataFrame, id_col: str, left: str, right: str) -> DataFrame:
     """One record of each set of alike records (the one with the smallest id) with ``n_copies``, the size of its set.
 
-    Records that are like no other keep n_copies 1; all columns of the table stay.
+    Records that are like no other keep n_copies 1; all columns of the table stay (a column n_copies is replaced).
     """
     twins = materialise(format_duplicates(records, id_col, left, right))
-    sizes = twins.groupBy("rep").agg((F.count(F.lit(1)) + 1).alias("_n"))
-    rows = records.join(twins.select(F.col("id").alias(id_col)), id_col, "left_anti")
-    return rows.join(sizes.withColumnRenamed("rep", id_col), id_col, "left").withColumn("n_copies", F.coalesce("_n", F.lit(1).cast("bigint"))).drop("_n")
+    sizes = twins.groupBy("rep").agg((F.count(F.lit(1)) + 1).alias("__copies")).withColumnRenamed("rep", id_col)
+    rows = records.join(twins.select(F.col("id").alias(id_col)), id_col, "left_anti").join(sizes, id_col, "left")
+    return rows.withColumn("n_copies", F.coalesce("__copies", F.lit(1).cast("bigint"))).drop("__copies")

@@ -196,7 +196,7 @@ def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_
 
     distinct = held.groupBy("set_key").agg(F.first("words").alias("words"))
     sharded = distinct.withColumn("shard", F.pmod(F.xxhash64("set_key"), F.lit(n_shards)).cast("int"))
-    index = materialise(sharded.groupBy("shard").applyInPandas(build, "shard int, payload binary"), "shard", partitions=n_shards)
+    index = materialise(sharded.groupBy("shard").applyInPandas(build, "shard int, payload binary"), "shard", partitions=n_shards, rows_a_file=1)
     files = sorted(index.select(F.input_file_name().alias("f")).distinct().toPandas()["f"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def overlap_pairs(records: DataFrame, id_col: str, left: str, right: str, split_
     """Every pair of a training and an evaluation record at or above ``share``, the smaller id first."""
     matches, members = split_overlap(records, id_col, left, right, split_col, share=share)
     pairs = matches.join(members, "set_key")
-    return pairs.select(F.least("train_id", "eval_id").alias("pair_id_a"), F.greatest("train_id", "eval_id").alias("pair_id_b"), "train_id", "eval_id", "common", "jaccard")
+    return pairs.select(F.least("train_id", "eval_id").alias("pair_id_a"), F.greatest("train_id", "eval_id").alias("pair_id_b"), "train_id", "eval_id", "common", "jaccard").distinct()
 
 
 def overlap_report(records: DataFrame, id_col: str, left: str, right: str, split_col: str, source_col: str, share: float = 0.8) -> DataFrame:

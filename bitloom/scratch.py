@@ -38,12 +38,12 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
-def materialise(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, *keys: str, partitions: int | None = None, rows_a_file: int = 0) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: its lineage ends there and it is computed once."""
     spark = df.sparkSession
     path = scratch_path(spark)
     out = df if not keys and partitions is None else df.repartition(*([partitions] if partitions else []), *keys)
-    out.write.parquet(path)
+    out.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ EMTSV_COLUMNS = ("form", "wsafter", "anas", "lemma", "xpostag", "upostag", "feat
 
 def _numbered_blocks(spark: SparkSession, path: str) -> DataFrame:
     """``file``, ``line``, ``block``, ``value``: lines of whole files with the number of blank lines before them in the file."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     order = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     return lines.withColumn("block", F.coalesce(F.sum((F.col("value") == "").cast("int")).over(order), F.lit(0)))

@@ -60,8 +60,7 @@ def read_tsv_bitext(spark: SparkSession, path: str, encoding: str = "ISO-8859-2"
             yield pdf.assign(text=[bytes(b).decode(encoding, "replace") for b in pdf["content"]])[["path", "text"]]
 
     text = files.select("path", "content").mapInPandas(decode, "path string, text string")
-    root = F.lit(path.rstrip("/").rsplit("/", 1)[-1])
-    after = F.substring_index(F.col("path"), F.concat(F.lit("/"), root, F.lit("/")), -1)
+    after = F.substring_index("path", f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", -1)
     lines = text.select(
         F.substring_index("path", "/", -1).alias("source_file"),
         F.substring_index(after, "/", 1).alias("domain"),
