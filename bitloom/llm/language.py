@@ -33,15 +33,21 @@ _OWN_LETTERS = {"ő": "hu", "ű": "hu", "ß": "de", "ñ": "es", "ç": "fr", "ê"
 K = len(LANGUAGES)
 
 
+def _hash(feature: str) -> int:
+    return xxhash.xxh3_64_intdigest(feature) & ((1 << FEATURES_LOG2) - 1)
+
+
 def features(word: str) -> list[int]:
-    """Hashed features of a word: affixes, letter trigrams, the word itself, and the lexicons that have it."""
+    """Hashed features of a word: affixes, letter trigrams, the word itself, which lexicons have it, letters of one language."""
     if word.isdigit() or _DAMAGED.search(word):
         return []
     bounded = f"^{word}$"
     found = [f"w{word}", *(f"p{word[:n]}" for n in (1, 2, 3) if len(word) >= n), *(f"s{word[-n:]}" for n in (1, 2, 3, 4) if len(word) >= n)]
     found += [f"t{bounded[i : i + 3]}" for i in range(len(bounded) - 2)]
-    found += [f"l{lang}" for lang in LANGUAGES if word in LEXICON[lang]]
-    return [xxhash.xxh3_64_intdigest(f) & ((1 << FEATURES_LOG2) - 1) for f in found]
+    if lexicons := "+".join(lang for lang in LANGUAGES if word in LEXICON[lang]):
+        found.append(f"l{lexicons}")
+    found += [f"o{_OWN_LETTERS[c]}" for c in sorted(set(word) & _OWN_LETTERS.keys())]
+    return [_hash(f) for f in found]
 
 
 @dataclass
@@ -166,7 +172,15 @@ def _clause_labels(tokens: list[str], given: str | None) -> list[int]:
     return out
 
 
-def fit(texts: list[str], given: list[str | None], epochs: int = 12, seed: int = 7) -> Model:
+def _prior() -> np.ndarray:
+    """Weights to start from: a word of a lexicon, or with a letter of one language only, speaks for it (its rows may be few)."""
+    weights = np.zeros((1 << FEATURES_LOG2, K))
+    for k, lang in enumerate(LANGUAGES):
+        weights[[_hash(f"l{lang}"), _hash(f"o{lang}")], k] = 3.0
+    return weights
+
+
+def fit(texts: list[str], given: list[str | None], epochs: int = 12, seed: int = 7, least_steps: int = 240) -> Model:
     """A field fitted to the texts by stochastic gradients of the likelihood of their first labels."""
     enc = Encoder()
     ids, lens, marked = enc.encode(texts)
@@ -178,9 +192,10 @@ def fit(texts: list[str], given: list[str | None], epochs: int = 12, seed: int =
     gold = [_clause_labels(_TOKEN.findall(t.lower()), g) for t, g in zip(texts, given, strict=True)]
     begins = np.cumsum(lens) - lens
     rng = np.random.default_rng(seed)
-    m = Model(np.zeros((1 << FEATURES_LOG2, K)), np.zeros(K), np.eye(K) * 2, np.eye(K))
+    m = Model(_prior(), np.zeros(K), np.eye(K) * 2, np.eye(K))
     usable = np.array([i for i, g in enumerate(gold) if g and min(g) >= 0], dtype=np.int64)
     moments = [np.zeros_like(x) for x in (m.weights, m.start, m.inside, m.across)]
+    epochs = max(epochs, -(-least_steps // max(1, -(-len(usable) // 400))))  # a small sample is gone through more often
     for epoch in range(epochs):
         rng.shuffle(usable)
         rate = 0.3 * (1 - epoch / epochs) + 0.02

@@ -44,13 +44,18 @@ def myers(pattern: list[str], text: list[str]) -> int:
     return best
 
 
+def budget(words_of_window: int, window: int, errors: int) -> int:
+    """Edits that a window may have: ``errors`` for a full one, in proportion for an item with fewer words."""
+    return errors * words_of_window // window if window else 0
+
+
 def pieces(n: int, window: int, errors: int) -> list[tuple[int, int, int, int]]:
     """(window begin, window length, piece begin, piece end) of all windows of an item of n words.
 
-    Every window is cut into errors + 1 pieces; with at most ``errors`` edits one piece stays whole.
+    Every window is cut into one piece more than its error budget, so with at most so many edits one piece stays whole.
     """
     w = min(window, n)
-    k = min(errors + 1, w)
+    k = budget(w, window, errors) + 1
     return [(s, w, s + w * p // k, s + w * (p + 1) // k) for s in range(n - w + 1) for p in range(k)] if n else []
 
 
@@ -58,7 +63,8 @@ class ItemSearch:
     """An automaton of all pieces of a block of items, and the search of one document with it."""
 
     def __init__(self, items: list[tuple[object, str]], window: int, errors: int):
-        self.errors, self.items = errors, [(i, words(t)) for i, t in items]
+        self.window, self.errors = window, errors
+        self.items = [(i, words(t)) for i, t in items]
         self.automaton = ahocorasick.Automaton()
         table: dict[str, list[tuple[int, int, int, int]]] = {}
         for k, (_, own) in enumerate(self.items):
@@ -86,12 +92,13 @@ class ItemSearch:
                     continue
                 seen.add((k, s, d))
                 wanted = self.items[k][1][s : s + w]
-                best = found.get((k, s), (self.errors + 1, w))[0]
+                most = budget(w, self.window, self.errors)
+                best = found.get((k, s), (most + 1, w))[0]
                 if best == 0:
                     continue
                 if d >= 0 and own[d : d + w] == wanted:
                     found[k, s] = (0, w)
-                elif best > 1 and (e := myers(wanted, own[max(0, d - self.errors) : d + w + self.errors])) <= self.errors and e < best:
+                elif best > 1 and (e := myers(wanted, own[max(0, d - most) : d + w + most])) <= most and e < best:
                     found[k, s] = (e, w)
         by_item: dict[int, list[tuple[int, int, int]]] = {}
         for (k, s), (e, w) in found.items():
@@ -107,7 +114,7 @@ def find_leaks(documents: DataFrame, id_col: str, text_col: str, items: DataFram
     """``doc_id``, ``item_id``, ``n_windows``, ``n_exact``, ``covered_words``, ``item_words``: each document with each item it holds.
 
     An item is looked for in windows of ``window`` consecutive words (an item with fewer words: as a whole), each
-    with at most ``errors`` words inserted, left out or changed. n_windows: windows found; n_exact: those found word
+    with at most ``errors`` words inserted, left out or changed (in proportion if the item has fewer words). n_windows: windows found; n_exact: those found word
     by word; covered_words: words of the item in found windows. Pigeonhole: a window is cut into errors + 1 pieces,
     pieces are found by one automaton, and the window around a hit is verified by Myers' bit-parallel distance.
     Null and empty texts hold nothing; items without words are found nowhere; repeated item ids are separate rows of

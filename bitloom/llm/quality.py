@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from bitloom.functions.words import words
 from bitloom.llm.lexicon import COMMON
 
-_LINE_END = re.compile(r"[.!?…:;][\"'”“»«’‘)\]\s]*$")
+_CLOSERS = " \t\r\v\f\xa0\"'”“»«’‘)]"
 _LIST_LINE = re.compile(r"\s*(?:[-*•·–—>+]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S")
 _CELLS = re.compile(r"\t|\s[|>/·•;]\s|;|\.{4,}| {3,}")
+_ENDS = frozenset(".!?…:;")
 _DIGITS = frozenset("0123456789")
-_SENTENCE = re.compile(r"[^\W\d_]{2,}[\s,]+[^\W\d_]{2,}.*[.!?…]", re.DOTALL)
+_TWO_WORDS = re.compile(r"(?<![^\W\d_])[^\W\d_]{2,}+[\s,]++[^\W\d_]{2}")
 
 
 class Stats(NamedTuple):
@@ -49,6 +50,12 @@ def _repeated(parts: list[str]) -> float:
     return again / sum(map(len, full))
 
 
+def _has_sentence(text: str) -> bool:
+    """Whether two words stand side by side and a full stop, question or exclamation mark follows somewhere."""
+    m = _TWO_WORDS.search(text)
+    return bool(m) and max(map(text.rfind, ".!?…")) >= m.end()
+
+
 def _top_ngram(tokens: list[str]) -> float:
     """Largest share of the words' characters that the places of one repeated 2- to 4-gram cover at most."""
     n = len(tokens)
@@ -92,12 +99,12 @@ def text_stats(text: str | None) -> Stats:
     numbers = sum(not _DIGITS.isdisjoint(w) for w in tokens if not w.isalpha()) / n if n else 0.0
     common = sum(map(COMMON.__contains__, tokens)) / n if n else 0.0
     lines = [x for x in text.splitlines() if x.strip()] if "\n" in text else [text] * bool(solid)
-    punctuated = sum(_LINE_END.search(x) is not None for x in lines) / len(lines) if lines else 0.0
+    punctuated = sum(x.rstrip(_CLOSERS)[-1:] in _ENDS for x in lines) / len(lines) if lines else 0.0
     listed = sum(_LIST_LINE.match(x) is not None for x in lines) / len(lines) if len(lines) > 1 else 0.0
     cells = len(_CELLS.findall(text)) / n if n else 0.0
     twice, paragraphs = (_repeated(lines), _repeated(text.split("\n\n"))) if len(lines) > 1 else (0.0, 0.0)
     ngram = _top_ngram(tokens)
-    is_prose = prose(n, common, symbols, numbers, cells, text.count(",") / max(n, 1), listed, punctuated, twice, _SENTENCE.search(text) is not None if common < 0.05 else True)
+    is_prose = prose(n, common, symbols, numbers, cells, text.count(",") / max(n, 1), listed, punctuated, twice, _has_sentence(text) if common < 0.05 else True)
     return Stats(len(text), n, letters / n if n else 0.0, symbols, numbers, len(lines), punctuated, listed, cells, common, twice, paragraphs, ngram, is_prose)
 
 
