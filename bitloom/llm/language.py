@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.llm.lexicon import LANGUAGES, LEXICON
@@ -244,14 +244,19 @@ def fit(texts: list[str], given: list[str | None], epochs: int = 12, seed: int =
 
 def training_rows(records: DataFrame, id_col: str, sides: dict[str, tuple[str, str]], per_label: int = SAMPLE_PER_LABEL) -> tuple[list[str], list[str | None]]:
     """The bounded sample that the field is fitted to: the rows of each side and label with the smallest hash."""
-    texts, given = [], []
-    for side, (text, label) in sides.items():
-        rows = records.select(F.col(text).alias("t"), F.col(label).alias("l"), F.xxhash64(F.lit(side), F.col(id_col)).alias("h")).where("t is not null and length(t) < 4000")
-        for lang in LANGUAGES:
-            got = rows.where(F.col("l") == lang).orderBy("h", "t").limit(per_label).collect()
-            texts += [r["t"] for r in got]
-            given += [r["l"] for r in got]
-    return texts, given
+    one = [F.struct(F.lit(side).alias("side"), F.col(text).alias("t"), F.col(label).alias("l"), F.xxhash64(F.lit(side), F.col(id_col)).alias("h")) for side, (text, label) in sides.items()]
+    long = records.select(F.inline(F.array(*one))).where(F.col("l").isin(*LANGUAGES) & (F.length("t") < 4000))
+    counts = long.groupBy("side", "l").agg(F.count(F.lit(1)).alias("n")).collect()  # one number a side and language
+    if not counts:
+        return [], []
+    # a hash below twice the share that is needed: the ranking then sees about 2 * per_label rows a group
+    near = F.lit(False)
+    for c in counts:
+        limit = min((1 << 63) - 1, round(2 * per_label / c["n"] * (1 << 64)) - (1 << 63))
+        near |= (F.col("side") == c["side"]) & (F.col("l") == c["l"]) & (F.col("h") <= limit)
+    order = Window.partitionBy("side", "l").orderBy("h", "t")
+    rows = long.where(near).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_label).orderBy("side", "l", "_r").select("t", "l").collect()
+    return [r["t"] for r in rows], [r["l"] for r in rows]
 
 
 class Labeller:
