@@ -29,15 +29,18 @@ FORBIDDEN = f"[^{_CLEAN_CLASS}]"
 QUOTES = ('"', "'", "`")
 
 
+#: The same characters one by one, for trim, which needs no pattern.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip_all(c: Column) -> Column:
     """Without outer white space, as Python's strip."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def word_count(c: Column) -> Column:
     """Number of runs of non-white space (0 for empty text)."""
-    s = strip_all(c)
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, f"{WS}+")))
+    return F.regexp_count(c, F.lit(f"{WS.replace('[', '[^')}+"))
 
 
 def blank_count(c: Column) -> Column:
@@ -156,11 +159,16 @@ BY_LANGUAGE = {
 OTHER_LANGUAGES = ((',"', '",'), (r'(\.+)"(\s*[^<])', '"$1$2'), ("(\\d)\xa0(\\d)", "$1.$2"))
 
 
+#: Only texts with one of these are changed by any rule.
+CONCERNED = "[\\r()%:;`'\"„“”–—´‘’‚…«»\xa0]|  "
+
+
 def normalise_punctuation(c: Column, language: str) -> Column:
     """Punctuation in one form for a language: quotes, dashes, blanks around signs, separators of numbers."""
+    done = c
     for pattern, by in (*PUNCTUATION, *BY_LANGUAGE.get(language, OTHER_LANGUAGES)):
-        c = F.regexp_replace(c, pattern, by)
-    return c
+        done = F.regexp_replace(done, pattern, by)
+    return F.when(c.rlike(CONCERNED), done).otherwise(c)
 
 
 def _clean_one(s: str) -> str:
