@@ -136,8 +136,8 @@ class Encoder(dict):
 def _clause_labels(tokens: list[str], given: str | None) -> list[int]:
     """First labels for fitting: each clause gets the language that most of its lexicon words and letters speak for.
 
-    A clause without a clear winner takes that of the whole text, or the given label if that is undecided; -1 if
-    nothing speaks.
+    A clause without a clear winner takes that of the whole text; if that is undecided too, the given label, unless
+    more speaks for another language (-1: the text is not used).
     """
     clauses: list[list[str]] = [[]]
     for t in tokens:
@@ -162,8 +162,9 @@ def _clause_labels(tokens: list[str], given: str | None) -> list[int]:
         return int(first) if v[first] >= least and v[first] - v[second] >= least / 2 else -1
 
     scores = [votes(c) for c in clauses]
-    whole = winner(np.sum(scores, axis=0), 1.5)
-    if whole < 0 and given in LANGUAGES:
+    total = np.sum(scores, axis=0)
+    whole = winner(total, 1.0)
+    if whole < 0 and given in LANGUAGES and total[LANGUAGES.index(given)] >= total.max():
         whole = LANGUAGES.index(given)
     out: list[int] = []
     for c, v in zip(clauses, scores, strict=True):
