@@ -55,7 +55,7 @@ def format_duplicates(records: DataFrame, id_col: str, left: str, right: str) ->
         groups = pending.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
         total = total if total is not None else pending.count()
         members = join_by_counts(pending, groups, ["k1", "k2"], "n", total)
-        texts = base.join(members, "id", "inner")
+        texts = materialise(base.join(members, "id", "inner"))  # of repeated records only, for both sides of the comparison
         heads = texts.where("id = rep").select("rep", "n", F.col("a").alias("ra"), F.col("b").alias("rb"))
         pairs = salted_join(texts.where("id <> rep"), heads, "rep", "n", F.col("id"))
         pairs = pairs.select("id", "rep", "k1", "k2", "a", "b", "ra", "rb")
