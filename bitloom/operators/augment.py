@@ -113,6 +113,23 @@ def with_similarity(pool: DataFrame, dep: str, kind: str) -> DataFrame:
     return pool.withColumn("similarity", similarity(kind, *sub))
 
 
+def similarity_experiment(pool: DataFrame, pairs: DataFrame, dep: str) -> DataFrame:
+    """``draw, pair_a, pair_b`` with the similarities by both measures of each pair's own two subtrees before the swap
+    (``*_a``, ``*_b``) and of the mixed ones (source subtree of one, target subtree of the other) that a one-sided
+    swap would make (``*_ab``, ``*_ba``).
+    """
+    subs = [R.induced(F.col(f"{s}_tokens"), F.col(f"{s}_{dep}_ids")).alias(s) for s in ("src", "tgt")]
+    members = pool.select("pair_id", F.struct(*subs).alias("m"))
+    a = members.select(F.col("pair_id").alias("pair_a"), F.col("m").alias("a"))
+    b = members.select(F.col("pair_id").alias("pair_b"), F.col("m").alias("b"))
+    joined = pairs.join(a, "pair_a").join(b, "pair_b")
+    measures = []
+    for kind in ("edge_mapper", "ged"):
+        for name, x, y in (("a", "a", "a"), ("b", "b", "b"), ("ab", "a", "b"), ("ba", "b", "a")):
+            measures.append(similarity(kind, F.col(f"{x}.src"), F.col(f"{y}.tgt")).alias(f"{kind}_{name}"))
+    return joined.select("draw", "pair_a", "pair_b", *measures)
+
+
 def thresholded_pairs(pool: DataFrame, k: int, threshold: float, seed: int, decay: float = 0.98, floor: float = 1e-3, most_collected: int = 2_000_000) -> DataFrame:
     """``draw, pair_a, pair_b``: k random pairs of members that both reach a threshold that falls after every k failures.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import count
 
@@ -139,7 +140,7 @@ def edit_distance(one: Tree, two: Tree, max_expansions: int = 20_000) -> tuple[f
             return edge(a or b) if (a or b) else 0
         return 0 if a.main == b.main else 2
 
-    def added(done: list[tuple[int, int | None]], n: int, to: int | None) -> int:
+    def added(done: Sequence[tuple[int, int | None]], n: int, to: int | None) -> int:
         """Cost of the edges between a newly assigned node and those assigned before."""
         cost = 0
         for m, other in done:
@@ -156,20 +157,28 @@ def edit_distance(one: Tree, two: Tree, max_expansions: int = 20_000) -> tuple[f
         free = set(rest)
         return sum(node(two.upos[n]) for n in rest) + sum(edge(e) for e in two.edges if e.source in free or e.target in free)
 
-    def bound(k: int, used: frozenset[int]) -> int:
-        a = Counter(one.upos[n] for n in first[k:])
-        b = Counter(two.upos[n] for n in second if n not in used)
-        common = (a & b).total()
-        la = sum(c * node(p) for p, c in (a - b).items())
-        lb = sum(c * node(p) for p, c in (b - a).items())
-        return la + lb if common >= 0 else 0
+    kinds = sorted({*one.upos.values(), *two.upos.values()}, key=str)
+    place = {p: i for i, p in enumerate(kinds)}
+    price = [node(p) for p in kinds]
+    # how many nodes of each part of speech are left of ``one`` after k assignments
+    left_one = [[sum(one.upos[n] == p for n in first[k:]) for p in kinds] for k in range(len(first) + 1)]
+
+    def bound(k: int, left_two: tuple[int, ...]) -> int:
+        return sum(abs(x - y) * c for x, y, c in zip(left_one[k], left_two, price, strict=True))
+
+    def without(left_two: tuple[int, ...], to: int | None) -> tuple[int, ...]:
+        if to is None:
+            return left_two
+        i = place[two.upos[to]]
+        return (*left_two[:i], left_two[i] - 1, *left_two[i + 1 :])
 
     start = ((first[0], second[0]),)
     base = 0 if one.upos[first[0]] == two.upos[second[0]] else 2
+    rest = without(tuple(sum(two.upos[n] == p for n in second) for p in kinds), second[0])
     tick, best, steps = count(), float("inf"), 0
-    heap = [(base + bound(1, frozenset({second[0]})), -1, next(tick), base, start)]
+    heap = [(base + bound(1, rest), -1, next(tick), base, start, rest)]
     while heap:
-        estimate, _, _, cost, done = heapq.heappop(heap)
+        estimate, _, _, cost, done, rest = heapq.heappop(heap)
         if estimate >= best:
             break
         if len(done) == len(first):
@@ -184,14 +193,14 @@ def edit_distance(one: Tree, two: Tree, max_expansions: int = 20_000) -> tuple[f
                 tail += node(one.upos[n]) + added(full, n, None)
                 full.append((n, None))
             return float(min(best, tail + finish(full))), True
-        n, used = first[len(done)], frozenset(t for _, t in done if t is not None)
+        n, used = first[len(done)], {t for _, t in done}
         for to in [*(x for x in second if x not in used), None]:
             step = (0 if one.upos[n] == two.upos[to] else 2) if to is not None else node(one.upos[n])
-            c = cost + step + added(list(done), n, to)
-            u = used if to is None else used | {to}
-            guess = c + (bound(len(done) + 1, u) if len(done) + 1 < len(first) else finish([*done, (n, to)]))
+            c = cost + step + added(done, n, to)
+            after = without(rest, to)
+            guess = c + (bound(len(done) + 1, after) if len(done) + 1 < len(first) else finish([*done, (n, to)]))
             if guess < best:
-                heapq.heappush(heap, (guess, -len(done) - 1, next(tick), c, (*done, (n, to))))
+                heapq.heappush(heap, (guess, -len(done) - 1, next(tick), c, (*done, (n, to)), after))
     return float(best), False
 
 

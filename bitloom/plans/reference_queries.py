@@ -554,6 +554,12 @@ def tree_similarities(spark: SparkSession, sf: str) -> DataFrame:
     return A.with_similarity(A.with_similarity(objects, "obj", "edge_mapper").withColumnRenamed("similarity", "edge_mapper"), "obj", "ged").select("pair_id", "edge_mapper", F.col("similarity").alias("ged"))
 
 
+@query()
+def similarity_experiment(spark: SparkSession, sf: str) -> DataFrame:
+    pool = L.candidate_pools(_pairs(spark, sf))
+    return A.similarity_experiment(pool, _next_pairs(pool), "obj")
+
+
 PROB = f"""WITH RECURSIVE {TOK}, {ANC}, d AS (SELECT pair_id, side, id, exp(1 - power(2.0, 1 - max(n))) AS e FROM anc WHERE a = 0 GROUP BY 1, 2, 3),
 p AS (SELECT pair_id, side, id, row_number() OVER w AS pos, e / sum(e) OVER (PARTITION BY pair_id, side) AS prob FROM d WINDOW w AS (PARTITION BY pair_id, side ORDER BY id))"""
 

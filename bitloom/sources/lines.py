@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.text import strip_all
@@ -19,14 +19,19 @@ def natural_key(name: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """``line_no`` (from 0, in the order of the files' names and of the lines), ``value`` (without outer white space).
+    """``line_no`` (from 0, through all files in natural order of their paths), ``value`` (without outer white space).
 
-    The numbers come from one count by partition; a file that is one partition is never moved. Encodings as Java
-    names them; those outside Spark's list need spark.sql.legacy.javaCharsets.
+    Lines keep their order within a split of a file; the numbers of lines of the splits (one row each) are summed up
+    to offsets and joined back. Nothing is sorted but the splits, and lines stay in the JVM. Encodings as Java names
+    them; those outside Spark's list need spark.sql.legacy.javaCharsets.
     """
     raw = spark.read.option("encoding", encoding).text(path)
-    ordered = raw.rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))  # the only built-in that numbers lines in file order
-    return spark.createDataFrame(ordered, "line_no bigint, value string").withColumn("value", strip_all(F.col("value")))
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = raw.select("value", *split, F.monotonically_increasing_id().alias("at"))
+    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    order = Window.orderBy(natural_key(F.col("file")), "file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    return lines.join(offsets, ["file", "block"]).select((F.col("at") - F.col("first") + F.col("before")).alias("line_no"), strip_all(F.col("value")).alias("value"))
 
 
 def read_aligned(spark: SparkSession, src: str, tgt: str, encoding: str = "UTF-8") -> DataFrame:

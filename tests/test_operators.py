@@ -31,6 +31,18 @@ def test_aligned_files_stop_with_the_shorter(spark, tmp_path):
     assert [r.value for r in I.read_combined(spark, a, b).orderBy("pair_id").collect()] == ["egy\tone", "kettő\t"]
 
 
+def test_lines_of_many_splits(spark, tmp_path):
+    files = {"10": [f"b{i}" for i in range(3000)], "9": [f"a{i}" for i in range(2000)]}
+    for name, rows in files.items():
+        write(tmp_path / "many" / name, "\n".join(rows) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = [r.value for r in I.read_lines(spark, f"{tmp_path}/many").orderBy("line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == files["9"] + files["10"]
+
+
 def test_natural_order(spark):
     names = spark.createDataFrame([("10.tsv",), ("2.tsv",), ("b1a20",), ("b1a3",)], "n string")
     assert [r.n for r in names.orderBy(I.natural_key(F.col("n"))).collect()] == ["2.tsv", "10.tsv", "b1a3", "b1a20"]
@@ -189,3 +201,13 @@ def test_greedy_order(spark):
     sets = spark.createDataFrame([(i, []) for i in range(1, 6)], "set_id bigint, shingles array<bigint>")
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (3, 4, 0.9), (4, 5, 0.9)], "a bigint, b bigint, jaccard double")
     assert {r.set_id: r.kept for r in N.greedy_leaders(sets, pairs).collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
+
+
+def test_subword_round_trip(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from bitloom.functions import subword
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    rows = spark.createDataFrame([("Az őrült szép nap.",), ("",), (None,)], "t string")
+    pieces = rows.select("t", subword.encode(F.col("t"), path).alias("p"))
+    assert [(r.t, r.d) for r in pieces.select("t", subword.decode(F.col("p"), path).alias("d")).collect()] == [("Az őrült szép nap.",) * 2, ("", ""), (None, None)]
