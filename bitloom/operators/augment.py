@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bitloom.functions import trees as R
 from bitloom.functions.hashing import hash_key, hash_unit
 from bitloom.operators.filters import candidate_pools, with_spans
-from bitloom.operators.joins import combinations_within, sampled_pairs
+from bitloom.operators.joins import sampled_combinations, sampled_pairs
 from bitloom.operators.tree_similarity import similarity
 
 
@@ -98,11 +98,10 @@ def with_predicate_lemmas(candidates: DataFrame) -> DataFrame:
 def swap_same_lemma(candidates: DataFrame, k: int, seed: int, save_original: bool = False) -> DataFrame:
     """Object and subject exchange among pairs whose predicates have the same lemmas on both sides.
 
-    All combinations of each group; if they are more than k, k of them by hash.
+    All pairs of each group; if they are more than k, k of them at random.
     """
-    keyed = with_predicate_lemmas(candidates).where("src_lemma is not null and tgt_lemma is not null")
-    combos = combinations_within(keyed, ["src_lemma", "tgt_lemma"], "pair_id").select("pair_a", "pair_b")
-    chosen = combos.orderBy(hash_key(seed, "lemma", F.col("pair_a"), F.col("pair_b")), "pair_a", "pair_b").limit(k).withColumn("draw", F.lit(0).cast("bigint"))
+    keyed = with_predicate_lemmas(candidates).where("src_lemma is not null and tgt_lemma is not null").persist(StorageLevel.MEMORY_AND_DISK)
+    chosen = sampled_combinations(keyed, ["src_lemma", "tgt_lemma"], "pair_id", k, seed).withColumn("draw", F.lit(0).cast("bigint"))
     made = [swap_pairs(keyed, chosen, dep, f"{m}_same_predicate_lemma", save_original) for dep, m in (("obj", "obj_swapping"), ("nsubj", "subj_swapping"))]
     return made[0].unionByName(made[1])
 

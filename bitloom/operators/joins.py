@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.functions.hashing import hash_int
+from bitloom.functions.hashing import hash_int, hash_unit
+from bitloom.operators.skew import join_by_counts, take_hashed
+from bitloom.scratch import materialise
 
 
 def zip_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -29,38 +31,66 @@ def outer_counts(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return joined.na.fill(0, [c for c in joined.columns if c != on])
 
 
-def combinations_within(rows: DataFrame, group: list[str], id_col: str) -> DataFrame:
-    """All unordered pairs within each group, the smaller id first, as many as the result has by definition.
+def links_within(rows: DataFrame, group: list[str], id_col: str) -> DataFrame:
+    """``id, class_id, n_links``: each row's class (the smallest id of its group) and the number of other rows in it.
 
-    Groups are joined on their key; AQE divides the hot ones.
+    This stands for all pairs within the groups without writing them. Rows with a null in the group have no links.
     """
-    left = rows.select(*group, F.col(id_col).alias("pair_a"))
-    right = rows.select(*group, F.col(id_col).alias("pair_b"))
-    return left.join(right, group).where("pair_a < pair_b")
+    slim = materialise(rows.select(*group, id_col))
+    groups = slim.groupBy(*group).agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("_n"))
+    sized = join_by_counts(slim, groups, group, "_n", slim.count())
+    return sized.select(F.col(id_col).alias("id"), "class_id", (F.col("_n") - 1).alias("n_links"))
 
 
 def numbered(rows: DataFrame, id_col: str, seed: int, *within: str) -> DataFrame:
-    """Rows with ``pos``, their place (from 0) in a random order that depends on seed and id only.
+    """Rows with ``pos``, their place (from 0; in each group if ``within`` is given) in a random order by seed and id.
 
-    Without groups the places are built from counts by range of the hash, so no task sorts all rows; with groups
-    each group is one window partition.
+    The places are built from counts by range of a hash (2^16 ranges), so neither all rows nor a large group are ever
+    sorted in one task.
     """
-    key = hash_int(seed, "pos", F.col(id_col))
-    if within:
-        order = Window.partitionBy(*within).orderBy(key, F.col(id_col))
-        return rows.withColumn("pos", (F.row_number().over(order) - 1).cast("bigint"))
-    keyed = rows.withColumn("_k", key).withColumn("_cell", F.shiftright(F.col("_k"), 16))
-    sums = keyed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 2^16 rows
-    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0)))
-    inner = Window.partitionBy("_cell").orderBy("_k", id_col)
-    return keyed.join(F.broadcast(before), "_cell").withColumn("pos", F.col("_before") + F.row_number().over(inner) - 1).drop("_k", "_cell", "_n", "_before")
+    keyed = rows.withColumn("_k", hash_int(seed, "pos", F.col(id_col))).withColumn("_cell", F.shiftright(F.col("_k"), 16))
+    cells = [*within, "_cell"]
+    sums = keyed.groupBy(*cells).agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.partitionBy(*within).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 2^16 rows a group
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).drop("_n")
+    inner = Window.partitionBy(*cells).orderBy("_k", id_col)
+    placed = keyed.join(before if within else F.broadcast(before), cells)
+    return placed.withColumn("pos", F.col("_before") + F.row_number().over(inner) - 1).drop("_k", "_cell", "_before")
+
+
+def sampled_combinations(rows: DataFrame, group: list[str], id_col: str, k: int, seed: int) -> DataFrame:
+    """``pair_a, pair_b`` (a < b): k random unordered pairs of rows of the same group, uniformly over all such pairs.
+
+    All of them if there are at most k. Otherwise each row draws a Poisson number of partners among the rows behind it
+    in its group's random order, a little more than k in all, of which k are kept by hash; so no more pairs are made
+    than are wanted, however large a group is. If more than half of all pairs are wanted, all are made first (at most
+    2k).
+    """
+    base = materialise(rows.select(*group, id_col).dropna(subset=group))
+    n_rows = base.count()
+    sizes = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    total = sizes.agg(F.sum(F.col("_n") * (F.col("_n") - 1) / 2)).first()[0] or 0
+    placed = numbered(join_by_counts(base, sizes, group, "_n", n_rows), id_col, seed, *group)
+    other = placed.select(*group, F.col("pos").alias("_to"), F.col(id_col).alias("_b"))
+    ahead = F.col("_n") - 1 - F.col("pos")
+    wanted = k + 4 * k**0.5 + 16
+    if 2 * wanted >= total:
+        drawn = placed.where(ahead > 0).withColumn("_to", F.explode(F.sequence(F.col("pos") + 1, F.col("_n") - 1)))
+    else:
+        mean, u = ahead * F.lit(wanted / total), hash_unit(seed, "partners", F.col(id_col))
+        first = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("sum"), F.lit(0).alias("n"))
+        step = lambda c, i: F.when(u < c["sum"], c).otherwise(F.struct((c["term"] * mean / i).alias("term"), (c["sum"] + c["term"] * mean / i).alias("sum"), i.alias("n")))
+        times = F.aggregate(F.sequence(F.lit(1), F.lit(200)), first, step)["n"]
+        several = placed.where(ahead > 0).withColumn("_t", F.explode(F.filter(F.sequence(F.lit(0), times), lambda i: i > 0)))
+        drawn = several.withColumn("_to", F.col("pos") + 1 + F.pmod(hash_int(seed, "partner", F.col(id_col), F.col("_t")), ahead))
+    pairs = drawn.join(other, [*group, "_to"]).select(F.least(id_col, "_b").alias("pair_a"), F.greatest(id_col, "_b").alias("pair_b")).distinct()
+    return take_hashed(pairs, F.xxhash64(F.lit(seed), "pair_a", "pair_b"), k)
 
 
 def draw_pairs(n: int, k: int, seed: int, spark) -> DataFrame:  # noqa: ANN001
     """``draw, x, y``: k distinct ordered pairs of places x != y below n, uniformly; at most n(n-1).
 
-    Draws are hashes of their number; the first k distinct ones count. If more than half of all pairs are wanted, all
+    Draws are hashes of their number; k of the distinct ones count, chosen by hash. If more than half of all pairs are wanted, all
     are ranked by hash instead.
     """
     most = n * (n - 1)
@@ -71,7 +101,7 @@ def draw_pairs(n: int, k: int, seed: int, spark) -> DataFrame:  # noqa: ANN001
     if 2 * k > most:
         every = spark.range(most).select((F.col("id") / (n - 1)).cast("bigint").alias("x"), F.pmod("id", F.lit(n - 1)).alias("y0"))
         every = every.select("x", (F.col("y0") + (F.col("y0") >= F.col("x")).cast("bigint")).alias("y"))
-        return every.orderBy(hash_int(seed, "all", F.col("x"), F.col("y")), "x", "y").limit(k).select(F.monotonically_increasing_id().alias("draw"), "x", "y")
+        return take_hashed(every, F.xxhash64(F.lit(seed), "x", "y"), k).select((F.col("x") * n + F.col("y")).alias("draw"), "x", "y")
     m = k + max(64, k)
     while True:
         draws = spark.range(m).select(
@@ -82,14 +112,15 @@ def draw_pairs(n: int, k: int, seed: int, spark) -> DataFrame:  # noqa: ANN001
         pairs = draws.select("draw", "x", (F.col("y0") + (F.col("y0") >= F.col("x")).cast("bigint")).alias("y"))
         firsts = pairs.groupBy("x", "y").agg(F.min("draw").alias("draw"))
         if firsts.count() >= k:
-            return firsts.orderBy("draw").limit(k).select("draw", "x", "y")
+            return take_hashed(firsts, F.xxhash64(F.lit(seed), "draw"), k).select("draw", "x", "y")
         m *= 2
 
 
 def sampled_pairs(pool: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
     """``draw, pair_a, pair_b``: k random ordered pairs of different members of the pool. Two equi-joins, no cross join."""
-    members = numbered(pool.select(id_col), id_col, seed)
-    pairs = draw_pairs(pool.count(), k, seed, pool.sparkSession)
+    ids = materialise(pool.select(id_col))
+    members = numbered(ids, id_col, seed)
+    pairs = draw_pairs(ids.count(), k, seed, pool.sparkSession)
     left = members.select(F.col("pos").alias("x"), F.col(id_col).alias("pair_a"))
     right = members.select(F.col("pos").alias("y"), F.col(id_col).alias("pair_b"))
     return pairs.join(left, "x").join(right, "y").select("draw", "pair_a", "pair_b")

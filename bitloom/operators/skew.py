@@ -72,6 +72,16 @@ def prefix_cut(rows: DataFrame, groups: list[str], key: str, weight: str, budget
     return whole.unionByName(partly).drop("_cell", "_cut", budget)
 
 
+def take_hashed(rows: DataFrame, key: Column, k: int) -> DataFrame:
+    """Exactly k rows (all if there are fewer), those with the smallest 64-bit hash; k may be as large as the data.
+
+    A limit after a sort would merge k rows on the driver; here the cut is found from counts by range of the hash.
+    """
+    one = rows.withColumn("_all", F.lit(0)).withColumn("_key", key).withColumn("_one", F.lit(1).cast("bigint"))
+    budget = rows.sparkSession.createDataFrame([(0, k)], "_all int, _budget bigint")
+    return prefix_cut(one, ["_all"], "_key", "_one", budget, "_budget").drop("_all", "_key", "_one")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """unionByName over a list."""
     return functools.reduce(DataFrame.unionByName, frames)

@@ -465,10 +465,10 @@ def lemma_groups(spark: SparkSession, sf: str) -> DataFrame:
     return A.lemma_groups(L.candidate_pools(_pairs(spark, sf)))
 
 
-@query(f"{TREE}, {LEMMA} SELECT a.src_lemma, a.tgt_lemma, a.pair_id AS pair_a, b.pair_id AS pair_b FROM lem a JOIN lem b ON a.src_lemma = b.src_lemma AND a.tgt_lemma = b.tgt_lemma AND a.pair_id < b.pair_id")
-def same_lemma_pairs(spark: SparkSession, sf: str) -> DataFrame:
+@query(f"{TREE}, {LEMMA} SELECT pair_id AS id, min(pair_id) OVER w AS class_id, count(*) OVER w - 1 AS n_links FROM lem WHERE src_lemma IS NOT NULL AND tgt_lemma IS NOT NULL WINDOW w AS (PARTITION BY src_lemma, tgt_lemma)")
+def same_lemma_links(spark: SparkSession, sf: str) -> DataFrame:
     keyed = A.with_predicate_lemmas(L.candidate_pools(_pairs(spark, sf)))
-    return J.combinations_within(keyed, ["src_lemma", "tgt_lemma"], "pair_id")
+    return J.links_within(keyed, ["src_lemma", "tgt_lemma"], "pair_id")
 
 
 def _next_pairs(pool: DataFrame) -> DataFrame:

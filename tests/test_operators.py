@@ -128,7 +128,23 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert drawn.where("copy > 1").count() > 100
 
 
+def test_sampled_combinations(spark):
+    rows = spark.createDataFrame([(i, i % 3 if i % 7 else None, "g") for i in range(90)], "pair_id bigint, a bigint, b string")
+    group = {i: i % 3 for i in range(90) if i % 7}
+    every = {(i, j) for i in group for j in group if i < j and group[i] == group[j]}
+    for k in (0, 5, 60, 700, 10_000):
+        got = [(r.pair_a, r.pair_b) for r in J.sampled_combinations(rows.repartition(3), ["a", "b"], "pair_id", k, 3).collect()]
+        assert len(got) == len(set(got)) == min(k, len(every))
+        assert set(got) <= every
+    assert J.sampled_combinations(rows.limit(0), ["a", "b"], "pair_id", 5, 3).count() == 0
+    links = {r.id: (r.class_id, r.n_links) for r in J.links_within(rows, ["a", "b"], "pair_id").collect()}
+    assert links == {i: (min(j for j in group if group[j] == g), sum(x == g for x in group.values()) - 1) for i, g in group.items()}
+
+
 def test_numbered_places(spark):
+    grouped = J.numbered(spark.range(300).withColumn("g", F.col("id") % 4), "id", 1, "g").collect()
+    assert sorted((r.g, r.pos) for r in grouped) == [(g, p) for g in range(4) for p in range(75)]
+
     at = J.numbered(spark.range(500).repartition(7), "id", 1)
     assert sorted(r.pos for r in at.collect()) == list(range(500))
 
