@@ -5,17 +5,19 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.functions.word_sketch import BITS, cells, word_counts
+from bitloom.functions.word_sketch import BITS, cells
 from bitloom.functions.words import word_hashes, words
+from bitloom.scratch import materialise
 
 # fixed values: single-byte encodings as which UTF-8 is misread
 CHANNELS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "mac-roman", "cp437", "cp850", "cp852", "cp1251", "cp1257")
@@ -29,6 +31,9 @@ _PLAIN = r"\x00-\x7fáéíóöőúüűÁÉÍÓÖŐÚÜŰ„“”–…\xa0\xad"
 _ODD = re.compile(f"[^{_PLAIN}]")
 _CONTROL = re.compile("[\x80-\x9f]")
 _WORDISH = re.compile(r"\S+")
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
+#: Words and tokens that a task counts before it hands them on.
+COUNTED_AT_ONCE = 500_000
 #: More than this many lost letters in a word are looked for piece by piece.
 MOST_LOST = 3
 
@@ -120,6 +125,42 @@ class Frequencies:
         return s
 
 
+class ExactFrequencies(Frequencies):
+    """Exact counts of the words that a corpus has, by the sorted 64-bit hashes of the words; of all others 0."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
+        self.hashes, self.counts, self.total = hashes, counts, max(1, total)
+        self.kept: dict[str, int] = {}
+
+    def count(self, word: str) -> int:
+        n = self.kept.get(word)
+        if n is None:
+            if len(self.kept) > 500_000:
+                self.kept.clear()
+            h = word_hashes([word])[0]
+            i = int(np.searchsorted(self.hashes, h))
+            n = self.kept[word] = int(self.counts[i]) if i < len(self.hashes) and self.hashes[i] == h else 0
+        return n
+
+
+def skeleton(word: str) -> str:
+    """The word with every character outside ASCII as ``?``: the same for all spellings between which a lattice chooses."""
+    return _NOT_ASCII.sub("?", word)
+
+
+class AskingFrequencies(ExactFrequencies):
+    """Notes in ``asked`` the skeletons of the words whose counts were asked for."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
+        super().__init__(hashes, counts, total)
+        self.asked: set[str] = set()
+
+    def count(self, word: str) -> int:
+        if word not in self.kept:
+            self.asked.add(skeleton(word))
+        return super().count(word)
+
+
 class Decoder:
     """Noisy-channel decoder of texts."""
 
@@ -260,6 +301,77 @@ class Decoder:
 _decoders: dict[str, Decoder] = {}
 
 
+def _words_and_odd_tokens(texts: DataFrame) -> DataFrame:
+    """``odd, word, n``: all words of all columns with their counts, and (odd) the tokens with unusual characters."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        odd: Counter[str] = Counter()
+
+        def part() -> pa.RecordBatch:
+            flags = pa.array([False] * len(found) + [True] * len(odd), pa.bool_())
+            out = pa.RecordBatch.from_arrays([flags, pa.array([*found, *odd], pa.string()), pa.array([*found.values(), *odd.values()], pa.int64())], ["odd", "word", "n"])
+            found.clear()
+            odd.clear()
+            return out
+
+        for batch in batches:
+            for column in batch.columns:
+                for t in column.to_pylist():
+                    found.update(words(t))
+                    if t and _ODD.search(t):
+                        odd.update(w for w in _WORDISH.findall(t) if _ODD.search(w))
+            if len(found) + len(odd) > COUNTED_AT_ONCE:
+                yield part()
+        yield part()
+
+    return texts.mapInArrow(count, "odd boolean, word string, n bigint").groupBy("odd", "word").agg(F.sum("n").alias("n"))
+
+
+def _hashed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words in ascending order, with the counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(b.column(0).to_pylist()), pa.int64()), b.column(1)], ["h", "n"])
+
+    table = rows.select("word", "n").mapInArrow(run, "h bigint, n bigint").toArrow()
+    h, n = table.column("h").to_numpy(), table.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def asked_counts(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and exact counts of all corpus words that the damaged tokens of the texts ask for, and the number of words.
+
+    The distinct tokens are decoded with the counts known so far; the skeletons of the words they ask for are joined
+    with the counted words of all rows. What is decoded in one round may ask for more in the next (twice damaged
+    texts); it ends when no round asks for anything new, so every count that decoding uses is then exact.
+    """
+    counted = materialise(_words_and_odd_tokens(texts).withColumn("skeleton", F.regexp_replace("word", r"[^\x00-\x7f]", "?")))
+    tokens, vocabulary = counted.where("odd").select("word"), counted.where("not odd")
+    total = int(vocabulary.agg(F.sum("n")).first()[0] or 0)
+    hashes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    answered = spark.createDataFrame([], "skeleton string")
+    while True:
+        shared = spark.sparkContext.broadcast((hashes, counts, total))
+
+        def ask(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            freq = AskingFrequencies(*shared.value)
+            decoder = Decoder(freq)
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    decoder.restore(t)
+                yield pa.RecordBatch.from_arrays([pa.array(list(freq.asked), pa.string())], ["skeleton"])
+                freq.asked.clear()
+
+        new = materialise(tokens.mapInArrow(ask, "skeleton string").distinct().join(answered, "skeleton", "left_anti"))
+        if new.isEmpty():
+            return hashes, counts, total
+        answered = answered.unionByName(new)
+        hashes, counts = _hashed(vocabulary.join(answered, "skeleton", "left_semi"))
+
+
 def restored_texts(records: DataFrame, id_col: str, sides: dict[str, str]) -> DataFrame:
     """``id``, ``side``, ``restored``, ``channels``, ``n_damaged``, ``complete``: the damaged texts of each record.
 
@@ -268,19 +380,18 @@ def restored_texts(records: DataFrame, id_col: str, sides: dict[str, str]) -> Da
     ones where the corpus knows the other word. Names and signs that fit none of these are left alone. complete: no
     lost or odd sequence is left in the restored text. Null and empty texts are no cases.
 
-    Word frequencies are counted over all rows into a table of fixed size, which is broadcast. Texts without
-    an unusual character are passed over by one search. No shuffle beside that of the counts.
+    Words are counted exactly over all rows; the counts of those for which damaged tokens ask are broadcast. Texts
+    without an unusual character are passed over by one search. No shuffle beside those of words and distinct tokens.
     """
     spark = records.sparkSession
-    counts = word_counts(records, list(sides.values()), rows=2)
-    shared, name = spark.sparkContext.broadcast(counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts), uuid.uuid4().hex
+    shared, name = spark.sparkContext.broadcast(asked_counts(spark, records.select(*sides.values()))), uuid.uuid4().hex
     base = records.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"t{k}") for k, c in enumerate(sides.values())))
     id_type, names = dict(base.dtypes)["id"], list(sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _decoders:
             _decoders.clear()
-            _decoders[name] = Decoder(Frequencies(shared.value))
+            _decoders[name] = Decoder(ExactFrequencies(*shared.value))
         decoder = _decoders[name]
         for batch in batches:
             for k, side in enumerate(names):

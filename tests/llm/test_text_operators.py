@@ -326,3 +326,30 @@ def test_sketch_counts_every_row(spark):
     h = np.array(word_hashes(["a", "b"]), dtype=np.int64)
     assert [int(got[r][c]) for r in (0, 1) for c in cells(h, row=r)] == [3, 1, 3, 1]
     assert unicodedata.category("a") == "Ll"
+
+
+def test_lost_letters_by_exact_counts(spark):
+    # these two words have the two cells of the wrong spelling körtöltök in a sketch of 2 x 2^20 cells
+    texts = ["kértélték"] * 3 + ["w893329 w341362"] * 5 + ["k�rt�lt�k"]
+    frame = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "pair_id bigint, hun string, eng string")
+    got = encoding.restored_texts(frame, "pair_id", queries.SIDES).collect()
+    assert [(r.id, r.restored) for r in got] == [(8, "kértélték")]
+
+
+def test_words_asked_for_are_all_counted(spark):
+    twice = "tűzhelyet".encode().decode("cp1252", "replace").encode().decode("cp1252", "ignore")
+    texts = [(t,) for t in [*CLEAN, "A zöld tûzhelyet az õrült nézte.", twice, re.sub("[őöéáűü]", "�", CLEAN[0]), "megk�r�lt�k"]]
+    frame = spark.createDataFrame(texts, "t string")
+    hashes, counts, total = encoding.asked_counts(spark, frame)
+    true = Counter(w for (t,) in texts for w in words(t))
+    assert total == true.total()
+
+    class Checked(encoding.ExactFrequencies):
+        def count(self, word):
+            n = super().count(word)
+            assert n == true[word], word
+            return n
+
+    decoder = encoding.Decoder(Checked(hashes, counts, total))
+    for (t,) in texts:
+        decoder.restore(t)
