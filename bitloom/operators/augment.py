@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import trees as R
-from bitloom.functions.hashing import hash_key, hash_unit
+from bitloom.functions.hashing import hash_int, hash_unit
 from bitloom.operators.filters import candidate_pools, with_spans
-from bitloom.operators.joins import sampled_combinations, sampled_pairs
+from bitloom.operators.joins import numbered, sampled_combinations, sampled_pairs
+from bitloom.operators.skew import take_hashed
 from bitloom.operators.tree_similarity import similarity
+from bitloom.scratch import materialise
 
 
 def forms(tokens: Column) -> Column:
@@ -129,46 +132,77 @@ def similarity_experiment(pool: DataFrame, pairs: DataFrame, dep: str) -> DataFr
     return joined.select("draw", "pair_a", "pair_b", *measures)
 
 
-def thresholded_pairs(pool: DataFrame, k: int, threshold: float, seed: int, decay: float = 0.98, floor: float = 1e-3, most_collected: int = 2_000_000) -> DataFrame:
+#: Draws that one row of the plan of draws stands for.
+DRAWS_A_ROW = 50_000
+
+
+def thresholded_pairs(pool: DataFrame, k: int, threshold: float, seed: int, decay: float = 0.98, floor: float = 1e-3) -> DataFrame:
     """``draw, pair_a, pair_b``: k random pairs of members that both reach a threshold that falls after every k failures.
 
-    The rule is sequential: a pair is accepted if both similarities reach the current threshold, and after k failures
-    the threshold is multiplied by ``decay``. It needs one number a member, so pools of up to most_collected members
-    are drawn on the driver; above that, the smallest number of decays that leaves enough pairs is taken at once and
-    the pairs are drawn from that pool (all pairs then come from the last threshold).
+    The sequential rule is: a pair is accepted if both similarities reach the current threshold, and after k failures
+    the threshold is multiplied by ``decay``. Hence the number of accepted draws at a threshold is negative binomial,
+    and these are uniform over the pairs of the members that reach it: both are drawn so, at every size, and the first
+    k different pairs count. Only the number of members by threshold comes to the driver. The last threshold is the
+    floor, where pairs are drawn until k different ones are found or all that exist are taken.
     """
     spark = pool.sparkSession
-    ranked = pool.select("pair_id", "similarity", hash_key(seed, "pos", F.col("pair_id")).alias("_h")).where("similarity is not null")
-    n = ranked.count()
-    if n > most_collected:
-        at = threshold
-        while at > floor and (m := ranked.where(F.col("similarity") >= at).count()) * (m - 1) < k:
-            at *= decay
-        return sampled_pairs(ranked.where(F.col("similarity") >= at), "pair_id", k, seed)
-    rows = ranked.orderBy("_h", "pair_id").collect()
-    import hashlib
-
-    def h(*parts: object) -> int:
-        return int(hashlib.md5(":".join(map(str, (seed, *parts))).encode()).hexdigest()[:8], 16)
-
-    good = [i for i, r in enumerate(rows) if r["similarity"] >= floor]
-    k = min(k, len(good) * (len(good) - 1))
-    found: dict[tuple[int, int], int] = {}
-    draw, failures, at = 0, 0, threshold
-    while len(found) < k and at >= floor:
-        x, y = h("x", draw) % n, h("y", draw) % (n - 1)
-        y += y >= x
-        if min(rows[x]["similarity"], rows[y]["similarity"]) >= at:
-            found.setdefault((x, y), draw)
-        else:
-            failures += 1
-            if failures >= max(1, k):
-                at, failures = at * decay, 0
-        draw += 1
-        if draw > 200 * max(1, k) + 20 * n:  # pairs are running out
+    steps = [threshold]
+    while steps[-1] * decay > floor:
+        steps.append(steps[-1] * decay)
+    if steps[-1] > floor:
+        steps.append(floor)
+    level = F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: t > F.col("similarity")))
+    members = materialise(pool.select("pair_id", level.alias("level")).where("similarity is not null"))
+    by_level = {r["level"]: r["n"] for r in members.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n, reach, running = sum(by_level.values()), [], 0
+    for i in range(len(steps)):
+        running += by_level.get(i, 0)
+        reach.append(running)
+    last = reach[-1]
+    k = min(k, last * (last - 1))
+    if k <= 0:
+        return spark.createDataFrame([], "draw bigint, pair_a bigint, pair_b bigint")
+
+    rng = np.random.default_rng(seed)
+    accepted: list[tuple[int, int]] = []  # number of draws, members that they are drawn from
+    for m in reach[:-1]:
+        fails = 1 - m * (m - 1) / (n * (n - 1))
+        if fails <= 0:
+            break  # all members reach it: it stays until the end
+        accepted.append((int(rng.negative_binomial(k, fails)) if m > 1 else 0, m))
+    limit = 2 * k + 64
+    while True:
+        rows, at = [], 0
+        for c, m in [*accepted, (limit, last)]:
+            c = min(c, limit - at)
+            rows += [(at + i, min(DRAWS_A_ROW, c - i), m) for i in range(0, c, DRAWS_A_ROW)]
+            at += c
+        plan = spark.createDataFrame(rows, "first bigint, n bigint, m bigint")
+        plan = plan.repartition(min(len(rows), 200)) if len(rows) > 1 else plan
+        draws = plan.select("m", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("draw"))
+        draws = draws.select("draw", F.pmod(hash_int(seed, "x", F.col("draw")), F.col("m")).alias("x"), F.pmod(hash_int(seed, "y", F.col("draw")), F.col("m") - 1).alias("y"))
+        draws = draws.withColumn("y", F.col("y") + (F.col("y") >= F.col("x")).cast("bigint"))
+        found = materialise(draws.groupBy("x", "y").agg(F.min("draw").alias("draw")).select("draw", "x", "y"))
+        before = sum(c for c, _ in accepted)
+        if found.count() >= k:
+            # draws are numbers from 0: as the top bits of a 64-bit key they are cut in their order
+            chosen = take_hashed(found, F.shiftleft("draw", 63 - limit.bit_length()), k)
+            break
+        if limit > before and 2 * k > last * (last - 1):
+            # most pairs of the last threshold are wanted: those drawn before, then all others in random order
+            early = found.where(F.col("draw") < before)
+            every = spark.range(last * (last - 1)).select((F.col("id") / (last - 1)).cast("bigint").alias("x"), F.pmod("id", F.lit(last - 1)).alias("y"))
+            every = every.withColumn("y", F.col("y") + (F.col("y") >= F.col("x")).cast("bigint")).join(early, ["x", "y"], "left_anti")
+            rest = take_hashed(every, F.xxhash64(F.lit(seed), "x", "y"), k - early.count())
+            chosen = early.unionByName(rest.select((F.lit(before) + F.col("x") * last + F.col("y")).alias("draw"), "x", "y"))
             break
-    out = [(d, rows[x]["pair_id"], rows[y]["pair_id"]) for (x, y), d in found.items()]
-    return spark.createDataFrame(out, "draw bigint, pair_a bigint, pair_b bigint")
+        limit *= 2
+    starts = spark.createDataFrame([(i, (reach[i - 1] if i else 0)) for i in range(len(steps))], "level int, _start bigint")
+    placed = numbered(members.where(F.col("level") < len(steps)), "pair_id", seed, "level").join(F.broadcast(starts), "level")
+    placed = placed.select((F.col("pos") + F.col("_start")).alias("pos"), "pair_id")
+    left = placed.select(F.col("pos").alias("x"), F.col("pair_id").alias("pair_a"))
+    right = placed.select(F.col("pos").alias("y"), F.col("pair_id").alias("pair_b"))
+    return chosen.join(left, "x").join(right, "y").select("draw", "pair_a", "pair_b")
 
 
 def augment_by_similarity(pairs: DataFrame, kind: str = "edge_mapper", threshold: float = 0.5, ratio: float = 0.5, size: int | None = None, seed: int = 123, **rules: bool) -> DataFrame:

@@ -132,6 +132,19 @@ def test_threshold_falls_until_enough_pairs(spark):
     assert A.thresholded_pairs(rows.limit(0), 4, 0.9, 3).count() == 0
 
 
+def test_threshold_ends_by_the_pairs_that_exist(spark):
+    # 4 of 40,000 members reach the floor: all their 12 pairs are found, although a draw hardly ever meets them
+    rows = spark.range(40_000).select(F.col("id").alias("pair_id"), F.when(F.col("id") < 4, 0.01 * (1 + F.col("id"))).otherwise(0.0).alias("similarity"))
+    got = {(r.pair_a, r.pair_b) for r in A.thresholded_pairs(rows, 100, 0.5, 3).collect()}
+    assert got == {(a, b) for a in range(4) for b in range(4) if a != b}
+    # half of the members reach the first threshold: three quarters of the draws fail, so most pairs come from above it
+    rows = spark.range(2000).select(F.col("id").alias("pair_id"), F.when(F.col("id") % 2 == 0, 0.6).otherwise(0.3).alias("similarity"))
+    got = A.thresholded_pairs(rows.repartition(5), 300, 0.5, 3).collect()
+    assert len({(r.pair_a, r.pair_b) for r in got}) == 300
+    assert got and {r.draw: (r.pair_a, r.pair_b) for r in got} == {r.draw: (r.pair_a, r.pair_b) for r in A.thresholded_pairs(rows.coalesce(1), 300, 0.5, 3).collect()}
+    assert all(r.pair_a % 2 == r.pair_b % 2 == 0 for r in got)
+
+
 def test_depth_operators(spark):
     rows = spark.createDataFrame([(1, LIKE), (2, [])], f"id bigint, tokens array<{R.TOKEN}>")
     got = rows.select("id", A.depth_probabilities(F.col("tokens")).alias("p")).orderBy("id").collect()
