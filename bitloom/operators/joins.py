@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.hashing import hash_int, hash_unit
+from bitloom.functions.trees import let
 from bitloom.operators.skew import join_by_counts, take_hashed
 from bitloom.scratch import materialise
 
+#: Mean number of partners drawn by one random number; rows with a larger mean use several. Eight times as many never occur.
+MOST_DRAWN = 8
+
 
 def zip_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Rows at the same position of two files; what only one of them has is left out."""
@@ -58,13 +64,20 @@ def numbered(rows: DataFrame, id_col: str, seed: int, *within: str) -> DataFrame
     return placed.withColumn("pos", F.col("_before") + F.row_number().over(inner) - 1).drop("_k", "_cell", "_before")
 
 
+def _poisson(b: Column) -> Column:
+    """A Poisson number from the fields ``u`` (uniform) and ``mean``, by inversion."""
+    first = F.struct(F.exp(-b["mean"]).alias("term"), F.exp(-b["mean"]).alias("sum"), F.lit(0).alias("n"))
+    step = lambda c, i: F.when(b["u"] < c["sum"], c).otherwise(F.struct((c["term"] * b["mean"] / i).alias("term"), (c["sum"] + c["term"] * b["mean"] / i).alias("sum"), i.alias("n")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8 * MOST_DRAWN)), first, step)["n"]
+
+
 def sampled_combinations(rows: DataFrame, group: list[str], id_col: str, k: int, seed: int) -> DataFrame:
     """``pair_a, pair_b`` (a < b): k random unordered pairs of rows of the same group, uniformly over all such pairs.
 
     All of them if there are at most k. Otherwise each row draws a Poisson number of partners among the rows behind it
-    in its group's random order, a little more than k in all, of which k are kept by hash; so no more pairs are made
-    than are wanted, however large a group is. If more than half of all pairs are wanted, all are made first (at most
-    2k).
+    in its group's random order, so many that more than k different pairs are expected, of which k are kept by hash;
+    so about as many pairs are made as are wanted, however large a group is. Should fewer be different, more are
+    drawn. If more than half of all pairs are wanted, all are made first (at most about 2k).
     """
     base = materialise(rows.select(*group, id_col).dropna(subset=group))
     n_rows = base.count()
@@ -74,16 +87,24 @@ def sampled_combinations(rows: DataFrame, group: list[str], id_col: str, k: int,
     other = placed.select(*group, F.col("pos").alias("_to"), F.col(id_col).alias("_b"))
     ahead = F.col("_n") - 1 - F.col("pos")
     wanted = k + 4 * k**0.5 + 16
-    if 2 * wanted >= total:
-        drawn = placed.where(ahead > 0).withColumn("_to", F.explode(F.sequence(F.col("pos") + 1, F.col("_n") - 1)))
+
+    def pairs_of(drawn: DataFrame) -> DataFrame:
+        return drawn.join(other, [*group, "_to"]).select(F.least(id_col, "_b").alias("pair_a"), F.greatest(id_col, "_b").alias("pair_b")).distinct()
+
+    while 2 * wanted < total:
+        # with t draws in the mean, total * (1 - exp(-t / total)) of all pairs are drawn at least once
+        mean = ahead * F.lit(-math.log1p(-wanted / total))
+        parts = F.greatest(F.lit(1), F.ceil(mean / MOST_DRAWN)).cast("int")
+        split = placed.where(ahead > 0).withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(1), F.col("_parts"))))
+        one, u = mean / F.col("_parts"), hash_unit(seed, "partners", F.col(id_col), F.col("_part"))
+        times = let(F.struct(u.alias("u"), one.alias("mean")), _poisson)
+        several = split.withColumn("_t", F.explode(F.filter(F.sequence(F.lit(0), times), lambda i: i > 0)))
+        pairs = materialise(pairs_of(several.withColumn("_to", F.col("pos") + 1 + F.pmod(hash_int(seed, "partner", F.col(id_col), F.col("_part"), F.col("_t")), ahead))))
+        if pairs.count() >= k:
+            break
+        wanted *= 1.5
     else:
-        mean, u = ahead * F.lit(wanted / total), hash_unit(seed, "partners", F.col(id_col))
-        first = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("sum"), F.lit(0).alias("n"))
-        step = lambda c, i: F.when(u < c["sum"], c).otherwise(F.struct((c["term"] * mean / i).alias("term"), (c["sum"] + c["term"] * mean / i).alias("sum"), i.alias("n")))
-        times = F.aggregate(F.sequence(F.lit(1), F.lit(200)), first, step)["n"]
-        several = placed.where(ahead > 0).withColumn("_t", F.explode(F.filter(F.sequence(F.lit(0), times), lambda i: i > 0)))
-        drawn = several.withColumn("_to", F.col("pos") + 1 + F.pmod(hash_int(seed, "partner", F.col(id_col), F.col("_t")), ahead))
-    pairs = drawn.join(other, [*group, "_to"]).select(F.least(id_col, "_b").alias("pair_a"), F.greatest(id_col, "_b").alias("pair_b")).distinct()
+        pairs = pairs_of(placed.where(ahead > 0).withColumn("_to", F.explode(F.sequence(F.col("pos") + 1, F.col("_n") - 1))))
     return take_hashed(pairs, F.xxhash64(F.lit(seed), "pair_a", "pair_b"), k)
 
 

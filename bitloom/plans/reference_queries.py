@@ -516,7 +516,8 @@ def swap_predicates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def swap_same_lemma(spark: SparkSession, sf: str) -> DataFrame:
-    return A.swap_same_lemma(L.candidate_pools(_pairs(spark, sf)), 50, SEED)
+    pairs = _pairs(spark, sf)
+    return A.swap_same_lemma(L.candidate_pools(pairs), A.target_pairs(pairs.count(), 0.5), SEED)
 
 
 @query()

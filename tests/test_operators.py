@@ -1,10 +1,12 @@
 """Sources, sinks and smaller operators."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from bitloom.operators import augment as A
 from bitloom.operators import filters as L
 from bitloom.operators import joins as J
 from bitloom.operators import near_duplicates as N
@@ -12,6 +14,7 @@ from bitloom.operators import reports as P
 from bitloom.operators import sampling as M
 from bitloom.operators import scoring as S
 from bitloom.operators import stats as D
+from bitloom.plans import reference_queries as Q
 from bitloom.sources import lines as I
 from bitloom.sources import sinks as O
 from bitloom.sources import tables as B
@@ -141,6 +144,23 @@ def test_sampled_combinations(spark):
     assert links == {i: (min(j for j in group if group[j] == g), sum(x == g for x in group.values()) - 1) for i, g in group.items()}
 
 
+def test_sampled_combinations_of_one_group(spark):
+    # a large part of all pairs is wanted, and single rows need more than 200 partners
+    rows = spark.range(1000).select(F.col("id").alias("pair_id"), F.lit(1).alias("a"))
+    for k in (10_000, 200_000):
+        got = J.sampled_combinations(rows, ["a"], "pair_id", k, 3).collect()
+        assert len({(r.pair_a, r.pair_b) for r in got}) == len(got) == k
+        degree = Counter(x for r in got for x in (r.pair_a, r.pair_b))
+        assert max(degree.values()) < 1.6 * min(degree.values()) if k > 10_000 else min(degree.values()) > 0
+
+
+def test_same_lemma_pairs_grow_with_the_table(spark, sf):
+    pairs = Q._pairs(spark, sf)
+    k, links = A.target_pairs(pairs.count(), 0.5), sum(r.n_links for r in Q.same_lemma_links(spark, sf).collect()) // 2
+    got = {(r.pair_a, r.pair_b) for r in Q.swap_same_lemma(spark, sf).collect()}
+    assert len(got) == min(k, links)
+
+
 def test_numbered_places(spark):
     grouped = J.numbered(spark.range(300).withColumn("g", F.col("id") % 4), "id", 1, "g").collect()
     assert sorted((r.g, r.pos) for r in grouped) == [(g, p) for g in range(4) for p in range(75)]
