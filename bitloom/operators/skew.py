@@ -40,17 +40,43 @@ def salted_join(big: DataFrame, keyed: DataFrame, key: str, count: str, by: Colu
     return left.join(right, [key, "_salt"], "inner").drop("_salt")
 
 
-def prefix_cut(rows: DataFrame, groups: list[str], key: str, weight: str, budgets: DataFrame, budget: str, buckets_log2: int = 16) -> DataFrame:
-    """Rows of each group in order of the 64-bit hash ``key`` for as long as their weights fit into the group's budget.
+def many_to_many_join(left: DataFrame, right: DataFrame, keys: list[str], per_cell: int = 10_000) -> DataFrame:
+    """Inner join on ``keys`` where a key may be hot on both sides.
 
-    A row is kept if the weights before it are below the budget and, with its own, do not exceed it. The prefix sums
-    are distributed: weights are summed by range of the key (2^buckets_log2 ranges a group), the sums run over the
-    ranges, and only the range in which the budget ends is sorted row by row. ``budgets`` has one row a group (as
-    many groups as there are targets: it is broadcast). Rows of one group with the same key are ordered by nothing
-    else, so make the key unique by hashing the row's id. Adds no column.
+    A key with more than a HOT_SHARE-th of the rows of a side is hot, so there are fewer than 2 * HOT_SHARE such keys
+    and they are broadcast. The l x r pairs of a hot key are made by a grid of tasks: either side is cut into parts of
+    about ``per_cell`` rows, and each part is copied to the parts of the other side. All other keys meet in one cell.
+    Both sides are read twice: give written tables.
+    """
+    sizes = None
+    for side, name in ((left, "_nl"), (right, "_nr")):
+        n = side.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+        total = n.agg(F.sum(name)).first()[0] or 0
+        n = n.where(F.col(name) > F.lit(max(per_cell, total / HOT_SHARE)))
+        sizes = n if sizes is None else sizes.join(n, keys, "full_outer")
+    parts = lambda name: F.greatest(F.lit(1), F.ceil(F.coalesce(name, F.lit(0)) / F.lit(per_cell))).cast("int")
+    grid = F.broadcast(sizes.select(*keys, parts("_nl").alias("_pl"), parts("_nr").alias("_pr")))
+
+    def placed(side: DataFrame, own: str, other: str) -> DataFrame:
+        columns = side.columns
+        known = side.join(grid, keys, "left").na.fill(1, ["_pl", "_pr"])
+        cell = F.pmod(F.xxhash64(*columns), F.col(f"_p{own}")).cast("int")
+        return known.select(*columns, cell.alias(f"_{own}"), F.explode(F.sequence(F.lit(0), F.col(f"_p{other}") - 1)).alias(f"_{other}"))
+
+    return placed(left, "l", "r").join(placed(right, "r", "l"), [*keys, "_l", "_r"]).drop("_l", "_r")
+
+
+def prefix_mark(rows: DataFrame, groups: list[str], key: str, weight: str, budgets: DataFrame, budget: str, buckets_log2: int = 16) -> DataFrame:
+    """Rows of the groups that have a budget, with ``_in``: whether they stand in the prefix that fits into it.
+
+    The order is that of the 64-bit hash ``key`` (unsigned). A row is in if the weights up to and with its own do not
+    exceed the budget. The prefix sums are distributed: weights are summed by range of the key (2^buckets_log2 ranges
+    a group), the sums run over the ranges, and only the range in which the budget ends is sorted row by row.
+    ``budgets`` has one row a group (as many groups as there are targets: it is broadcast). Rows of one group with the
+    same key are ordered by nothing else, so make the key unique by hashing the row's id. The columns of ``budgets``
+    are added; no other row is shuffled.
     """
     cell = F.shiftrightunsigned(F.col(key), 64 - buckets_log2)
-    # unsigned order of the key: the top bits as they are
     sized = rows.join(F.broadcast(budgets), groups, "inner").withColumn("_cell", cell)
     sums = sized.groupBy(*groups, "_cell").agg(F.sum(weight).alias("_w"), F.first(budget).alias("_b"))
     run = Window.partitionBy(*groups).orderBy("_cell")
@@ -61,15 +87,16 @@ def prefix_cut(rows: DataFrame, groups: list[str], key: str, weight: str, budget
         .agg(F.min(F.struct("_cell", (F.col("_to") - F.col("_w")).alias("_before"))).alias("_cut"))
     )
     placed = sized.join(F.broadcast(cut), groups, "left")
-    whole = placed.where(F.col("_cut").isNull() | (F.col("_cell") < F.col("_cut._cell")))
+    same = F.col("_cell") == F.col("_cut._cell")
+    outside = placed.where(F.coalesce(~same, F.lit(True))).withColumn("_in", F.col("_cut").isNull() | (F.col("_cell") < F.col("_cut._cell")))
     order = Window.partitionBy(*groups).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    partly = (
-        placed.where(F.col("_cell") == F.col("_cut._cell"))
-        .withColumn("_to", F.sum(weight).over(order) + F.col("_cut._before"))
-        .where(F.col("_to") <= F.col(budget))
-        .drop("_to")
-    )
-    return whole.unionByName(partly).drop("_cell", "_cut", budget)
+    inside = placed.where(same).withColumn("_in", F.sum(weight).over(order) + F.col("_cut._before") <= F.col(budget))
+    return outside.unionByName(inside).drop("_cell", "_cut")
+
+
+def prefix_cut(rows: DataFrame, groups: list[str], key: str, weight: str, budgets: DataFrame, budget: str, buckets_log2: int = 16) -> DataFrame:
+    """The rows of ``prefix_mark`` that are in, without further columns."""
+    return prefix_mark(rows, groups, key, weight, budgets.select(*groups, budget), budget, buckets_log2).where("_in").drop("_in", budget)
 
 
 def take_hashed(rows: DataFrame, key: Column, k: int) -> DataFrame:
