@@ -171,6 +171,8 @@ def test_mix_keeps_budgets(spark):
     empty, report = mixing.mixed_corpus(frame.limit(0), targets)
     assert empty.count() == 0 and report.count() == 5
     assert mixing.mixed_corpus(frame, targets.limit(0))[0].count() == 0
+    checked = mixing.mix_checks(frame, targets).collect()
+    assert len(checked) == 5 and all(r.within_budget and r.near_budget and r.repeats_kept for r in checked)
 
 
 # ---- quality ----
