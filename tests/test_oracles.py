@@ -1,24 +1,21 @@
 import pytest
 
-from bitloom.plans import core_problems, reference_queries
+from bitloom.plans import reference_queries
 from tests.oracle import check, connect
 
-ALL = [(n, m) for m in (reference_queries, core_problems) for n in m.ORACLES]
-
 
 @pytest.fixture(scope="module")
 def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize(("name", "module"), ALL, ids=[n for n, _ in ALL])
-def test_same_rows_as_sql(name, module, con, spark, sf, tmp_path):
-    check(con, module.QUERIES[name], module.ORACLES[name], spark, sf, tmp_path)
+@pytest.mark.parametrize("name", list(reference_queries.ORACLES))
+def test_same_rows_as_sql(name, con, spark, sf, tmp_path):
+    check(con, reference_queries.QUERIES[name], reference_queries.ORACLES[name], spark, sf, tmp_path)
 
 
-@pytest.mark.parametrize("name", [n for m in (reference_queries, core_problems) for n in m.QUERIES if n not in m.ORACLES])
+@pytest.mark.parametrize("name", [n for n in reference_queries.QUERIES if n not in reference_queries.ORACLES])
 def test_runs_without_sql(name, spark, sf):
-    query = (reference_queries.QUERIES | core_problems.QUERIES)[name]
-    rows = query(spark, sf)
+    rows = reference_queries.QUERIES[name](spark, sf)
     assert rows.columns
     assert rows.count() >= 0
