@@ -1,10 +1,7 @@
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as T
-from bitloom.functions.codepoints import equal_folded, folded_hashes
 from bitloom.functions.words import has_letter, words
 
 
@@ -44,18 +41,3 @@ def test_words_are_runs_of_letters_and_digits():
     assert words(None) == words("") == []
     assert words("İstanbul") == ["i̇stanbul"]
     assert has_letter("12 é") and not has_letter("½ 12 -") and not has_letter(None)
-
-
-def fold(t):
-    return "".join(c.lower()[0] for c in t if c.isalnum())
-
-
-@given(st.lists(st.tuples(st.text(max_size=30), st.text(max_size=30)), max_size=20))
-def test_folding_agrees_with_strings(pairs):
-    left, right = [a for a, _ in pairs], [b for _, b in pairs]
-    assert equal_folded(left, right).tolist() == [fold(a) == fold(b) for a, b in pairs]
-    ha, letters = folded_hashes(left)
-    hb, _ = folded_hashes(right)
-    assert letters.tolist() == [any(map(str.isalpha, a)) for a in left]
-    for x, y, (a, b) in zip(ha, hb, pairs, strict=True):
-        assert (x == y) == (fold(a) == fold(b))
