@@ -8,15 +8,15 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.functions.word_sketch import BITS, cells
-from bitloom.functions.words import word_hashes, words
+from bitloom.functions.words import words
 from bitloom.scratch import materialise
 
 # fixed values: single-byte encodings as which UTF-8 is misread
@@ -34,8 +34,10 @@ _WORDISH = re.compile(r"\S+")
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 #: Words and tokens that a task counts before it hands them on.
 COUNTED_AT_ONCE = 500_000
-#: More than this many lost letters in a word are looked for piece by piece.
-MOST_LOST = 3
+#: Log-odds against a byte sequence that is valid UTF-8 by chance, for each sequence that a reading joins.
+CHANCE = 10.0
+#: No compound of a natural language is longer; longer runs of letters are looked up as a whole only.
+LONGEST_COMPOUND = 256
 
 
 @lru_cache(maxsize=32)
@@ -61,174 +63,201 @@ def _matching(pattern: tuple[int, ...]) -> tuple[str, ...]:
     return tuple(sorted(c for b, c in _by_bytes().items() if len(b) == len(pattern) and all(p in (-1, x) for p, x in zip(pattern, b, strict=True))))
 
 
-Lattice = list[str | tuple[str, ...]]
+Part = str | tuple[str, ...]
+Edge = tuple[int, Part, int]
 
 
-def lattice(token: str, channel: str) -> tuple[Lattice, int]:
-    """The byte lattice of a token under a channel: fixed characters, or the choices where bytes were lost.
+def lattice(token: str, channel: str) -> list[list[Edge]]:
+    """The byte lattice of a token under a channel: for each place the edges (next place, character or choices, sequences joined).
 
-    Returns it with the number of byte sequences that it joins into characters. A lost byte (U+FFFD) is a wildcard:
-    inside a sequence it stands for any byte, alone for any accented letter.
+    Every place has an edge for the character as it stands (stretches of plain letters and digits have one for all),
+    and one for each way to join bytes from it into a character. A lost byte (U+FFFD) is a wildcard: inside of a
+    sequence it stands for any byte, alone for any accented letter. Empty if nothing can be read in another way.
     """
     table = byte_of(channel)
     codes = [table.get(c, -1 if c == LOST else ord(c) if c < "\x80" else -2) for c in token]
-    out: Lattice = []
-    i, joined = 0, 0
-    while i < len(token):
-        b, step = codes[i], 1
-        part: str | tuple[str, ...] = token[i]
-        lengths = (2,) if 0xC2 <= b <= 0xDF else (3,) if 0xE0 <= b <= 0xEF else (3, 2) if b == -1 else ()
-        for n in lengths:
+    if not any(x == -1 or 0xC2 <= x <= 0xEF for x in codes):
+        return []
+    shout = token.isupper() and len(token) > 2
+    edges: list[list[Edge]] = [[] for _ in token]
+    other = False
+    plain = 0  # where the stretch of plain characters began that ends here
+    for i, c in enumerate(token):
+        b, own = codes[i], edges[i]
+        for n in (2,) if 0xC2 <= b <= 0xDF else (3,) if 0xE0 <= b <= 0xEF else (2, 3) if b == -1 else ():
             seq = tuple(codes[i : i + n])
             if len(seq) == n and all(x == -1 or 0x80 <= x <= 0xBF for x in seq[1:]) and any(x >= 0 for x in seq):
                 fits = _matching(seq)
                 if fits:
-                    part, step, joined = (fits[0] if len(fits) == 1 else fits), n, joined + 1
-                    break
-        if step == 1 and token[i] == LOST:
-            shout = token.isupper() and len(token) > 2
-            opening = i == 0 and token[1:2].isupper() and not shout  # rather a quotation mark
-            part = LOST if opening else tuple(ACCENTED.upper() if shout else ACCENTED + ACCENTED.upper() if i == 0 else ACCENTED)
-        out.append(part)
-        i += step
-    return out, joined
+                    own.append((i + n, fits[0] if len(fits) == 1 else fits, 1))
+        if c == LOST and not (i == 0 and token[1:2].isupper() and not shout):  # else rather a quotation mark
+            own.append((i + 1, tuple(ACCENTED.upper() if shout else ACCENTED + ACCENTED.upper() if i == 0 else ACCENTED), 0))
+        other = other or bool(own)
+        if own or c >= "\x80" or not c.isalnum():
+            own.append((i + 1, c, 0))
+            plain = i + 1
+        else:
+            edges[plain] = [(i + 1, token[plain : i + 1], 0)]
+    return edges if other else []
 
 
-class Frequencies:
-    """Word frequencies of the corpus, from a table of counts of fixed size."""
+def skeleton(word: str) -> str:
+    """The word with every character outside ASCII as ``?``: the same for all spellings between which a lattice chooses."""
+    return _NOT_ASCII.sub("?", word)
+
+
+def _key(skeletons: list[str]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in skeletons]
+
 
-    def __init__(self, counts: np.ndarray):
-        self.counts, self.total = counts, max(1, int(counts[0].sum()))
-        self.kept: dict[str, int] = {}
+class Vocabulary:
+    """Words of the corpus with their exact counts, found by their skeletons; all others count 0.
+
+    Columns in the order of the hashes of the skeletons, so that a worker needs no table of Python strings.
+    """
+
+    def __init__(self, hashes: np.ndarray, names: pa.Array, counts: np.ndarray, total: int):
+        self.hashes, self.names, self.counts, self.total = hashes, names, counts, max(1, total)
+        self.groups: dict[str, dict[str, int]] = {}
+        self.costs: dict[str, float] = {}
+
+    @classmethod
+    def of(cls, counts: dict[str, int]) -> Vocabulary:
+        names, keys = list(counts), np.array(_key([skeleton(w) for w in counts]), dtype=np.int64)
+        order = np.argsort(keys, kind="stable")
+        return cls(keys[order], pa.array([names[i] for i in order], pa.large_string()), np.array(list(counts.values()), dtype=np.int64)[order], sum(counts.values()))
+
+    def alike(self, shape: str) -> dict[str, int]:
+        """The words with a skeleton."""
+        found = self.groups.get(shape)
+        if found is None:
+            if len(self.groups) > 300_000:
+                self.groups.clear()
+            h = _key([shape])[0]
+            a, b = (int(np.searchsorted(self.hashes, h, side)) for side in ("left", "right"))
+            names = self.names[a:b].to_pylist()
+            found = self.groups[shape] = {w: int(n) for w, n in zip(names, self.counts[a:b], strict=True) if skeleton(w) == shape}
+        return found
 
     def count(self, word: str) -> int:
-        n = self.kept.get(word)
-        if n is None:
-            if len(self.kept) > 500_000:
-                self.kept.clear()
-            h = np.array(word_hashes([word]), dtype=np.int64)
-            n = self.kept[word] = int(min(self.counts[r][cells(h, BITS, r)[0]] for r in range(len(self.counts))))
-        return n
+        return self.alike(skeleton(word)).get(word, 0)
 
     def evidence(self, word: str) -> float:
-        """How often the word occurs, or, as a compound, the rarer of its two best pieces (at least 3 letters each)."""
+        """How often the word occurs, or, as a compound, the rarer of its two best pieces (at least 2 letters each)."""
         own = self.count(word)
-        pieces = max((min(self.count(word[:i]), self.count(word[i:])) for i in range(2, len(word) - 1)), default=0) if len(word) >= 5 else 0
+        pieces = max((min(self.count(word[:i]), self.count(word[i:])) for i in range(2, len(word) - 1)), default=0) if 5 <= len(word) <= LONGEST_COMPOUND else 0
         return max(own, pieces)
 
     def score(self, text: str) -> float:
-        """Log-likelihood of the words of a text; unknown words cost by their length, odd characters extra."""
+        """Log-likelihood of the words of a text; unknown words cost by their length (as of 20 letters at most: damaged
+        words are themselves words of the corpus), odd characters extra."""
         s = -9.0 * len(_ODD.findall(text)) - 12.0 * text.count(LOST)
         for w in words(text):
-            n = self.count(w)
-            s += math.log(n / self.total) if n else math.log(1 / self.total) - 1.5 - 0.5 * len(w)
+            cost = self.costs.get(w)
+            if cost is None:
+                if len(self.costs) > 300_000:
+                    self.costs.clear()
+                n = self.count(w)
+                cost = self.costs[w] = math.log(n / self.total) if n else math.log(1 / self.total) - 1.5 - 0.5 * min(len(w), 20)
+            s += cost
         return s
 
 
-class ExactFrequencies(Frequencies):
-    """Exact counts of the words that a corpus has, by the sorted 64-bit hashes of the words; of all others 0."""
+class AskingVocabulary(Vocabulary):
+    """Notes in ``asked`` the skeletons that were looked up."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
-        self.hashes, self.counts, self.total = hashes, counts, max(1, total)
-        self.kept: dict[str, int] = {}
-
-    def count(self, word: str) -> int:
-        n = self.kept.get(word)
-        if n is None:
-            if len(self.kept) > 500_000:
-                self.kept.clear()
-            h = word_hashes([word])[0]
-            i = int(np.searchsorted(self.hashes, h))
-            n = self.kept[word] = int(self.counts[i]) if i < len(self.hashes) and self.hashes[i] == h else 0
-        return n
-
-
-def skeleton(word: str) -> str:
-    """The word with every character outside ASCII as ``?``: the same for all spellings between which a lattice chooses."""
-    return _NOT_ASCII.sub("?", word)
-
-
-class AskingFrequencies(ExactFrequencies):
-    """Notes in ``asked`` the skeletons of the words whose counts were asked for."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
-        super().__init__(hashes, counts, total)
+    def __init__(self, *columns: Any):
+        super().__init__(*columns)
         self.asked: set[str] = set()
 
-    def count(self, word: str) -> int:
-        if word not in self.kept:
-            self.asked.add(skeleton(word))
-        return super().count(word)
+    def alike(self, shape: str) -> dict[str, int]:
+        if shape not in self.groups:
+            self.asked.add(shape)
+        return super().alike(shape)
 
 
 class Decoder:
     """Noisy-channel decoder of texts."""
 
-    def __init__(self, freq: Frequencies):
-        self.freq = freq
-        self.resolved: dict[tuple, str] = {}
+    def __init__(self, known: Vocabulary):
+        self.known = known
+        self.closed: dict[tuple[Part, ...], tuple[str, float]] = {}
         self.tokens: dict[tuple[str, str], tuple[str, int]] = {}
 
-    def _fill(self, parts: tuple) -> tuple[str, float]:
-        """The most frequent word that fits the choices, with its evidence; ("", 0) if none is known."""
-        if parts in self.resolved:
-            return self.resolved[parts]
-        best, most = "", 0.0
-        for combo in product(*(p if isinstance(p, tuple) else (p,) for p in parts)):
-            word = "".join(combo)
-            n = self.freq.count(word.lower())
-            if n > most:
+    def _fit(self, letters: tuple[Part, ...]) -> tuple[str, int]:
+        """The most frequent word of the corpus that fits fixed letters and choices, with its count; ("", 0) if there is none."""
+        shape = "".join("?" if isinstance(p, tuple) else skeleton(p.lower()) for p in letters)
+        best, most = "", 0
+        for word, n in self.known.alike(shape).items():
+            if n > most and all(c in p or c.upper() in p if isinstance(p, tuple) else c == p.lower() for c, p in zip(word, letters, strict=True)):
                 best, most = word, n
-        if len(self.resolved) > 200_000:
-            self.resolved.clear()
-        self.resolved[parts] = (best, most)
-        return best, most
-
-    def resolve(self, parts: Lattice) -> str:
-        """Choose in a lattice: letters of each word by corpus frequency, Viterbi over two pieces for compounds."""
-        out: list[str] = []
-        run: list = []
-
-        def flush() -> None:
-            if not run:
-                return
-            lost = sum(isinstance(p, tuple) for p in run)
-            whole = tuple(run)
-            best, score = self._fill(whole) if lost <= MOST_LOST else ("", 0.0)
-            if score < 2 and len(run) >= 5:
-                for i in range(2, len(run) - 1):
-                    halves = [whole[:i], whole[i:]]
-                    if all(sum(isinstance(p, tuple) for p in h) <= MOST_LOST for h in halves):
-                        (a, x), (b, y) = map(self._fill, halves)
-                        if min(x, y) > score and min(x, y) >= 2:
-                            best, score = a + b, min(x, y)
-            out.append(best or "".join(LOST if isinstance(p, tuple) else p for p in run))
-            run.clear()
-
-        for k, p in enumerate(parts):
-            letters = p if isinstance(p, tuple) else (p if p.isalnum() else None)
-            alone = isinstance(p, tuple) and not run and not (k + 1 < len(parts) and (isinstance(parts[k + 1], tuple) or parts[k + 1].isalnum()))
-            if letters is None or alone:
-                flush()
-                out.append(LOST if alone else p)
-            elif isinstance(p, tuple):
-                kept = tuple(c for c in p if c.isalpha())
-                run.append(kept if len(kept) > 1 else kept[0] if kept else LOST)
-            else:
-                run.append(p)
-        flush()
-        return "".join(out)
+        loud = [p for p in letters if isinstance(p, str) and p.isalpha()]
+        upper = len(loud) > 1 and all(map(str.isupper, loud))
+        cased = (c.upper() if isinstance(p, tuple) and c.upper() in p and (upper or c not in p) else c if isinstance(p, tuple) else p for c, p in zip(best, letters, strict=False))
+        return "".join(cased), most
+
+    def _close(self, parts: tuple[Part, ...]) -> tuple[str, float]:
+        """The best word for a run of letters and choices, as a whole or of two known pieces, and its score."""
+        found = self.closed.get(parts)
+        if found is not None:
+            return found
+        if not any(isinstance(p, tuple) for p in parts):
+            word = "".join(parts)
+        elif len(parts) == 1:
+            word = LOST  # a single letter by itself says nothing
+        else:
+            letters = tuple(x for p in parts for x in ([p] if isinstance(p, tuple) else p))
+            word, n = self._fit(letters)
+            if n < 2 and 5 <= len(letters) <= LONGEST_COMPOUND:
+                for i in range(2, len(letters) - 1):
+                    (a, x), (b, y) = self._fit(letters[:i]), self._fit(letters[i:])
+                    if min(x, y) > n and min(x, y) >= 2:
+                        word, n = a + b, min(x, y)
+            word = word or "".join(LOST if isinstance(p, tuple) else p for p in parts)
+        if len(self.closed) > 200_000:
+            self.closed.clear()
+        self.closed[parts] = (word, self.known.score(word))
+        return self.closed[parts]
+
+    def read(self, edges: list[list[Edge]]) -> tuple[str, int]:
+        """The best path through a lattice and the sequences that it joins, by Viterbi search.
+
+        A state is a place and the shape of the word that is open there; its value is the score of what is closed:
+        frequencies of words, costs of odd and lost characters, and CHANCE for each joined sequence. The reading in
+        which nothing is joined is one of the paths.
+        """
+        states: list[dict[str, tuple]] = [{} for _ in range(len(edges) + 1)]
+        states[0][""] = (0.0, 0, "", ())
+        for i, own in enumerate(edges):
+            for shape, (score, joined, text, parts) in states[i].items():
+                word, cost = self._close(parts) if parts else ("", 0.0)
+                for to, part, n in own:
+                    letters = tuple(c for c in part if c.isalpha()) if isinstance(part, tuple) else part if part.isalnum() else ""
+                    if letters:
+                        key = shape + ("?" if isinstance(letters, tuple) else skeleton(letters))
+                        new = (score + CHANCE * n, joined + n, text, (*parts, letters[0] if isinstance(letters, tuple) and len(letters) == 1 else letters))
+                    else:
+                        sign = LOST if isinstance(part, tuple) else part
+                        odd = 21.0 if sign == LOST else 9.0 if _ODD.match(sign) else 0.0
+                        key, new = "", (score + cost + CHANCE * n - odd, joined + n, text + word + sign, ())
+                    if key not in states[to] or states[to][key][:2] < new[:2]:
+                        states[to][key] = new
+            states[i] = {}
+        ends = [(s + c, j, t + w) for s, j, t, w, c in ((s, j, t, *(self._close(p) if p else ("", 0.0))) for s, j, t, p in states[-1].values())]
+        _, joined, text = max(ends, key=lambda e: e[:2])
+        return text, joined
 
     def decode(self, token: str, channel: str) -> tuple[str, int]:
         """A token as the channel would have it, repeated while it still decodes; and the sequences joined."""
         if (token, channel) in self.tokens:
             return self.tokens[token, channel]
         now, joined = token, 0
-        for _ in range(3):
-            parts, n = lattice(now, channel)
-            if not n and not (LOST in now and _ == 0):
+        for turn in range(3):
+            edges = lattice(now, channel)
+            new, n = self.read(edges) if edges else (now, 0)
+            if new == now or not (n or (LOST in now and turn == 0)):
                 break
-            now, joined = self.resolve(parts) if any(isinstance(p, tuple) for p in parts) else "".join(parts), joined + n
+            now, joined = new, joined + n
         if len(self.tokens) > 200_000:
             self.tokens.clear()
         self.tokens[token, channel] = (now, joined)
@@ -240,7 +269,7 @@ class Decoder:
         if fixed == token:
             return token
         for old, new in zip(words(token), words(fixed), strict=True):
-            if old != new and self.freq.evidence(new) < max(3, 3 * self.freq.count(old)):
+            if old != new and self.known.evidence(new) < max(3, 3 * self.known.count(old)):
                 return token
         return fixed
 
@@ -248,7 +277,8 @@ class Decoder:
         """(restored text, channels used, damaged tokens). Without damage the text itself, "" and 0.
 
         Tokens with odd characters are decoded under each channel; the best sequence of channels is found by Viterbi,
-        where changing the channel costs and the words score by their frequency in the corpus.
+        where changing the channel costs, the words score by their frequency in the corpus, and joined sequences by
+        CHANCE. To leave a token as it stands is one of the choices.
         """
         if not _ODD.search(text):
             return text, "", 0
@@ -256,22 +286,20 @@ class Decoder:
         options = []
         for m in spans:
             token = m[0]
-            own: dict[str, tuple[str, bool]] = {"": (token, False)}
+            own: dict[str, tuple[str, bool, int]] = {"": (token, False, 0)}
             for c in CHANNELS:
                 new, joined = self.decode(token, c)
                 if joined or (new != token and LOST in token):
-                    own[c] = (new, True)
+                    own[c] = (new, True, joined)
             one = self.single(token)
             if one != token:
-                own["single"] = (one, True)
+                own["single"] = (one, True, 0)
             options.append(own)
         states = sorted({c for o in options for c in o})
         best: dict[str, tuple[float, tuple]] = {s: (0.0, ()) for s in states}
         for own in options:
-            scored = {s: self.freq.score(own[s][0]) if s in own else None for s in states}
+            scored = {s: self.known.score(own[s][0]) + CHANCE * own[s][2] if s in own else None for s in states}
             stay = scored[""]
-            if len(own) > 1 and "single" not in own:  # misread sequences are never meant, however rare the right word
-                stay = scored[""] = min(stay, max(v for c, v in scored.items() if c and v is not None) - 50.0)
             step = {}
             for s in states:
                 emit, took = (scored[s], s) if scored[s] is not None else (stay - 1.0, "")
@@ -286,7 +314,7 @@ class Decoder:
         chosen.reverse()
         out, at, used, damaged = [], 0, [], 0
         for m, own, took in zip(spans, options, chosen, strict=True):
-            new, changed = own[took]
+            new, changed, _ = own[took]
             if m[0][0] == LOST and new[0] in ACCENTED and text[: m.start()].rstrip(" ")[-1:] in ("", ".", "!", "?", "\n", "–", "-"):
                 new = new[0].upper() + new[1:]
             out += [text[at : m.start()], new]
@@ -328,48 +356,49 @@ def _words_and_odd_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "odd boolean, word string, n bigint").groupBy("odd", "word").agg(F.sum("n").alias("n"))
 
 
-def _hashed(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words in ascending order, with the counts."""
+def _columns(rows: DataFrame) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Hashes of the skeletons in ascending order, with the words and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(b.column(0).to_pylist()), pa.int64()), b.column(1)], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(_key(b.column(0).to_pylist()), pa.int64()), *b.columns[1:]], ["h", "word", "n"])
 
-    table = rows.select("word", "n").mapInArrow(run, "h bigint, n bigint").toArrow()
-    h, n = table.column("h").to_numpy(), table.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+    table = rows.select("skeleton", "word", "n").mapInArrow(run, "h bigint, word string, n bigint").toArrow().combine_chunks()
+    order = np.argsort(table.column("h").to_numpy(), kind="stable")
+    table = table.take(pa.array(order)).combine_chunks()
+    names = pa.concat_arrays([pa.array([], pa.large_string()), *(c.cast(pa.large_string()) for c in table.column("word").chunks)])
+    return table.column("h").to_numpy(), names, table.column("n").to_numpy()
 
 
-def asked_counts(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes and exact counts of all corpus words that the damaged tokens of the texts ask for, and the number of words.
+def asked_words(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, pa.Array, np.ndarray, int]:
+    """The columns of the vocabulary: all corpus words for which the damaged tokens of the texts ask, with exact counts.
 
-    The distinct tokens are decoded with the counts known so far; the skeletons of the words they ask for are joined
-    with the counted words of all rows. What is decoded in one round may ask for more in the next (twice damaged
-    texts); it ends when no round asks for anything new, so every count that decoding uses is then exact.
+    The distinct tokens are decoded with the words known so far; the skeletons they look up are joined with the
+    counted words of all rows. What is decoded in one round may ask for more in the next (twice damaged texts); it
+    ends when no round asks for anything new, so every count that decoding uses is then exact.
     """
     counted = materialise(_words_and_odd_tokens(texts).withColumn("skeleton", F.regexp_replace("word", r"[^\x00-\x7f]", "?")))
     tokens, vocabulary = counted.where("odd").select("word"), counted.where("not odd")
     total = int(vocabulary.agg(F.sum("n")).first()[0] or 0)
-    hashes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    columns = (np.zeros(0, np.int64), pa.array([], pa.large_string()), np.zeros(0, np.int64))
     answered = spark.createDataFrame([], "skeleton string")
     while True:
-        shared = spark.sparkContext.broadcast((hashes, counts, total))
+        shared = spark.sparkContext.broadcast((*columns, total))
 
         def ask(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            freq = AskingFrequencies(*shared.value)
-            decoder = Decoder(freq)
+            known = AskingVocabulary(*shared.value)
+            decoder = Decoder(known)
             for batch in batches:
                 for t in batch.column(0).to_pylist():
                     decoder.restore(t)
-                yield pa.RecordBatch.from_arrays([pa.array(list(freq.asked), pa.string())], ["skeleton"])
-                freq.asked.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(list(known.asked), pa.string())], ["skeleton"])
+                known.asked.clear()
 
         new = materialise(tokens.mapInArrow(ask, "skeleton string").distinct().join(answered, "skeleton", "left_anti"))
         if new.isEmpty():
-            return hashes, counts, total
+            return *columns, total
         answered = answered.unionByName(new)
-        hashes, counts = _hashed(vocabulary.join(answered, "skeleton", "left_semi"))
+        columns = _columns(vocabulary.join(answered, "skeleton", "left_semi"))
 
 
 def restored_texts(records: DataFrame, id_col: str, sides: dict[str, str]) -> DataFrame:
@@ -380,18 +409,18 @@ def restored_texts(records: DataFrame, id_col: str, sides: dict[str, str]) -> Da
     ones where the corpus knows the other word. Names and signs that fit none of these are left alone. complete: no
     lost or odd sequence is left in the restored text. Null and empty texts are no cases.
 
-    Words are counted exactly over all rows; the counts of those for which damaged tokens ask are broadcast. Texts
+    Words are counted exactly over all rows; those for which damaged tokens ask are broadcast with their counts. Texts
     without an unusual character are passed over by one search. No shuffle beside those of words and distinct tokens.
     """
     spark = records.sparkSession
-    shared, name = spark.sparkContext.broadcast(asked_counts(spark, records.select(*sides.values()))), uuid.uuid4().hex
+    shared, name = spark.sparkContext.broadcast(asked_words(spark, records.select(*sides.values()))), uuid.uuid4().hex
     base = records.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"t{k}") for k, c in enumerate(sides.values())))
     id_type, names = dict(base.dtypes)["id"], list(sides)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _decoders:
             _decoders.clear()
-            _decoders[name] = Decoder(ExactFrequencies(*shared.value))
+            _decoders[name] = Decoder(Vocabulary(*shared.value))
         decoder = _decoders[name]
         for batch in batches:
             for k, side in enumerate(names):

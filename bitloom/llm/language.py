@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from bitloom.llm.quality import text_stats
 
 #: Training rows taken for each side and label; the only bounded sample here, and used for nothing but fitting.
 SAMPLE_PER_LABEL = 1500
+#: Longer texts are not among them, so that what the driver gets is bounded (12 million characters a label and side at most).
+LONGEST_FITTED = 4000
 FEATURES_LOG2 = 16
 #: Words that a stretch needs to count as a language of the text (a shorter text needs all of its words).
 LEAST_WORDS = 4
@@ -246,7 +249,7 @@ def fit(texts: list[str], given: list[str | None], epochs: int = 12, seed: int =
 def training_rows(records: DataFrame, id_col: str, sides: dict[str, tuple[str, str]], per_label: int = SAMPLE_PER_LABEL) -> tuple[list[str], list[str | None]]:
     """The bounded sample that the field is fitted to: the rows of each side and label with the smallest hash."""
     one = [F.struct(F.lit(side).alias("side"), F.col(text).alias("t"), F.col(label).alias("l"), F.xxhash64(F.lit(side), F.col(id_col)).alias("h")) for side, (text, label) in sides.items()]
-    long = records.select(F.inline(F.array(*one))).where(F.col("l").isin(*LANGUAGES) & (F.length("t") < 4000))
+    long = records.select(F.inline(F.array(*one))).where(F.col("l").isin(*LANGUAGES) & (F.length("t") <= LONGEST_FITTED))
     counts = long.groupBy("side", "l").agg(F.count(F.lit(1)).alias("n")).collect()  # one number a side and language
     if not counts:
         return [], []
@@ -292,29 +295,46 @@ class Labeller:
 def segments(post: np.ndarray, least: int = LEAST_WORDS) -> list[tuple[int, int, int, float]]:
     """(first word, words, language, confidence) of the stretches of one text, in order.
 
-    Stretches of fewer than ``least`` words join the longer of their neighbours, shortest first; so a text has one
-    stretch at least if it has a word.
+    Stretches of fewer than ``least`` words join the longer of their neighbours (the one before, if these are equal),
+    shortest and earliest first; so a text has one stretch at least if it has a word. Stretches are kept in a linked
+    list and a heap, so a text of n stretches takes about n log n steps.
     """
     if not len(post):
         return []
     best = post.argmax(axis=1)
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(best)) + 1, [len(best)]])
-    runs = [[int(a), int(b), int(best[a])] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    while len(runs) > 1:
-        k = min(range(len(runs)), key=lambda i: runs[i][1] - runs[i][0])
-        if runs[k][1] - runs[k][0] >= least:
+    cut = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)]
+    first, end = cut[:-1], cut[1:]
+    lang = [int(best[a]) for a in first]
+    n = len(first)
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    alive = [True] * n
+    heap = [(end[i] - first[i], first[i], i) for i in range(n)]
+    heapq.heapify(heap)
+    left = n
+    while left > 1 and heap:
+        size, _, i = heapq.heappop(heap)
+        if not alive[i] or size != end[i] - first[i]:
+            continue
+        if size >= least:
             break
-        sides = [i for i in (k - 1, k + 1) if 0 <= i < len(runs)]
-        into = max(sides, key=lambda i: runs[i][1] - runs[i][0])
-        runs[k][2] = runs[into][2]
-        merged = [runs[0]]
-        for r in runs[1:]:
-            if r[2] == merged[-1][2]:
-                merged[-1][1] = r[1]
-            else:
-                merged.append(r)
-        runs = merged
-    return [(a, b - a, k, float(post[a:b, k].mean())) for a, b, k in runs]
+        sides = [k for k in (before[i], after[i]) if k >= 0]
+        lang[i] = lang[max(sides, key=lambda k: end[k] - first[k])]
+        for k in sides:
+            if lang[k] == lang[i]:  # one with the neighbour
+                first[i], end[i] = min(first[i], first[k]), max(end[i], end[k])
+                alive[k] = False
+                left -= 1
+                if k == before[i]:
+                    before[i] = before[k]
+                    if before[i] >= 0:
+                        after[before[i]] = i
+                else:
+                    after[i] = after[k]
+                    if after[i] >= 0:
+                        before[after[i]] = i
+        heapq.heappush(heap, (end[i] - first[i], first[i], i))
+    rest = sorted((first[i], end[i], lang[i]) for i in range(n) if alive[i])
+    return [(a, b - a, k, float(post[a:b, k].mean())) for a, b, k in rest]
 
 
 def fit_on(records: DataFrame, id_col: str, sides: dict[str, tuple[str, str]], per_label: int = SAMPLE_PER_LABEL) -> Model:

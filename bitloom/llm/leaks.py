@@ -60,18 +60,30 @@ def pieces(n: int, window: int, errors: int) -> list[tuple[int, int, int, int]]:
 
 
 class ItemSearch:
-    """An automaton of all pieces of a block of items, and the search of one document with it."""
+    """An automaton of all pieces of a block of items, and the search of one document with it.
+
+    Windows that several items share are one window: it is verified once at a hit and then counted for each item.
+    """
 
     def __init__(self, items: list[tuple[object, str]], window: int, errors: int):
         self.window, self.errors = window, errors
-        self.items = [(i, words(t)) for i, t in items]
+        self.items = [(i, len(words(t))) for i, t in items]
         self.automaton = ahocorasick.Automaton()
-        table: dict[str, list[tuple[int, int, int, int]]] = {}
-        for k, (_, own) in enumerate(self.items):
+        self.windows: list[tuple[list[str], list[tuple[int, int]]]] = []  # its words; (item, begin) of its places
+        number: dict[tuple[str, ...], int] = {}
+        table: dict[str, set[tuple[int, int]]] = {}
+        for k, (_, text) in enumerate(items):
+            own, last = words(text), -1
             for s, w, a, b in pieces(len(own), window, errors):
-                table.setdefault(" " + " ".join(own[a:b]) + " ", []).append((k, s, w, a))
+                n = number.setdefault(tuple(own[s : s + w]), len(self.windows))
+                if n == len(self.windows):
+                    self.windows.append((own[s : s + w], []))
+                if s != last:
+                    self.windows[n][1].append((k, s))
+                    last = s
+                table.setdefault(" " + " ".join(own[a:b]) + " ", set()).add((n, a - s))
         for piece, at in table.items():
-            self.automaton.add_word(piece, (len(piece), at))
+            self.automaton.add_word(piece, (len(piece), sorted(at)))
         if table:
             self.automaton.make_automaton()
         self.empty = not table
@@ -86,27 +98,30 @@ class ItemSearch:
         for end, (length, at) in self.automaton.iter(line):
             starts = starts or list(accumulate((len(w) + 1 for w in own), initial=0))
             j = bisect_right(starts, end - length + 1) - 1
-            for k, s, w, a in at:
-                d = j - (a - s)
-                if (k, s, d) in seen:
+            for n, offset in at:
+                d = j - offset
+                if (n, d) in seen:
                     continue
-                seen.add((k, s, d))
-                wanted = self.items[k][1][s : s + w]
+                seen.add((n, d))
+                wanted = self.windows[n][0]
+                w = len(wanted)
                 most = budget(w, self.window, self.errors)
-                best = found.get((k, s), (most + 1, w))[0]
+                best = found.get(n, most + 1)
                 if best == 0:
                     continue
                 if d >= 0 and own[d : d + w] == wanted:
-                    found[k, s] = (0, w)
+                    found[n] = 0
                 elif best > 1 and (e := myers(wanted, own[max(0, d - most) : d + w + most])) <= most and e < best:
-                    found[k, s] = (e, w)
+                    found[n] = e
         by_item: dict[int, list[tuple[int, int, int]]] = {}
-        for (k, s), (e, w) in found.items():
-            by_item.setdefault(k, []).append((s, e, w))
+        for n, e in found.items():
+            wanted, places = self.windows[n]
+            for k, s in places:
+                by_item.setdefault(k, []).append((s, e, len(wanted)))
         out = []
         for k, hits in by_item.items():
             covered = set().union(*(range(s, s + w) for s, _, w in hits))
-            out.append((self.items[k][0], len(hits), sum(e == 0 for _, e, _ in hits), len(covered), len(self.items[k][1])))
+            out.append((self.items[k][0], len(hits), sum(e == 0 for _, e, _ in hits), len(covered), self.items[k][1]))
         return out
 
 

@@ -10,8 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitloom.llm import encoding, language, leaks, mixing, queries, quality, repetition
-from bitloom.functions.word_sketch import cells, word_counts
-from bitloom.functions.words import word_hashes, words
+from bitloom.functions.words import words
 from tests.oracle import check, connect
 
 
@@ -229,6 +228,40 @@ def test_single_and_mixed_languages(model):
                 assert sum(s[1] for s in found) == n[0]
 
 
+def plain_segments(post, least):
+    """The rule as written: the shortest stretch joins its longer neighbour until all are long enough."""
+    best = post.argmax(axis=1)
+    runs = []
+    for i, k in enumerate(best):
+        if runs and runs[-1][2] == k:
+            runs[-1][1] = i + 1
+        else:
+            runs.append([i, i + 1, int(k)])
+    while len(runs) > 1:
+        k = min(range(len(runs)), key=lambda i: runs[i][1] - runs[i][0])
+        if runs[k][1] - runs[k][0] >= least:
+            break
+        sides = [i for i in (k - 1, k + 1) if 0 <= i < len(runs)]
+        runs[k][2] = runs[max(sides, key=lambda i: runs[i][1] - runs[i][0])][2]
+        merged = [runs[0]]
+        for r in runs[1:]:
+            if r[2] == merged[-1][2]:
+                merged[-1][1] = r[1]
+            else:
+                merged.append(r)
+        runs = merged
+    return [tuple(r) for r in runs]
+
+
+def test_segments_against_the_plain_rule():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        post = np.eye(language.K)[rng.integers(0, rng.integers(1, language.K + 1), rng.integers(1, 40))]
+        for least in (1, 2, 4):
+            assert [(a, a + n, k) for a, n, k, _ in language.segments(post, least)] == plain_segments(post, least)
+    assert len(language.segments(np.eye(language.K)[np.arange(60_000) % 2])) == 1
+
+
 def test_posteriors_are_exact(model):
     rng = np.random.default_rng(1)
     lens = np.array([3, 0, 1, 5])
@@ -274,9 +307,8 @@ CLEAN = ["Az őrült kőműves örömmel elkészítette a zöld tűzhelyet.", "
 
 
 @pytest.fixture(scope="module")
-def decoder(spark):
-    frame = spark.createDataFrame([(t,) for t in CLEAN * 5], "t string")
-    return encoding.Decoder(encoding.Frequencies(word_counts(frame, ["t"], rows=2)))
+def decoder():
+    return encoding.Decoder(encoding.Vocabulary.of(Counter(w for t in CLEAN * 5 for w in words(t))))
 
 
 @pytest.mark.parametrize("channel", encoding.CHANNELS)
@@ -322,16 +354,8 @@ def test_restored_rows(spark):
     assert encoding.restored_texts(frame.limit(0), "pair_id", queries.SIDES).count() == 0
 
 
-def test_sketch_counts_every_row(spark):
-    frame = spark.createDataFrame([("a a b",), (None,), ("A",)], "t string")
-    got = word_counts(frame, ["t"], rows=2)
-    h = np.array(word_hashes(["a", "b"]), dtype=np.int64)
-    assert [int(got[r][c]) for r in (0, 1) for c in cells(h, row=r)] == [3, 1, 3, 1]
-    assert unicodedata.category("a") == "Ll"
-
-
 def test_lost_letters_by_exact_counts(spark):
-    # these two words have the two cells of the wrong spelling körtöltök in a sketch of 2 x 2^20 cells
+    # in a table of 2 x 2^20 hash cells the wrong spelling körtöltök would have the cells of these two words
     texts = ["kértélték"] * 3 + ["w893329 w341362"] * 5 + ["k�rt�lt�k"]
     frame = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "pair_id bigint, hun string, eng string")
     got = encoding.restored_texts(frame, "pair_id", queries.SIDES).collect()
@@ -342,16 +366,70 @@ def test_words_asked_for_are_all_counted(spark):
     twice = "tűzhelyet".encode().decode("cp1252", "replace").encode().decode("cp1252", "ignore")
     texts = [(t,) for t in [*CLEAN, "A zöld tûzhelyet az õrült nézte.", twice, re.sub("[őöéáűü]", "�", CLEAN[0]), "megk�r�lt�k"]]
     frame = spark.createDataFrame(texts, "t string")
-    hashes, counts, total = encoding.asked_counts(spark, frame)
+    columns = encoding.asked_words(spark, frame)
     true = Counter(w for (t,) in texts for w in words(t))
-    assert total == true.total()
+    assert columns[-1] == true.total()
 
-    class Checked(encoding.ExactFrequencies):
-        def count(self, word):
-            n = super().count(word)
-            assert n == true[word], word
-            return n
+    class Checked(encoding.Vocabulary):
+        def alike(self, shape):
+            found = super().alike(shape)
+            assert found == {w: n for w, n in true.items() if encoding.skeleton(w) == shape}, shape
+            return found
 
-    decoder = encoding.Decoder(Checked(hashes, counts, total))
+    decoder = encoding.Decoder(Checked(*columns))
     for (t,) in texts:
         decoder.restore(t)
+
+
+def test_many_lost_letters_and_long_tokens():
+    known = encoding.Vocabulary.of({"őűúóüöíé": 9, "megöregedett": 4, "kőművesség": 3})
+    decoder = encoding.Decoder(known)
+    assert decoder.restore("x ��������")[0] == "x �������é" or decoder.restore("x ��������")[0] == "x őűúóüöíé"
+    assert decoder.restore("k�m�vess�gmeg�regedett")[0] == "kőművességmegöregedett"
+    text, _, n = decoder.restore("y" * 100_000 + "Ã¡" + "Ã\ufffd" * 2000)
+    assert n == 1 and text.startswith("y" * 100_000 + "á")
+
+
+def test_the_lattice_has_all_readings():
+    edges = encoding.lattice("kÃ¡", "cp1252")
+    assert edges == [[(1, "k", 0)], [(3, "á", 1), (2, "Ã", 0)], [(3, "¡", 0)]]
+    assert encoding.lattice("alma", "cp1252") == []
+    wild = encoding.lattice("Ã\ufffdk", "cp1252")
+    assert wild[0][0][0] == 2 and "á" in wild[0][0][1] and wild[0][1] == (1, "Ã", 0)
+    assert [e[0] for e in wild[1]] == [2, 2]
+
+
+def test_paths_through_a_lattice_against_enumeration():
+    """The Viterbi path scores as well as the best of all paths."""
+    rng = random.Random(3)
+    known = encoding.Vocabulary.of({"kőműves": 5, "ól": 3, "tűz": 9, "kéz": 7, "meg": 20, "k": 2})
+    tokens = ["kéz", "tűz-kőműves", "ól", "megkéz", "k"]
+    for _ in range(60):
+        token = "".join(rng.choice([c, c, "\ufffd"]) if ord(c) > 127 else c for c in rng.choice(tokens).encode().decode("cp1252", "replace"))
+        edges = encoding.lattice(token, "cp1252")
+        if not edges:
+            continue
+        decoder = encoding.Decoder(known)
+
+        def paths(at, edges=edges):
+            if at == len(edges):
+                yield []
+            for e in edges[at] if at < len(edges) else ():
+                for rest in paths(e[0]):
+                    yield [e, *rest]
+
+        def value(path):
+            total, out, run = 0.0, "", ()
+            for _, part, n in [*path, (0, " ", 0)]:
+                letters = tuple(c for c in part if c.isalpha()) if isinstance(part, tuple) else part if part.isalnum() else ""
+                total += encoding.CHANCE * n
+                if letters:
+                    run = (*run, letters)
+                    continue
+                out += decoder._close(run)[0] if run else ""
+                out += encoding.LOST if isinstance(part, tuple) else part
+                run = ()
+            return total + known.score(out[:-1])
+
+        text, joined = decoder.read(edges)
+        assert known.score(text) + encoding.CHANCE * joined >= max(map(value, paths(0))) - 1e-6
