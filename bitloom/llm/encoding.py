@@ -36,8 +36,9 @@ _NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 COUNTED_AT_ONCE = 500_000
 #: Log-odds against a byte sequence that is valid UTF-8 by chance, for each sequence that a reading joins.
 CHANCE = 10.0
-#: No compound of a natural language is longer; longer runs of letters are looked up as a whole only.
-LONGEST_COMPOUND = 256
+#: No word of a natural language has more letters; of longer runs that are still open only the best reading goes on.
+LONGEST_WORD = 64
+LONG = " "
 
 
 @lru_cache(maxsize=32)
@@ -145,7 +146,7 @@ class Vocabulary:
     def evidence(self, word: str) -> float:
         """How often the word occurs, or, as a compound, the rarer of its two best pieces (at least 2 letters each)."""
         own = self.count(word)
-        pieces = max((min(self.count(word[:i]), self.count(word[i:])) for i in range(2, len(word) - 1)), default=0) if 5 <= len(word) <= LONGEST_COMPOUND else 0
+        pieces = max((min(self.count(word[:i]), self.count(word[i:])) for i in range(2, len(word) - 1)), default=0) if 5 <= len(word) <= LONGEST_WORD else 0
         return max(own, pieces)
 
     def score(self, text: str) -> float:
@@ -207,8 +208,8 @@ class Decoder:
             word = LOST  # a single letter by itself says nothing
         else:
             letters = tuple(x for p in parts for x in ([p] if isinstance(p, tuple) else p))
-            word, n = self._fit(letters)
-            if n < 2 and 5 <= len(letters) <= LONGEST_COMPOUND:
+            word, n = self._fit(letters) if len(letters) <= LONGEST_WORD else ("", 0)
+            if n < 2 and 5 <= len(letters) <= LONGEST_WORD:
                 for i in range(2, len(letters) - 1):
                     (a, x), (b, y) = self._fit(letters[:i]), self._fit(letters[i:])
                     if min(x, y) > n and min(x, y) >= 2:
@@ -234,7 +235,8 @@ class Decoder:
                 for to, part, n in own:
                     letters = tuple(c for c in part if c.isalpha()) if isinstance(part, tuple) else part if part.isalnum() else ""
                     if letters:
-                        key = shape + ("?" if isinstance(letters, tuple) else skeleton(letters))
+                        key = shape + ("?" if isinstance(letters, tuple) else skeleton(letters[: LONGEST_WORD + 1]))
+                        key = LONG if shape == LONG or len(key) > LONGEST_WORD else key
                         new = (score + CHANCE * n, joined + n, text, (*parts, letters[0] if isinstance(letters, tuple) and len(letters) == 1 else letters))
                     else:
                         sign = LOST if isinstance(part, tuple) else part
