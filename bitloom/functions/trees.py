@@ -47,29 +47,34 @@ def token_at(tokens: Column, index: Column) -> Column:
     return F.try_element_at(F.filter(tokens, lambda t: t["id"] == index), F.lit(1))
 
 
-def heads(tokens: Column) -> Column:
-    """Map from id to head."""
-    return F.map_from_arrays(F.transform(tokens, lambda t: t["id"]), F.transform(tokens, lambda t: t["head"]))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once a row, also where the body uses it inside of lambdas."""
     return F.transform(F.array(value), body)[0]
 
 
-def _climb(tokens: Column, start: Column, stop: Column, up: Column) -> Column:
-    """The id where a walk from ``start`` towards the root ends: at ``stop`` or at 0."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.size(tokens) + 2),
-        start,
-        lambda c, _: F.when((c == stop) | (c == 0), c).otherwise(F.coalesce(F.try_element_at(up, c), F.lit(0))),
-    )
+def _doubled(tokens: Column, first: Callable[[Column], Column], step: Callable[[Column, Column], Column]) -> Column:
+    """An array with a value for the root (first) and each token, made by pointer doubling along the heads.
+
+    first(places): the values to start from; step(own, other): a value joined with that of the place it points to.
+    After k rounds a value covers 2^k steps towards the root, so a sentence of n tokens takes about log n rounds of n.
+    """
+
+    def run(places: Column) -> Column:
+        jump = lambda c: F.transform(c["up"], lambda u: F.element_at(c["up"], u))
+        join = lambda c: F.transform(c["value"], lambda v, k: step(v, F.element_at(c["value"], F.element_at(c["up"], k + 1))))
+        start = F.struct(places.alias("up"), first(places).alias("value"))
+        rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(tokens) + 2)).cast("int"))
+        return F.aggregate(rounds, start, lambda c, _: F.struct(jump(c).alias("up"), join(c).alias("value")))["value"]
+
+    ids = F.transform(tokens, lambda t: t["id"])
+    place = lambda known: F.transform(tokens, lambda t: (F.array_position(known, t["head"]) + 1).cast("int"))
+    return let(F.concat(F.array(F.lit(1)), let(ids, place)), run)
 
 
 def subtree_ids(tokens: Column, root: Column) -> Column:
     """Sorted ids of a token and all its descendants; null if ``root`` is null."""
-    inside = lambda up: F.filter(tokens, lambda t: _climb(tokens, t["id"], root, up) == root)
-    ids = let(heads(tokens), lambda up: F.transform(inside(up), lambda t: t["id"]))
+    hits = _doubled(tokens, lambda _: F.concat(F.array(F.lit(False)), F.transform(tokens, lambda t: t["id"] == root)), lambda own, other: own | other)
+    ids = let(hits, lambda hit: F.transform(F.filter(tokens, lambda t, k: F.element_at(hit, k + 2)), lambda t: t["id"]))
     return F.when(root.isNotNull(), F.array_sort(ids))
 
 
@@ -78,18 +83,19 @@ def induced(tokens: Column, ids: Column) -> Column:
     return F.filter(tokens, lambda t: F.array_contains(ids, t["id"]))
 
 
-def _steps(tokens: Column, token_id: Column, up: Column) -> Column:
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.size(tokens) + 2),
-        F.struct(token_id.alias("at"), F.lit(0).alias("n")),
-        lambda c, _: F.when(c["at"] == 0, c).otherwise(F.struct(F.coalesce(F.try_element_at(up, c["at"]), F.lit(0)).alias("at"), (c["n"] + 1).alias("n"))),
-    )
-    return ends["n"]
+def depths(tokens: Column) -> Column:
+    """Edges between each token, in the order of the array, and the artificial root (the root token has depth 1).
 
+    A head that is missing counts as a token under the root. Tokens of a cycle have the number of tokens plus 2.
+    """
 
-def depths(tokens: Column) -> Column:
-    """Edges between each token, in the order of the array, and the artificial root (the root token has depth 1)."""
-    return let(heads(tokens), lambda up: F.transform(tokens, lambda t: _steps(tokens, t["id"], up)))
+    def first(places: Column) -> Column:
+        one = F.transform(tokens, lambda t, k: F.when((t["head"] != 0) & (F.element_at(places, k + 2) == 1), 2).otherwise(1))
+        return F.concat(F.array(F.lit(0)), one)
+
+    most = F.size(tokens) + 2
+    found = _doubled(tokens, first, lambda own, other: F.least(own + other, most))
+    return let(found, lambda d: F.slice(d, 2, F.size(tokens)))
 
 
 def with_label(tokens: Column, label: str) -> Column:
@@ -97,6 +103,11 @@ def with_label(tokens: Column, label: str) -> Column:
     return F.filter(tokens, lambda t: t["deprel"] == label)
 
 
+def with_property(tokens: Column, name: str, value: str) -> Column:
+    """The tokens with a value of a field."""
+    return F.filter(tokens, lambda t: t[name] == value)
+
+
 def only_with_label(tokens: Column, label: str) -> Column:
     """The single token with a label; null if there is none or more than one."""
     found = with_label(tokens, label)

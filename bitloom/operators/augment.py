@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,11 +70,12 @@ def augment_by_swapping(
     """Object and subject exchange over tree pairs (``pair_id, src_tokens, tgt_tokens``).
 
     N = ratio * pairs (or size) sentences are wanted of each method. With separate pools each dependency has its own
-    candidates and draws, else both use the same draws from the pairs eligible for both. Candidates are kept with a
-    disk level: they are used by the count, the draws and the swaps.
+    candidates and draws, else both use the same draws from the pairs eligible for both. The trees and the candidates
+    are written once: they are used by the count, the draws and the swaps.
     """
+    pairs = materialise(pairs)
     k = target_pairs(pairs.count(), ratio, size, multiplier)
-    pools = candidate_pools(with_spans(pairs), separate, same_predicate, nouns, same_pos).persist(StorageLevel.MEMORY_AND_DISK)
+    pools = materialise(candidate_pools(with_spans(pairs), separate, same_predicate, nouns, same_pos))
     out = None
     for dep, method in (("obj", "obj_swapping"), ("nsubj", "subj_swapping")):
         pool = pools.where(F.col("pool") == (dep if separate else "both"))
@@ -103,7 +103,8 @@ def swap_same_lemma(candidates: DataFrame, k: int, seed: int, save_original: boo
 
     All pairs of each group; if they are more than k, k of them at random.
     """
-    keyed = with_predicate_lemmas(candidates).where("src_lemma is not null and tgt_lemma is not null").persist(StorageLevel.MEMORY_AND_DISK)
+    keyed = with_predicate_lemmas(candidates).where("src_lemma is not null and tgt_lemma is not null")
+    keyed = materialise(keyed)
     chosen = sampled_combinations(keyed, ["src_lemma", "tgt_lemma"], "pair_id", k, seed).withColumn("draw", F.lit(0).cast("bigint"))
     made = [swap_pairs(keyed, chosen, dep, f"{m}_same_predicate_lemma", save_original) for dep, m in (("obj", "obj_swapping"), ("nsubj", "subj_swapping"))]
     return made[0].unionByName(made[1])
@@ -207,8 +208,9 @@ def thresholded_pairs(pool: DataFrame, k: int, threshold: float, seed: int, deca
 
 def augment_by_similarity(pairs: DataFrame, kind: str = "edge_mapper", threshold: float = 0.5, ratio: float = 0.5, size: int | None = None, seed: int = 123, **rules: bool) -> DataFrame:
     """Object and subject exchange in separate pools among pairs whose subtrees are similar across the languages."""
+    pairs = materialise(pairs)
     k = target_pairs(pairs.count(), ratio, size)
-    pools = candidate_pools(with_spans(pairs), True, **rules).persist(StorageLevel.MEMORY_AND_DISK)
+    pools = materialise(candidate_pools(with_spans(pairs), True, **rules))
     out = None
     for dep, method in (("obj", "obj_swapping"), ("nsubj", "subj_swapping")):
         pool = with_similarity(pools.where(F.col("pool") == dep), dep, kind)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import text as T
 from bitloom.functions import trees as R
+from bitloom.operators.skew import join_by_counts
+from bitloom.operators.stats import exact_quantiles
+from bitloom.scratch import materialise
 
 
 def in_band(n: Column, least: int = 0, most: int = 32, inclusive_max: bool = False) -> Column:
@@ -128,15 +131,22 @@ def candidate_pools(pairs: DataFrame, separate: bool = False, same_predicate: bo
 def above_quantile(scored: DataFrame, group: str, src_score: str, tgt_score: str, q: float) -> DataFrame:
     """Rows whose two scores are strictly above the q-quantile of their group (linear interpolation).
 
-    One row of limits a group: broadcast by the optimiser only if its statistics allow it.
+    One row of limits a group; hot groups meet theirs by broadcast. Rows without a group are left out.
     """
-    limits = scored.groupBy(group).agg(F.percentile(src_score, F.lit(q)).alias("_s"), F.percentile(tgt_score, F.lit(q)).alias("_t"))
-    return scored.join(limits, group).where((F.col(src_score) > F.col("_s")) & (F.col(tgt_score) > F.col("_t"))).drop("_s", "_t")
+    found = exact_quantiles(scored.where(F.col(group).isNotNull()), [group], [src_score, tgt_score], (q,))
+    pick = lambda c: F.max(F.when(F.col("column_name") == c, F.col("q0")))
+    counts = scored.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    limits = materialise(counts.join(found.groupBy(group).agg(pick(src_score).alias("_s"), pick(tgt_score).alias("_t")), group))
+    total = limits.agg(F.sum("_n")).first()[0] or 0
+    met = join_by_counts(scored, limits, [group], "_n", total)
+    return met.where((F.col(src_score) > F.col("_s")) & (F.col(tgt_score) > F.col("_t"))).select(*scored.columns)
 
 
 def between_quantiles(scored: DataFrame, src_score: str, tgt_score: str, low: float, high: float) -> DataFrame:
     """Rows whose two scores are strictly between the two quantiles of all rows."""
-    limits = scored.agg(*(F.percentile(c, F.lit(q)).alias(f"_{n}{k}") for k, c in enumerate((src_score, tgt_score)) for n, q in (("lo", low), ("hi", high))))
+    limits = exact_quantiles(scored, [], [src_score, tgt_score], (low, high)).agg(
+        *(F.max(F.when(F.col("column_name") == c, F.col(f"q{i}"))).alias(f"_{n}{k}") for k, c in enumerate((src_score, tgt_score)) for i, n in enumerate(("lo", "hi")))
+    )
     kept = scored.crossJoin(F.broadcast(limits))  # one row of limits
     for k, c in enumerate((src_score, tgt_score)):
         kept = kept.where((F.col(c) > F.col(f"_lo{k}")) & (F.col(c) < F.col(f"_hi{k}")))

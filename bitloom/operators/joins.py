@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions.hashing import hash_int, hash_unit
 from bitloom.functions.trees import let
-from bitloom.operators.skew import join_by_counts, take_hashed
+from bitloom.operators.skew import HOT_SHARE, join_by_counts, take_hashed, union_all
 from bitloom.scratch import materialise
 
 #: Mean number of partners drawn by one random number; rows with a larger mean use several. Eight times as many never occur.
@@ -21,14 +21,42 @@ def zip_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right, on, "inner")
 
 
+def _hashed(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with ``_k``, a digest of the join columns (null if one of them is), so that long texts are not shuffled as keys."""
+    key = F.sha2(F.concat(*(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c).cast("string")) for c in on)), 256)
+    return rows.withColumn("_k", key)
+
+
 def overlap(rows: DataFrame, other: DataFrame, on: list[str], keep_multiplicity: bool = False) -> DataFrame:
-    """Rows that also stand in ``other``; with keep_multiplicity once for each time they stand there."""
-    return rows.join(other.select(*on), on, "inner" if keep_multiplicity else "left_semi")
+    """Rows that also stand in ``other``; with keep_multiplicity once for each time they stand there.
+
+    ``other`` is reduced to its different keys, with their number, before anything meets. Hot keys of ``rows`` are
+    broadcast (see join_by_counts). Rows with a null key stand nowhere.
+    """
+    keyed = materialise(_hashed(rows, on).where("_k is not null"))
+    asked = _hashed(other.select(*on), on).where("_k is not null").groupBy("_k").agg(F.count(F.lit(1)).alias("_times"))
+    counts = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    both = materialise(counts.join(asked, "_k"))
+    found = join_by_counts(keyed, both, ["_k"], "_n", keyed.count())
+    if keep_multiplicity:
+        found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).drop("_copy")
+    return found.drop("_k", "_n", "_times")
 
 
 def without_overlap(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
-    """Rows that do not stand in ``other`` (rows with a null key never do)."""
-    return rows.join(other.select(*on).distinct(), on, "left_anti")
+    """Rows that do not stand in ``other`` (rows with a null key never do).
+
+    ``other`` is reduced to its different keys. Keys that are hot in ``rows`` are taken out by broadcast before the
+    rest is shuffled; rows with a null key are not shuffled at all.
+    """
+    keyed = materialise(_hashed(rows, on))
+    asked = _hashed(other.select(*on), on).where("_k is not null").select("_k").distinct()
+    counts = keyed.where("_k is not null").groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    limit = keyed.count() / HOT_SHARE
+    hot = materialise(counts.where(F.col("_n") > F.lit(limit)).join(asked.withColumn("_there", F.lit(True)), "_k", "left"))
+    marked = keyed.where("_k is not null").join(F.broadcast(hot.withColumn("_hot", F.lit(True)).select("_k", "_hot", "_there")), "_k", "left")
+    parts = [keyed.where("_k is null"), marked.where("_hot and _there is null"), marked.where("_hot is null").join(asked, "_k", "left_anti")]
+    return union_all([p.select(*rows.columns) for p in parts])
 
 
 def outer_counts(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -111,8 +139,8 @@ def sampled_combinations(rows: DataFrame, group: list[str], id_col: str, k: int,
 def draw_pairs(n: int, k: int, seed: int, spark) -> DataFrame:  # noqa: ANN001
     """``draw, x, y``: k distinct ordered pairs of places x != y below n, uniformly; at most n(n-1).
 
-    Draws are hashes of their number; k of the distinct ones count, chosen by hash. If more than half of all pairs are wanted, all
-    are ranked by hash instead.
+    Draws are hashes of their number; the first k different ones count, however many are made. If more than half of
+    all pairs are wanted, all are ranked by hash instead.
     """
     most = n * (n - 1)
     k = min(k, most)
@@ -122,7 +150,8 @@ def draw_pairs(n: int, k: int, seed: int, spark) -> DataFrame:  # noqa: ANN001
     if 2 * k > most:
         every = spark.range(most).select((F.col("id") / (n - 1)).cast("bigint").alias("x"), F.pmod("id", F.lit(n - 1)).alias("y0"))
         every = every.select("x", (F.col("y0") + (F.col("y0") >= F.col("x")).cast("bigint")).alias("y"))
-        return take_hashed(every, F.xxhash64(F.lit(seed), "x", "y"), k).select((F.col("x") * n + F.col("y")).alias("draw"), "x", "y")
+        every = every.select((F.col("x") * n + F.col("y")).alias("draw"), "x", "y")
+        return take_hashed(every, F.shiftleft(hash_int(seed, "every", F.col("draw")), 32).bitwiseOR(F.pmod("draw", F.lit(1 << 32))), k)
     m = k + max(64, k)
     while True:
         draws = spark.range(m).select(
@@ -131,9 +160,10 @@ def draw_pairs(n: int, k: int, seed: int, spark) -> DataFrame:  # noqa: ANN001
             F.pmod(hash_int(seed, "y", F.col("id")), F.lit(n - 1)).alias("y0"),
         )
         pairs = draws.select("draw", "x", (F.col("y0") + (F.col("y0") >= F.col("x")).cast("bigint")).alias("y"))
-        firsts = pairs.groupBy("x", "y").agg(F.min("draw").alias("draw"))
+        firsts = materialise(pairs.groupBy("x", "y").agg(F.min("draw").alias("draw")).select("draw", "x", "y"))
         if firsts.count() >= k:
-            return take_hashed(firsts, F.xxhash64(F.lit(seed), "draw"), k).select("draw", "x", "y")
+            # numbers from 0, as the top bits of a 64-bit key cut in their order
+            return take_hashed(firsts, F.shiftleft("draw", 63 - m.bit_length()), k)
         m *= 2
 
 

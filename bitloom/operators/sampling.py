@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,19 +36,33 @@ def split_by_share(rows: DataFrame, id_col: str, valid_share: float, seed: int)
     return rows.withColumn("new_split", F.when(hash_unit(seed, "share", F.col(id_col)) < valid_share, "valid").otherwise("train"))
 
 
-def sample_with_replacement(rows: DataFrame, id_col: str, share: float, seed: int, draws: int = 8) -> DataFrame:
-    """Each row as often as it is drawn in a sample with replacement of about share * rows draws.
+#: Mean number of draws that one hash of a row stands for.
+MEAN_A_HASH = 32.0
+
+
+def poisson_steps(mean: float) -> list[float]:
+    """Chances of at most 0, 1, 2, .. draws, as far as a number of 32 bits can tell them from 1."""
+    term = total = math.exp(-mean)
+    out = [total]
+    while total < 1 - 2.0**-32 and term > 0:
+        term *= mean / len(out)
+        total += term
+        out.append(total)
+    return out
+
+
+def sample_with_replacement(rows: DataFrame, id_col: str, share: float, seed: int) -> DataFrame:
+    """Each row as often as it is drawn in a sample with replacement of about share * rows draws, with ``copy`` from 1.
 
     A row's number of draws is Poisson with mean ``share`` (the limit of drawing with replacement), from one hash a
-    row, so the sample needs no counting and no shuffle. ``draws`` bounds what one row can get.
+    row (several for a large share), so the sample needs no counting and no shuffle.
     """
-    u, term, total, steps = hash_unit(seed, "again", F.col(id_col)), 2.718281828459045**-share, 0.0, []
-    for i in range(draws):
-        total += term
-        steps.append(total)
-        term *= share / (i + 1)
-    n = F.array(*(F.lit(s) for s in steps))
-    times = F.size(F.filter(n, lambda s: s <= u))
+    parts = max(1, math.ceil(share / MEAN_A_HASH))
+    steps = F.array(*map(F.lit, poisson_steps(share / parts)))
+    times = F.lit(0)
+    for p in range(parts):
+        u = hash_unit(seed, f"again{p}" if p else "again", F.col(id_col))
+        times = times + F.size(F.filter(steps, lambda s: s <= u))  # noqa: B023
     return rows.withColumn("_n", times).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
 
 

@@ -17,21 +17,48 @@ def shares(rows: DataFrame, by: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(by, "n", (F.col("n") / F.col("_total")).alias("share"))  # total is one row
 
 
-def describe(rows: DataFrame, columns: list[str], quantiles: tuple[float, ...] = QUANTILES, exact: bool = True) -> DataFrame:
-    """One row a column: count, mean, both standard deviations, min, max and the quantiles as ``q<per mille>``.
+def _long(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """``by``, ``column_name``, ``x``: the values of all columns as doubles, from one scan."""
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in columns]
+    return rows.select(*by, F.inline(F.array(*cells)))
 
-    exact=False takes approximate quantiles, whose state has a fixed size for each task.
+
+def exact_quantiles(rows: DataFrame, by: list[str], columns: list[str], quantiles: tuple[float, ...]) -> DataFrame:
+    """``by``, ``column_name``, ``n`` and ``q0``, ``q1``, ..: exact quantiles with linear interpolation, nulls left out.
+
+    All columns come from one scan. Equal values are counted before the shuffle, and the ranks are running sums over
+    the sorted different values of a group; these are sorted with spilling and never held in the state of an aggregate.
+    """
+    keys = [*by, "column_name"]
+    counts = _long(rows, by, columns).where("x is not null").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_to", F.sum("_n").over(order))
+    whole = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = placed.withColumn("n", F.sum("_n").over(whole))
+    found = []
+    for i, p in enumerate(quantiles):
+        at = (F.col("n") - 1) * F.lit(float(p))
+        for name, rank in ((f"_a{i}", F.floor(at)), (f"_b{i}", F.ceil(at))):
+            found.append(F.max(F.when((rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_n")), F.col("x"))).alias(name))
+    per = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *found)
+    between = [(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * ((F.col("n") - 1) * F.lit(float(p)) - F.floor((F.col("n") - 1) * F.lit(float(p))))).alias(f"q{i}") for i, p in enumerate(quantiles)]
+    return per.select(*keys, "n", *between)
+
+
+def describe(rows: DataFrame, columns: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """One row a column: count, mean, both standard deviations, min, max and the exact quantiles as ``q<per mille>``.
+
+    Two scans, however many columns: one for the moments and one for the quantiles (see exact_quantiles).
     """
-    out = None
-    for c in columns:
-        x = F.col(c).cast("double")
-        q = [(F.percentile(x, F.lit(p)) if exact else F.percentile_approx(x, F.lit(p), 100_000)).alias(f"q{round(p * 1000)}") for p in quantiles]
-        one = rows.agg(
-            F.lit(c).alias("column_name"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std_sample"), F.stddev_pop(x).alias("std_population"),
-            F.min(x).alias("lowest"), F.max(x).alias("highest"), *q,
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    x = F.col("x")
+    moments = _long(rows, [], columns).groupBy("column_name").agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std_sample"), F.stddev_pop(x).alias("std_population"), F.min(x).alias("lowest"), F.max(x).alias("highest")
+    )
+    every = F.broadcast(rows.sparkSession.createDataFrame([(c,) for c in columns], "column_name string"))
+    named = [F.col(f"q{i}").alias(f"q{round(q * 1000)}") for i, q in enumerate(quantiles)]
+    found = F.broadcast(exact_quantiles(rows, [], columns, quantiles).drop("n"))  # one row a column
+    full = every.join(F.broadcast(moments), "column_name", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    return full.join(found, "column_name", "left").select("column_name", "n", "mean", "std_sample", "std_population", "lowest", "highest", *named)
 
 
 def ngram_counts(texts: DataFrame, column: str, n: int) -> DataFrame:

@@ -18,6 +18,7 @@ from bitloom.operators import sampling as M
 from bitloom.operators import scoring as S
 from bitloom.operators import stats as D
 from bitloom.operators.tree_similarity import jaccard_from_sizes
+from bitloom.scratch import materialise
 from bitloom.sources.dep_trees import to_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,12 +64,12 @@ def blanks_sql(x: str) -> str:
     return f"CAST(len(string_split({x}, ' ')) AS INTEGER)"
 
 
-def md5_sql(*parts: str) -> str:
-    return f"md5(concat_ws(':', '{SEED}', {', '.join(parts)}))"
+def md5_sql(*parts: str, seed: int = SEED) -> str:
+    return f"md5(concat_ws(':', '{seed}', {', '.join(parts)}))"
 
 
-def int_sql(*parts: str) -> str:
-    return f"CAST('0x' || substr({md5_sql(*parts)}, 1, 8) AS BIGINT)"
+def int_sql(*parts: str, seed: int = SEED) -> str:
+    return f"CAST('0x' || substr({md5_sql(*parts, seed=seed)}, 1, 8) AS BIGINT)"
 
 
 # ---- text ----
@@ -250,7 +251,8 @@ def sample_by_length(spark: SparkSession, sf: str) -> DataFrame:
     return M.sample_per_group(rows, ["bucket"], "pair_id", 20, SEED)
 
 
-@query()
+@query(f"""WITH u AS (SELECT pair_id, {int_sql("'again'", 'CAST(pair_id AS VARCHAR)')} / 4294967296.0::DOUBLE AS u FROM hunglish_sampler),
+n AS (SELECT pair_id, len(list_filter({M.poisson_steps(0.5)}::DOUBLE[], lambda s: s <= u)) AS n FROM u) SELECT pair_id, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM n WHERE n > 0""")
 def sample_with_replacement(spark: SparkSession, sf: str) -> DataFrame:
     return M.sample_with_replacement(_h(spark, sf).select("pair_id"), "pair_id", 0.5, SEED)
 
@@ -471,6 +473,11 @@ def same_lemma_links(spark: SparkSession, sf: str) -> DataFrame:
     return J.links_within(keyed, ["src_lemma", "tgt_lemma"], "pair_id")
 
 
+def _pool(spark: SparkSession, sf: str) -> DataFrame:
+    """The shared pool, written once: the draws and both sides of the swaps read it."""
+    return materialise(L.candidate_pools(_pairs(spark, sf)))
+
+
 def _next_pairs(pool: DataFrame) -> DataFrame:
     """Each pool member with the next one in hash order, as a stated set of pairs for the swap queries."""
     at = J.numbered(pool.select("pair_id"), "pair_id", SEED)
@@ -482,23 +489,49 @@ NEXT = f"""place AS (SELECT pair_id, row_number() OVER (ORDER BY {int_sql("'pos'
 draws AS (SELECT a.pos AS draw, a.pair_id AS pair_a, b.pair_id AS pair_b FROM place a JOIN place b ON b.pos = a.pos + 1)"""
 
 
-def _swap_sql(dep: str, method: str) -> str:
+def _swap_sql(dep: str, method: str, draws: str = NEXT, original: bool = False) -> str:
     """Both directions of a swap: the words before and after the own span, and in between those of the other's."""
     if dep == "predicate":
-        span = "span AS (SELECT pair_id, shead AS slo, shead AS shi, thead AS tlo, thead AS thi FROM ok WHERE dep = 'nsubj')"
+        span = "span AS (SELECT pair_id, shead AS slo, shead AS shi, thead AS tlo, thead AS thi FROM ok WHERE dep = 'nsubj' AND shead > 0 AND thead > 0)"
     else:
         span = f"span AS (SELECT pair_id, slo, shi, tlo, thi FROM ok WHERE dep = '{dep}')"
-    return f"""{TREE}, {NEXT}, {span}, dirs AS (SELECT draw, pair_a, pair_b, 0 AS slot, pair_a AS own, pair_b AS other FROM draws UNION ALL SELECT draw, pair_a, pair_b, 1, pair_b, pair_a FROM draws),
+    plain = f""" UNION ALL SELECT 'original_{method}', d.draw, d.pair_a, d.pair_b, d.slot, string_agg(form, ' ' ORDER BY t.id) FILTER (t.side = 'hun'), string_agg(form, ' ' ORDER BY t.id) FILTER (t.side = 'eng') FROM dirs d JOIN tok t ON t.pair_id = d.own
+ WHERE EXISTS (SELECT 1 FROM span s WHERE s.pair_id = d.pair_a) AND EXISTS (SELECT 1 FROM span s WHERE s.pair_id = d.pair_b) GROUP BY ALL"""
+    return f"""{TREE}, {draws}, {span}, dirs AS (SELECT draw, pair_a, pair_b, 0 AS slot, pair_a AS own, pair_b AS other FROM draws UNION ALL SELECT draw, pair_a, pair_b, 1, pair_b, pair_a FROM draws),
 words AS (SELECT d.draw, d.slot, t.side, t.form, CASE WHEN t.id < CASE t.side WHEN 'hun' THEN s.slo ELSE s.tlo END THEN 0 ELSE 2 END AS part, t.id FROM dirs d JOIN span s ON s.pair_id = d.own JOIN tok t ON t.pair_id = d.own
  WHERE NOT t.id BETWEEN CASE t.side WHEN 'hun' THEN s.slo ELSE s.tlo END AND CASE t.side WHEN 'hun' THEN s.shi ELSE s.thi END
  UNION ALL SELECT d.draw, d.slot, t.side, t.form, 1, t.id FROM dirs d JOIN span s ON s.pair_id = d.other JOIN tok t ON t.pair_id = d.other WHERE t.id BETWEEN CASE t.side WHEN 'hun' THEN s.slo ELSE s.tlo END AND CASE t.side WHEN 'hun' THEN s.shi ELSE s.thi END),
 txt AS (SELECT draw, slot, string_agg(form, ' ' ORDER BY part, id) FILTER (side = 'hun') AS src, string_agg(form, ' ' ORDER BY part, id) FILTER (side = 'eng') AS tgt FROM words GROUP BY 1, 2)
-SELECT '{method}' AS method, d.draw, d.pair_a, d.pair_b, d.slot, src, tgt FROM dirs d JOIN txt USING (draw, slot) WHERE EXISTS (SELECT 1 FROM span s WHERE s.pair_id = d.pair_a) AND EXISTS (SELECT 1 FROM span s WHERE s.pair_id = d.pair_b)"""
+SELECT '{method}' AS method, d.draw, d.pair_a, d.pair_b, d.slot, src, tgt FROM dirs d JOIN txt USING (draw, slot) WHERE EXISTS (SELECT 1 FROM span s WHERE s.pair_id = d.pair_a) AND EXISTS (SELECT 1 FROM span s WHERE s.pair_id = d.pair_b){plain if original else ''}"""
+
+
+AUGMENT_SEED = 123
+
+
+def _draws_sql(pool: str) -> str:
+    """The random pairs of a pool: the first k different ones of numbered draws; if most are wanted, all in the order of a hash."""
+    i = lambda *parts: int_sql(*parts, seed=AUGMENT_SEED)
+    return f"""place AS (SELECT pair_id, row_number() OVER (ORDER BY {i("'pos'", 'CAST(pair_id AS VARCHAR)')}, pair_id) - 1 AS pos FROM {pool}),
+size AS (SELECT (SELECT count(*) FROM place) AS n, (SELECT CAST(floor(floor(count(*) * 0.5) / 2) AS BIGINT) FROM both_sides) AS k),
+drawn AS (SELECT i AS draw, {i("'x'", 'CAST(i AS VARCHAR)')} % n AS x, {i("'y'", 'CAST(i AS VARCHAR)')} % (n - 1) AS y FROM size, range((SELECT 20 * k + 500 FROM size)) r(i) WHERE n > 1),
+firsts AS (SELECT min(draw) AS draw, x, y + (y >= x)::BIGINT AS y FROM drawn GROUP BY ALL),
+every AS (SELECT a.pos * n + b.pos AS draw, a.pos AS x, b.pos AS y FROM place a, place b, size WHERE a.pos <> b.pos AND 2 * k > n * (n - 1)),
+ranked AS (SELECT draw, x, y, row_number() OVER (ORDER BY draw) AS r FROM firsts, size WHERE 2 * k <= n * (n - 1)
+ UNION ALL SELECT draw, x, y, row_number() OVER (ORDER BY {i("'every'", 'CAST(draw AS VARCHAR)')}, draw) FROM every),
+draws AS (SELECT draw, a.pair_id AS pair_a, b.pair_id AS pair_b FROM ranked JOIN place a ON a.pos = x JOIN place b ON b.pos = y, size WHERE r <= k)"""
+
+
+def _augment_sql(separate: bool, original: bool) -> str:
+    parts = []
+    for dep, method in (("obj", "obj_swapping"), ("nsubj", "subj_swapping")):
+        pool = f"(SELECT pair_id FROM ok WHERE dep = '{dep}')" if separate else "pool2"
+        parts.append(f"SELECT * FROM ({_swap_sql(dep, method, _draws_sql(pool), original)})")
+    return " UNION ALL ".join(parts)
 
 
 def _swap(dep: str, method: str, name: str) -> Query:
     def f(spark: SparkSession, sf: str) -> DataFrame:
-        pool = L.candidate_pools(_pairs(spark, sf))
+        pool = _pool(spark, sf)
         return A.swap_pairs(pool, _next_pairs(pool), dep, method)
 
     f.__name__ = name
@@ -508,24 +541,24 @@ def _swap(dep: str, method: str, name: str) -> Query:
 swap_objects, swap_subjects = _swap("obj", "obj_swapping", "swap_objects"), _swap("nsubj", "subj_swapping", "swap_subjects")
 
 
-@query()
+@query(_swap_sql("predicate", "predicate_swapping"))
 def swap_predicates(spark: SparkSession, sf: str) -> DataFrame:
-    pool = L.candidate_pools(_pairs(spark, sf))
+    pool = _pool(spark, sf)
     return A.swap_pairs(pool, _next_pairs(pool), "predicate", "predicate_swapping")
 
 
 @query()
 def swap_same_lemma(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _pairs(spark, sf)
+    pairs = materialise(_pairs(spark, sf))
     return A.swap_same_lemma(L.candidate_pools(pairs), A.target_pairs(pairs.count(), 0.5), SEED)
 
 
-@query()
+@query(_augment_sql(False, True))
 def augment_base(spark: SparkSession, sf: str) -> DataFrame:
     return A.augment_by_swapping(L.tree_pairs(_trees(spark, sf)), save_original=True)
 
 
-@query()
+@query(_augment_sql(True, False))
 def augment_separate(spark: SparkSession, sf: str) -> DataFrame:
     return A.augment_by_swapping(L.tree_pairs(_trees(spark, sf)), separate=True)
 
@@ -540,9 +573,12 @@ def augment_ged(spark: SparkSession, sf: str) -> DataFrame:
     return A.augment_by_similarity(L.tree_pairs(_trees(spark, sf)), "ged", 0.5)
 
 
-@query()
+@query(f"""WITH x AS ({_swap_sql("obj", "obj_swapping")}), {TOK},
+l AS (SELECT pair_id, string_agg(form, ' ' ORDER BY id) FILTER (side = 'hun') || chr(9) || string_agg(form, ' ' ORDER BY id) FILTER (side = 'eng') AS line FROM tok GROUP BY 1)
+SELECT a.method, a.pair_a, a.pair_b, concat_ws(chr(10), la.line, lb.line, repeat('-', 20), a.src || chr(9) || a.tgt, b.src || chr(9) || b.tgt, repeat('-', 20)) AS report
+FROM x a JOIN x b ON a.draw = b.draw AND a.slot = 0 AND b.slot = 1 JOIN l la ON la.pair_id = a.pair_a JOIN l lb ON lb.pair_id = a.pair_b""")
 def augmented_report(spark: SparkSession, sf: str) -> DataFrame:
-    pool = L.candidate_pools(_pairs(spark, sf))
+    pool = _pool(spark, sf)
     made = A.swap_pairs(pool, _next_pairs(pool), "obj", "obj_swapping")
     plain = pool.select("pair_id", R.sentence(F.col("src_tokens")).alias("src"), R.sentence(F.col("tgt_tokens")).alias("tgt"))
     return P.report_blocks(made, plain)
@@ -557,7 +593,7 @@ def tree_similarities(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def similarity_experiment(spark: SparkSession, sf: str) -> DataFrame:
-    pool = L.candidate_pools(_pairs(spark, sf))
+    pool = _pool(spark, sf)
     return A.similarity_experiment(pool, _next_pairs(pool), "obj")
 
 
@@ -577,12 +613,21 @@ def _changed(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("at", A.chosen_positions(F.col("p"), SEED, F.concat_ws("/", "pair_id", "side")))
 
 
-@query()
+def _changed_sql(text: str) -> str:
+    """Words at up to three positions drawn by the chances of their depth."""
+    draw = lambda i: f"SELECT DISTINCT pair_id, side, {int_sql(chr(39) + f'draw{i}' + chr(39), 'pair_id || chr(47) || side')} / 4294967296.0::DOUBLE AS u FROM p"
+    return f"""{PROB}, run AS (SELECT *, sum(prob) OVER (PARTITION BY pair_id, side ORDER BY pos) AS s FROM p),
+u AS ({' UNION ALL '.join(draw(i) for i in range(3))}),
+c AS (SELECT DISTINCT pair_id, side, least(max(pos), count(*) FILTER (s <= u) + 1) AS pos FROM run JOIN u USING (pair_id, side) GROUP BY pair_id, side, u)
+SELECT pair_id, side, {text} AS text FROM p JOIN tok USING (pair_id, side, id) LEFT JOIN (SELECT *, true AS hit FROM c) USING (pair_id, side, pos) GROUP BY 1, 2"""
+
+
+@query(_changed_sql("string_agg(CASE WHEN hit THEN '[BLANK]' ELSE form END, ' ' ORDER BY pos)"))
 def blanked_words(spark: SparkSession, sf: str) -> DataFrame:
     return _changed(spark, sf).select("pair_id", "side", A.blank_words(F.col("tokens"), F.col("at")).alias("text"))
 
 
-@query()
+@query(_changed_sql("coalesce(string_agg(form, ' ' ORDER BY pos) FILTER (hit IS NULL), '')"))
 def dropped_words(spark: SparkSession, sf: str) -> DataFrame:
     return _changed(spark, sf).select("pair_id", "side", A.drop_words(F.col("tokens"), F.col("at")).alias("text"))
 

@@ -9,47 +9,54 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bitloom.functions.trees import TOKEN, trees_from_edges
-from bitloom.sources.lines import natural_key
+from bitloom.sources.lines import natural_key, raw_lines
 
 # fixed values: the columns of the tree files
 TREE_COLUMNS = ("target_key", "target_postag", "target_lemma", "target_deprel", "source_key", "source_postag", "source_lemma")
 EMTSV_COLUMNS = ("form", "wsafter", "anas", "lemma", "xpostag", "upostag", "feats", "id", "deprel", "head")
 
 
-def _numbered_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """``file``, ``line``, ``block``, ``value``: lines of whole files with the number of blank lines before them in the file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    order = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("block", F.coalesce(F.sum((F.col("value") == "").cast("int")).over(order), F.lit(0)))
+def _numbered_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, files). lines: ``file``, ``value``, ``first`` (whether it is the first of its file), ``block`` (blank lines
+    before it in its file); files: ``file``, ``n`` (its blank lines), ``offset`` (those of all files before it).
+
+    Files are in natural order of their paths. Blank lines are counted by split of a file (one row each) and running
+    within a split, so no task sees more than a split.
+    """
+    lines = raw_lines(spark, path).withColumn("blank", (F.col("value") == "").cast("int"))
+    splits = lines.groupBy("file", "split").agg(F.sum("blank").alias("n"), F.min("at").alias("begin"))
+    own = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "split", "begin", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("before"))
+    within = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    running = lines.withColumn("k", F.coalesce(F.sum("blank").over(within), F.lit(0)))
+    placed = running.join(offsets, ["file", "split"])
+    first = (F.col("split") == 0) & (F.col("at") == F.col("begin"))
+    totals = splits.groupBy("file").agg(F.sum("n").alias("n"))
+    order = Window.orderBy(natural_key(F.col("file")), "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = totals.withColumn("offset", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    return placed.select("file", "value", first.alias("first"), (F.col("before") + F.col("k")).alias("block")), files
 
 
 def read_trees(spark: SparkSession, path: str, side: str = "src") -> DataFrame:
-    """``pair_id, side, tokens``: the sentences of all files in natural order of the names, numbered from 0.
+    """``pair_id, side, tokens``: the sentences of all files in natural order of the paths, numbered from 0.
 
     A blank line ends a sentence; two in a row are an empty sentence, which keeps its number and has no tokens; what
     follows the last blank line of a file is no sentence.
     """
-    lines = _numbered_blocks(spark, path)
-    ends = lines.where("value = ''").groupBy("file").agg((F.max("block") + 1).alias("n"))
-    # a file's text ends with a newline, so its last line is empty and is no blank line of its own
-    ends = ends.withColumn("n", F.col("n") - 1)
-    files = ends.withColumn("key", natural_key(F.col("file")))
-    order = Window.orderBy("key", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    offsets = files.withColumn("offset", F.coalesce(F.sum("n").over(order), F.lit(0))).select("file", "n", "offset")
+    lines, files = _numbered_blocks(spark, path)
     cells = F.split("value", "\t")
-    edges = lines.where("value <> ''").join(offsets, "file").where("block < n")
+    edges = lines.where("value <> ''").join(files, "file").where("block < n")
     edges = edges.select((F.col("offset") + F.col("block")).alias("pair_id"), *(F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(TREE_COLUMNS)))
     trees = trees_from_edges(edges, ("pair_id",))
-    every = offsets.where("n > 0").select(F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("n") - 1)).alias("pair_id"))
+    every = lines.where("value = ''").join(files, "file").select((F.col("offset") + F.col("block")).alias("pair_id"))
     return every.join(trees, "pair_id", "left").select("pair_id", F.lit(side).alias("side"), F.coalesce("tokens", F.array().cast(f"array<{TOKEN}>")).alias("tokens"))
 
 
 def read_emtsv(spark: SparkSession, path: str) -> DataFrame:
-    """``pair_id, tokens`` of emtsv output: columns by the names in the header row, sentences end at blank lines."""
-    lines = _numbered_blocks(spark, path)
-    header = lines.where("line = 0").select("file", F.split("value", "\t").alias("h"))
-    rows = lines.where("line > 0 and value <> ''").join(header, "file").withColumn("c", F.split("value", "\t"))
+    """``file, pair_id, tokens`` of emtsv output: columns by the names in the header row, sentences end at blank lines."""
+    lines, _ = _numbered_blocks(spark, path)
+    header = lines.where("first").select("file", F.split("value", "\t").alias("h"))
+    rows = lines.where("not first and value <> ''").join(header, "file").withColumn("c", F.split("value", "\t"))
     cell = lambda name: F.get("c", F.array_position("h", name).cast("int") - 1)
     token = F.struct(cell("id").cast("int").alias("id"), cell("form").alias("form"), cell("lemma").alias("lemma"), cell("upostag").alias("upos"), cell("head").cast("int").alias("head"), cell("deprel").alias("deprel"))
     return rows.select("file", "block", token.alias("t")).groupBy("file", "block").agg(F.array_sort(F.collect_list("t")).alias("tokens")).select("file", F.col("block").alias("pair_id"), "tokens")

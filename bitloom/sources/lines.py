@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,20 +20,39 @@ def natural_key(name: Column) -> Column:
     return padded
 
 
+def raw_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """``value, file, split, at``: lines with their file, their split of it and a number that ascends within the split.
+
+    Any encoding in which a line ends with the byte of a newline: single-byte ones are read byte by character and
+    translated in the JVM, others are decoded by line in Arrow batches. Bytes that an encoding lacks become U+FFFD.
+    """
+    name = codecs.lookup(encoding).name
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    value = F.col("value")  # the bytes of the line as they are
+    if name not in ("utf-8", "ascii"):
+        value = F.decode(value.cast("binary"), "ISO-8859-1")
+        upper = [bytes([b]) for b in range(128, 256)]
+        singles = [b.decode(encoding, "replace") for b in upper]
+        if all(len(c) == 1 for c in singles) and (b"".join(upper)).decode(encoding, "replace") == "".join(singles):
+            value = value if name == "iso8859-1" else F.translate(value, "".join(map(chr, range(128, 256))), "".join(singles))
+        else:
+            decode = F.pandas_udf(lambda t: t.map(lambda x: x.encode("latin-1").decode(encoding, "replace")), "string")
+            value = decode(value)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")]
+    return raw.select(value.alias("value"), *place, F.monotonically_increasing_id().alias("at"))
+
+
 def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """``line_no`` (from 0, through all files in natural order of their paths), ``value`` (without outer white space).
 
     Lines keep their order within a split of a file; the numbers of lines of the splits (one row each) are summed up
-    to offsets and joined back. Nothing is sorted but the splits, and lines stay in the JVM. Encodings as Java names
-    them; those outside Spark's list need spark.sql.legacy.javaCharsets.
+    to offsets and joined back. Nothing is sorted but the splits.
     """
-    raw = spark.read.option("encoding", encoding).text(path)
-    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    lines = raw.select("value", *split, F.monotonically_increasing_id().alias("at"))
-    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    order = Window.orderBy(natural_key(F.col("file")), "file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    return lines.join(offsets, ["file", "block"]).select((F.col("at") - F.col("first") + F.col("before")).alias("line_no"), strip_all(F.col("value")).alias("value"))
+    lines = raw_lines(spark, path, encoding)
+    splits = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    order = Window.orderBy(natural_key(F.col("file")), "file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "split", "first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    return lines.join(offsets, ["file", "split"]).select((F.col("at") - F.col("first") + F.col("before")).alias("line_no"), strip_all(F.col("value")).alias("value"))
 
 
 def read_aligned(spark: SparkSession, src: str, tgt: str, encoding: str = "UTF-8") -> DataFrame:
@@ -55,26 +76,15 @@ def read_tsv_bitext(spark: SparkSession, path: str, encoding: str = "ISO-8859-2"
     """(rows, malformed) of tab-separated files ``<domain>/<...>/<file>`` below ``path``.
 
     rows: ``hun, eng, source_file, domain`` of lines with exactly one tab; malformed: the other non-empty lines with
-    their file. Bytes are decoded in Python by Arrow batches, so any encoding will do; files are whole-file reads, as
-    the corpus ships them (a file a book, not a file a corpus).
+    their file. Files are read by split, so a file may be of any size.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-
-    def decode(it):  # noqa: ANN001, ANN202
-        for pdf in it:
-            yield pdf.assign(text=[bytes(b).decode(encoding, "replace") for b in pdf["content"]])[["path", "text"]]
-
-    text = files.select("path", "content").mapInPandas(decode, "path string, text string")
-    after = F.substring_index("path", f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", -1)
-    lines = text.select(
-        F.substring_index("path", "/", -1).alias("source_file"),
-        F.substring_index(after, "/", 1).alias("domain"),
-        F.explode(F.split("text", "\r?\n")).alias("line"),
-    ).where("line <> ''")
+    lines = raw_lines(spark, path, encoding)
+    after = F.substring_index("file", f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    placed = lines.select(F.substring_index("file", "/", -1).alias("source_file"), F.substring_index(after, "/", 1).alias("domain"), F.col("value").alias("line")).where("line <> ''")
     parts = F.split("line", "\t")
-    good = lines.where(F.size(parts) == 2)
+    good = placed.where(F.size(parts) == 2)
     fix = strip_all if trim else (lambda c: c)
-    return good.select(fix(parts[0]).alias("hun"), fix(parts[1]).alias("eng"), "source_file", "domain"), lines.where(F.size(parts) != 2)
+    return good.select(fix(parts[0]).alias("hun"), fix(parts[1]).alias("eng"), "source_file", "domain"), placed.where(F.size(parts) != 2)
 
 
 def read_translations(spark: SparkSession, path: str, corpus: str, first: str = "en", second: str = "hu") -> DataFrame:

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
-    """A delimited table with a given schema (never inferred: one scan)."""
-    return spark.read.schema(schema).csv(path, sep=sep, header=header)
+def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", header: bool = True, quote: str = '"') -> DataFrame:
+    """A delimited table with a given schema (never inferred: one scan); without a quote sign quotes and backslashes are characters."""
+    if quote:
+        return spark.read.schema(schema).csv(path, sep=sep, header=header, quote=quote)
+    return spark.read.schema(schema).csv(path, sep=sep, header=header, quote="\0", escape="\0", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_config(path: str) -> dict[str, Any]:

@@ -1,6 +1,6 @@
 import pytest
 
-from bitloom.plans import reference_queries
+from bitloom.plans import reference_queries, round_trips  # noqa: F401
 from tests.oracle import check, connect
 
 
