@@ -13,7 +13,6 @@ import xxhash
 
 _RUN = re.compile(r"[^\W_]+")
 _LETTER = re.compile(r"[^\W\d_]")
-_cache: dict[str, int] = {}
 _CACHE_LIMIT = 2_000_000
 
 
@@ -34,18 +33,22 @@ def has_letter(text: str | None) -> bool:
     return bool(m) and (m[0].isalpha() or any(map(str.isalpha, text)))
 
 
+class _Hashes(dict):
+    """Word to hash; a word seen for the first time is hashed."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
+        return h
+
+
+_cache = _Hashes()
+
+
 def word_hashes(tokens: list[str] | set[str]) -> list[int]:
     """A signed 64-bit hash of each word; words seen before come from a table of bounded size."""
     if len(_cache) > _CACHE_LIMIT:
         _cache.clear()
-    out = []
-    for w in tokens:
-        h = _cache.get(w)
-        if h is None:
-            h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) - (1 << 63)
-            _cache[w] = h
-        out.append(h)
-    return out
+    return list(map(_cache.__getitem__, tokens))
 
 
 def mixed(hashes: np.ndarray, bits: int) -> np.ndarray:
