@@ -84,6 +84,9 @@ class FMIndex:
         return low
 
     def extend(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One step of backward search: intervals of the patterns with one more symbol in front."""
-        low2, high2 = self.rank(codes, low), self.rank(codes, high)
-        return low2, np.where(codes > 0, high2, low2)
+        """One step of backward search: intervals of the patterns with one more symbol in front; (0, 0) where there is none."""
+        low2, high2 = np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=np.int64)
+        open_ = np.flatnonzero((codes > 0) & (low < high))
+        low2[open_] = self.rank(codes[open_], low[open_])
+        high2[open_] = self.rank(codes[open_], high[open_])
+        return low2, high2

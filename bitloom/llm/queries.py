@@ -12,6 +12,7 @@ from bitloom.llm.format_dedup import collapse_formats, format_duplicates
 from bitloom.llm.group_split import assign_splits, broken_groups, split_checks
 from bitloom.llm.language import fit_on, language_segments, wrong_labels
 from bitloom.llm.leaks import find_leaks
+from bitloom.llm.lexicon import COMMON
 from bitloom.llm.mixing import mix_checks, mixed_corpus
 from bitloom.llm.quality import non_prose, quality
 from bitloom.llm.quota_sample import quota_sample, sample_sizes
@@ -23,6 +24,8 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Words of the longest copied stretch that a document may have; a longer one flags it whatever the share.
+LONGEST_REPEAT = 100
 SIDES = {"hun": "hun", "eng": "eng"}
 LABELLED = {"hun": ("hun", "lang_hun"), "eng": ("eng", "lang_eng")}
 
@@ -51,6 +54,11 @@ def p3_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality(_t(spark, sf, "hunglish_sampler"), "pair_id", SIDES).withColumnRenamed("id", "pair_id")
 
 
+def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = p3_statistics(spark, sf)
+    return rows.select("pair_id", "side", "n_chars", "n_words", *(F.round(c, 6).alias(c) for c in ("mean_word_length", "common_share", "number_share")))
+
+
 def p3_documents(spark: SparkSession, sf: str) -> DataFrame:
     return quality(_t(spark, sf, "documents"), "doc_id", {"text": "text"}).withColumnRenamed("id", "doc_id").drop("side")
 
@@ -156,7 +164,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return repeated_share(_t(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    return repeated_share(_t(spark, sf, "documents"), "doc_id", "text", max_longest=LONGEST_REPEAT).withColumnRenamed("id", "doc_id")
 
 
 def p10_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +172,7 @@ def p10_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_restored, p2_found, p2_report, p3_found, p3_statistics, p3_documents, p4_found, p4_segments, p5_found,
+    p1_found, p1_restored, p2_found, p2_report, p3_found, p3_statistics, p3_counts, p3_documents, p4_found, p4_segments, p5_found,
     p5_collapsed, p6_found, p6_report, p6_targets, p6_sample, p6_sizes, p7_found, p7_splits, p7_kept, p8_found,
     p8_leaks, p8_exact, p8_items, p9_found, p9_mix, p9_report, p9_kept, p10_found, p10_shares, p10_words,
 )
@@ -190,6 +198,16 @@ c AS (SELECT a.pair_id AS x, b.pair_id AS y, a.n, b.n AS m, count(*) AS k
 p AS (SELECT y AS pair_id, count(*) AS n FROM c WHERE k * 10 >= (n + m - k) * 8 GROUP BY 1)
 SELECT split, source_file AS source, count(*) AS n_records, count(n) AS n_overlapping, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_pairs
 FROM hunglish_sampler LEFT JOIN p USING (pair_id) WHERE split <> 'train' GROUP BY 1, 2
+""",
+    "p3_counts": r"""
+WITH t AS (SELECT pair_id, 'hun' AS side, coalesce(hun, '') AS t FROM hunglish_sampler UNION ALL SELECT pair_id, 'eng', coalesce(eng, '') FROM hunglish_sampler),
+w AS (SELECT pair_id, side, t, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS ws FROM t),
+d AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(ws)) AS w FROM w) GROUP BY 1),
+c AS (SELECT w FROM d WHERE n * 20 >= (SELECT count(*) FROM w WHERE len(ws) > 0) UNION SELECT unnest(string_split('""" + " ".join(sorted(COMMON)) + r"""', ' '))),
+k AS (SELECT pair_id, side, count(c.w) AS common, sum(length(x)) AS letters, count(*) FILTER (regexp_matches(x, '[0-9]')) AS numbers FROM (SELECT pair_id, side, unnest(ws) AS x FROM w) LEFT JOIN c ON c.w = x GROUP BY 1, 2)
+SELECT pair_id, side, length(t) AS n_chars, len(ws) AS n_words, round(coalesce(letters, 0) / greatest(len(ws), 1)::DOUBLE, 6) AS mean_word_length,
+ round(coalesce(common, 0) / greatest(len(ws), 1)::DOUBLE, 6) AS common_share, round(coalesce(numbers, 0) / greatest(len(ws), 1)::DOUBLE, 6) AS number_share
+FROM w LEFT JOIN k USING (pair_id, side)
 """,
     "p5_found": r"""
 WITH r AS (SELECT pair_id, regexp_replace(lower(hun), '[^\p{L}\p{N}]', '', 'g') AS a, regexp_replace(lower(eng), '[^\p{L}\p{N}]', '', 'g') AS b

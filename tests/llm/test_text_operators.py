@@ -193,6 +193,19 @@ def test_statistics_of_a_text():
         assert not quality.text_stats(t).is_prose and quality.text_stats(t).n_words == 0
 
 
+def test_common_words_of_the_corpus(spark):
+    """Prose in a language without a list is known by its own frequent words; repeated text is no prose."""
+    finnish = ["Minä en tiedä miksi hän lähti pois, mutta se oli oikein.", "Hän sanoi että se on totta, mutta en tiedä miksi.", "Se oli hän, mutta en minä."]
+    rows = spark.createDataFrame([(i, finnish[i % 3], None) for i in range(60)] + [(100 + i, f"omena{i} | pöytä{i} | tuoli{i}", "") for i in range(30)], "pair_id bigint, hun string, eng string")
+    known = quality.common_words(rows, ["hun", "eng"])
+    assert {"mutta", "se", "en"} <= known and "omena1" not in known
+    got = {r.id: r.is_prose for r in quality.quality(rows, "pair_id", {"hun": "hun"}).collect()}
+    assert all(got[i] for i in range(60)) and not any(got[100 + i] for i in range(30))
+    assert quality.common_words(rows.limit(0), ["hun"]) == quality.COMMON
+    assert not quality.text_stats("it is so and " * 20).is_prose
+    assert not quality.text_stats("It is the end.\n\n" * 4).is_prose
+
+
 def test_quality_rows(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, "", "It is the end of the day."), (3, "a" * 100_000, "•")], "pair_id bigint, hun string, eng string").withColumn("side", F.lit(1))
     got = quality.quality(rows, "pair_id", {"hun": "hun", "eng": "eng"}).collect()
