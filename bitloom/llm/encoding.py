@@ -30,7 +30,8 @@ ALLOWED = frozenset([chr(c) for c in (*range(0x80, 0x180), *range(0x2009, 0x203B
 _PLAIN = r"\x00-\x7fáéíóöőúüűÁÉÍÓÖŐÚÜŰ„“”–…\xa0\xad"
 _ODD = re.compile(f"[^{_PLAIN}]")
 _CONTROL = re.compile("[\x80-\x9f]")
-_WORDISH = re.compile(r"\S+")
+# a token ends at plain white space only: no-break blanks and control characters may be bytes of a misread letter
+_WORDISH = re.compile(r"[^ \t\n\r\f\v]+")
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 #: Words and tokens that a task counts before it hands them on.
 COUNTED_AT_ONCE = 500_000
@@ -39,6 +40,8 @@ CHANCE = 10.0
 #: No word of a natural language has more letters; of longer runs that are still open only the best reading goes on.
 LONGEST_WORD = 64
 LONG = " "
+#: Words that the driver fetches and broadcasts at most (about a gigabyte); a corpus whose damage asks for more is refused.
+MAX_ASKED = 20_000_000
 
 
 @lru_cache(maxsize=32)
@@ -96,9 +99,11 @@ def lattice(token: str, channel: str) -> list[list[Edge]]:
         other = other or bool(own)
         if own or c >= "\x80" or not c.isalnum():
             own.append((i + 1, c, 0))
+            if plain < i:
+                edges[plain] = [(i, token[plain:i], 0)]
             plain = i + 1
-        else:
-            edges[plain] = [(i + 1, token[plain : i + 1], 0)]
+    if plain < len(token):
+        edges[plain] = [(len(token), token[plain:], 0)]
     return edges if other else []
 
 
@@ -317,7 +322,7 @@ class Decoder:
         out, at, used, damaged = [], 0, [], 0
         for m, own, took in zip(spans, options, chosen, strict=True):
             new, changed, _ = own[took]
-            if m[0][0] == LOST and new[0] in ACCENTED and text[: m.start()].rstrip(" ")[-1:] in ("", ".", "!", "?", "\n", "–", "-"):
+            if LOST in m[0][:2] and new[0] in ACCENTED and text[: m.start()].rstrip(" ")[-1:] in ("", ".", "!", "?", "\n", "–", "-"):
                 new = new[0].upper() + new[1:]
             out += [text[at : m.start()], new]
             at = m.end()
@@ -365,7 +370,10 @@ def _columns(rows: DataFrame) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_key(b.column(0).to_pylist()), pa.int64()), *b.columns[1:]], ["h", "word", "n"])
 
-    table = rows.select("skeleton", "word", "n").mapInArrow(run, "h bigint, word string, n bigint").toArrow().combine_chunks()
+    found = materialise(rows.select("skeleton", "word", "n").mapInArrow(run, "h bigint, word string, n bigint"))
+    if found.count() > MAX_ASKED:
+        raise ValueError(f"damaged tokens ask for more than {MAX_ASKED} words")
+    table = found.toArrow().combine_chunks()
     order = np.argsort(table.column("h").to_numpy(), kind="stable")
     table = table.take(pa.array(order)).combine_chunks()
     names = pa.concat_arrays([pa.array([], pa.large_string()), *(c.cast(pa.large_string()) for c in table.column("word").chunks)])

@@ -136,44 +136,53 @@ class Encoder(dict):
         return ids[word], lens, marked[word]
 
 
-def _clause_labels(tokens: list[str], given: str | None) -> list[int]:
-    """First labels for fitting: each clause gets the language that most of its lexicon words and letters speak for.
+def agrees(tokens: list[str], given: str | None) -> bool:
+    """Whether the lexicon says nothing against the upstream label of a text, and something for it.
 
-    A clause without a clear winner takes that of the whole text; if that is undecided too, the given label, unless
-    more speaks for another language (-1: the text is not used).
+    The words of the lists and the letters that one language alone has vote, in each clause and in the whole text;
+    no clause may have a clear winner other than the label, and the label must win the whole.
     """
-    clauses: list[list[str]] = [[]]
-    for t in tokens:
+    if given not in LANGUAGES:
+        return False
+    k = LANGUAGES.index(given)
+    total, clause = np.zeros(K), np.zeros(K)
+    for t in [*tokens, "."]:
         if t in _MARKS:
-            clauses.append([])
-        else:
-            clauses[-1].append(t)
-
-    def votes(ws: list[str]) -> np.ndarray:
-        v = np.zeros(K)
-        for w in ws:
-            own = [k for k, lang in enumerate(LANGUAGES) if w in LEXICON[lang]]
-            for k in own:
-                v[k] += 1 / len(own)
-            for c in w:
-                if c in _OWN_LETTERS:
-                    v[LANGUAGES.index(_OWN_LETTERS[c])] += 1
-        return v
-
-    def winner(v: np.ndarray, least: float) -> int:
-        second, first = np.argsort(v, kind="stable")[-2:]
-        return int(first) if v[first] >= least and v[first] - v[second] >= least / 2 else -1
-
-    scores = [votes(c) for c in clauses]
-    total = np.sum(scores, axis=0)
-    whole = winner(total, 1.0)
-    if whole < 0 and given in LANGUAGES and total[LANGUAGES.index(given)] >= total.max():
-        whole = LANGUAGES.index(given)
-    out: list[int] = []
-    for c, v in zip(clauses, scores, strict=True):
-        label = winner(v, 1.5)
-        out += [label if label >= 0 else whole] * len(c)
-    return out
+            others = np.delete(clause, k)
+            if others.max() >= 1.5 and others.max() - clause[k] >= 0.75:
+                return False
+            total += clause
+            clause = np.zeros(K)
+            continue
+        own = [j for j, lang in enumerate(LANGUAGES) if t in LEXICON[lang]]
+        clause[own] += 1 / max(1, len(own))
+        for c in t:
+            if c in _OWN_LETTERS:
+                clause[LANGUAGES.index(_OWN_LETTERS[c])] += 1
+    return bool(total[k] >= 1 and total[k] - np.delete(total, k).max() >= 0.5)
+
+
+def examples(texts: list[str], given: list[str | None], seed: int = 7) -> tuple[list[str], list[list[int]]]:
+    """Texts to fit to and the language of each of their words.
+
+    The texts whose upstream label the lexicon does not contradict, all words with that label; and, a third as many,
+    pairs of such texts in two languages joined by a mark or a blank, so that transitions are learned. Languages take
+    turns, so that rare ones are in as many pairs as others.
+    """
+    tokens = [_TOKEN.findall(t.lower()) for t in texts]
+    good = [i for i, t in enumerate(tokens) if agrees(t, given[i])]
+    length = [sum(w not in _MARKS for w in t) for t in tokens]
+    out = [texts[i] for i in good]
+    gold = [[LANGUAGES.index(given[i])] * length[i] for i in good]
+    by = [[i for i in good if given[i] == lang] for lang in LANGUAGES]
+    kinds = [(a, b) for a in range(K) for b in range(K) if a != b and by[a] and by[b]]
+    rng = np.random.default_rng(seed)
+    for n in range(len(good) // 3 if kinds else 0):
+        a, b = kinds[n % len(kinds)]
+        i, j = int(rng.choice(by[a])), int(rng.choice(by[b]))
+        out.append(texts[i].strip() + (" ", " / ", "\n", " – ")[n // len(kinds) % 4] + texts[j].strip())
+        gold.append([a] * length[i] + [b] * length[j])
+    return out, gold
 
 
 def _prior() -> np.ndarray:
@@ -185,7 +194,8 @@ def _prior() -> np.ndarray:
 
 
 def fit(texts: list[str], given: list[str | None], epochs: int = 12, seed: int = 7, least_steps: int = 240) -> Model:
-    """A field fitted to the texts by stochastic gradients of the likelihood of their first labels."""
+    """A field fitted by stochastic gradients of the likelihood to the texts whose upstream labels can be trusted (see examples)."""
+    texts, gold = examples(texts, given, seed)
     enc = Encoder()
     ids, lens, marked = enc.encode(texts)
     offset = len(_MARKS)
@@ -193,11 +203,10 @@ def fit(texts: list[str], given: list[str | None], epochs: int = 12, seed: int =
     size = np.array([len(x) for x in lists], dtype=np.int64)
     feats = np.array([f for x in lists for f in x], dtype=np.int64)
     word_of = np.repeat(np.arange(len(lists)), size)
-    gold = [_clause_labels(_TOKEN.findall(t.lower()), g) for t, g in zip(texts, given, strict=True)]
     begins = np.cumsum(lens) - lens
     rng = np.random.default_rng(seed)
     m = Model(_prior(), np.zeros(K), np.eye(K) * 2, np.eye(K))
-    usable = np.array([i for i, g in enumerate(gold) if g and min(g) >= 0], dtype=np.int64)
+    usable = np.array([i for i, g in enumerate(gold) if g], dtype=np.int64)
     moments = [np.zeros_like(x) for x in (m.weights, m.start, m.inside, m.across)]
     epochs = max(epochs, -(-least_steps // max(1, -(-len(usable) // 400))))  # a small sample is gone through more often
     for epoch in range(epochs):

@@ -446,3 +446,38 @@ def test_paths_through_a_lattice_against_enumeration():
 
         text, joined = decoder.read(edges)
         assert known.score(text) + encoding.CHANCE * joined >= max(map(value, paths(0))) - 1e-6
+
+
+def test_restoration_of_planted_damage(spark, sf):
+    """Clean texts of the corpus are damaged in five ways; restored are those that come back letter by letter."""
+    rng = random.Random(5)
+    rows = {r.pair_id: r.hun for r in spark.read.parquet(f"{sf}/hunglish_sampler.parquet").where("hun is not null").collect()}
+    clean = sorted(p for p, t in rows.items() if re.search("[áéíóöőúüű]", t) and not encoding._ODD.search(t))
+
+    def misread(t, channel):
+        return "".join(bytes([b]).decode(channel, "ignore") or chr(b) for b in t.encode())
+
+    def damage(t, kind):
+        if kind == "misread":
+            return misread(t, rng.choice(encoding.CHANNELS))
+        if kind == "twice":
+            return misread(misread(t, "latin-1"), "latin-1")
+        if kind == "stretch":
+            n = t.count(" ") // 2
+            first, rest = t.split(" ")[:n], t.split(" ")[n:]
+            return " ".join([*first, misread(" ".join(rest), "cp1250")])
+        return t.encode().decode("cp1252", "replace") if kind == "bytes" else re.sub("[áéíóöőúüű]", "\ufffd", t)
+
+    planted = {}
+    for i, p in enumerate(rng.sample(clean, 150)):
+        kind = ("misread", "twice", "stretch", "bytes", "letters")[i % 5]
+        damaged = damage(rows[p], kind)
+        if damaged != rows[p]:
+            planted[p] = (kind, rows[p])
+            rows[p] = damaged
+    frame = spark.createDataFrame([(p, t, None) for p, t in rows.items()], "pair_id bigint, hun string, eng string")
+    got = {r.id: r.restored for r in encoding.restored_texts(frame, "pair_id", queries.SIDES).collect()}
+    assert planted.keys() <= got.keys()
+    for kind, least in (("misread", 0.95), ("twice", 0.95), ("stretch", 0.95), ("bytes", 0.85), ("letters", 0.1)):  # few words are known in so small a corpus
+        own = [got[p] == t for p, (k, t) in planted.items() if k == kind]
+        assert sum(own) >= least * len(own), (kind, sum(own), len(own))
