@@ -111,15 +111,17 @@ def swap_same_lemma(candidates: DataFrame, k: int, seed: int, save_original: boo
 
 
 def with_similarity(pool: DataFrame, dep: str, kind: str) -> DataFrame:
-    """Pool rows with the similarity of their source and target subtrees; computed for eligible rows only."""
+    """Pool rows with the ``similarity`` of their source and target subtrees, computed for eligible rows only, and
+    ``cut_short``: it is a lower limit, because the search for it was not finished."""
     sub = [R.induced(F.col(f"{s}_tokens"), F.col(f"{s}_{dep}_ids")) for s in ("src", "tgt")]
-    return pool.withColumn("similarity", similarity(kind, *sub))
+    found = pool.withColumn("_found", similarity(kind, *sub))
+    return found.withColumns({"similarity": F.col("_found.similarity"), "cut_short": F.col("_found.cut_short")}).drop("_found")
 
 
 def similarity_experiment(pool: DataFrame, pairs: DataFrame, dep: str) -> DataFrame:
     """``draw, pair_a, pair_b`` with the similarities by both measures of each pair's own two subtrees before the swap
     (``*_a``, ``*_b``) and of the mixed ones (source subtree of one, target subtree of the other) that a one-sided
-    swap would make (``*_ab``, ``*_ba``).
+    swap would make (``*_ab``, ``*_ba``); ``cut_short`` if one of them is a lower limit.
     """
     subs = [R.induced(F.col(f"{s}_tokens"), F.col(f"{s}_{dep}_ids")).alias(s) for s in ("src", "tgt")]
     members = pool.select("pair_id", F.struct(*subs).alias("m"))
@@ -130,7 +132,10 @@ def similarity_experiment(pool: DataFrame, pairs: DataFrame, dep: str) -> DataFr
     for kind in ("edge_mapper", "ged"):
         for name, x, y in (("a", "a", "a"), ("b", "b", "b"), ("ab", "a", "b"), ("ba", "b", "a")):
             measures.append(similarity(kind, F.col(f"{x}.src"), F.col(f"{y}.tgt")).alias(f"{kind}_{name}"))
-    return joined.select("draw", "pair_a", "pair_b", *measures)
+    found = joined.select("draw", "pair_a", "pair_b", *measures)
+    names = [c for c in found.columns if c not in ("draw", "pair_a", "pair_b")]
+    cut = F.exists(F.array(*(F.col(f"{c}.cut_short") for c in names)), lambda c: c)
+    return found.select("draw", "pair_a", "pair_b", *(F.col(f"{c}.similarity").alias(c) for c in names), cut.alias("cut_short"))
 
 
 #: Draws that one row of the plan of draws stands for.
@@ -213,7 +218,7 @@ def augment_by_similarity(pairs: DataFrame, kind: str = "edge_mapper", threshold
     pools = materialise(candidate_pools(with_spans(pairs), True, **rules))
     out = None
     for dep, method in (("obj", "obj_swapping"), ("nsubj", "subj_swapping")):
-        pool = with_similarity(pools.where(F.col("pool") == dep), dep, kind)
+        pool = materialise(with_similarity(pools.where(F.col("pool") == dep), dep, kind))
         one = swap_pairs(pool, thresholded_pairs(pool, k, threshold, seed), dep, method)
         out = one if out is None else out.unionByName(one)
     return out

@@ -128,6 +128,12 @@ def candidate_pools(pairs: DataFrame, separate: bool = False, same_predicate: bo
     return pairs.withColumn("pool", F.explode(F.array_compact(F.array(*pools))))
 
 
+def extend_pools(pools: DataFrame, seen: DataFrame, pairs: DataFrame, **rules: bool) -> DataFrame:
+    """Pools with the candidates of the pairs that were not looked at before (``seen``: their ``pair_id``)."""
+    fresh = pairs.join(seen.select("pair_id").distinct(), "pair_id", "left_anti")
+    return pools.unionByName(candidate_pools(with_spans(fresh), **rules).select(*pools.columns))
+
+
 def above_quantile(scored: DataFrame, group: str, src_score: str, tgt_score: str, q: float) -> DataFrame:
     """Rows whose two scores are strictly above the q-quantile of their group (linear interpolation).
 

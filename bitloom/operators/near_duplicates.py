@@ -1,11 +1,14 @@
-"""Near-duplicate texts by word sets: MinHash bands for candidates, exact Jaccard, greedy leaders."""
+"""Near-duplicate texts by sets of word shingles: prefix filter for candidates, exact Jaccard, greedy leaders."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as T
+from bitloom.operators.skew import join_by_counts, many_to_many_join
 from bitloom.scratch import materialise
 
 
@@ -33,19 +36,24 @@ def near_pairs(sets: DataFrame, share: float = 0.8) -> DataFrame:
     """``a, b, jaccard``: pairs of distinct sets (a < b) at or above ``share``. Exact.
 
     Prefix filter: shingles are ordered by frequency, and two sets that are similar enough share one of their
-    rarest floor((1 - share) n) + 1 shingles. Shingles are joined by value; sets that are equal were one set before,
-    so a shingle of boilerplate is among the rarest of few sets only. Sizes must be compatible before sets are read.
+    rarest floor((1 - share) n) + 1 shingles. Shingles are joined by value and size band, so only sets of compatible
+    sizes meet; sets that are equal were one set before, so a shingle of boilerplate is among the rarest of few sets
+    only. Frequent shingles get their counts by broadcast, and a shingle that is still hot is joined by a grid of tasks.
     """
-    exploded = sets.select("set_id", F.explode("shingles").alias("h"))
-    df = exploded.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
-    ranked = exploded.join(df, "h").groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("o"))
+    exploded = materialise(sets.select("set_id", F.explode("shingles").alias("h")))
+    counts = materialise(exploded.groupBy("h").agg(F.count(F.lit(1)).alias("f")))
+    total = counts.agg(F.sum("f")).first()[0] or 0
+    ranked = join_by_counts(exploded, counts, ["h"], "f", total).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("o"))
     n = F.size("o")
     prefix = F.slice("o", 1, (F.floor((1 - share) * n + 1e-9) + 1).cast("int"))
-    seeds = materialise(ranked.select("set_id", n.alias("n"), F.explode(prefix).alias("p")).where("p.f > 1").select("set_id", "n", F.col("p.h").alias("h")))
-    left = seeds.select(F.col("set_id").alias("a"), F.col("n").alias("na"), "h")
-    right = seeds.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), "h")
+    band = F.floor(F.log(n.cast("double")) / F.lit(math.log(1 / share)) + 1e-9) if share < 1 else n
+    seeds = ranked.select("set_id", n.alias("n"), band.cast("int").alias("band"), F.explode(prefix).alias("p")).where("p.f > 1")
+    seeds = materialise(seeds.select("set_id", "n", "band", F.col("p.h").alias("h")))
+    near = F.sequence(F.col("band") - 1, F.col("band") + 1) if share < 1 else F.array("band")
+    left = materialise(seeds.select(F.col("set_id").alias("a"), F.col("n").alias("na"), "h", F.explode(near).alias("band")))
+    right = seeds.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), "h", "band")
     fits = (F.col("na") >= share * F.col("nb") - 1e-9) & (F.col("nb") >= share * F.col("na") - 1e-9)
-    pairs = left.join(right, "h").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    pairs = many_to_many_join(left, right, ["h", "band"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     x = sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(x, "a").join(y, "b")

@@ -106,6 +106,43 @@ def mean_vector(vectors: Column, size: int) -> Column:
     )
 
 
+def round_trip_scores(pairs: DataFrame, to_tgt: Callable[[Column], Column], to_src: Callable[[Column], Column], score: Callable[[Column, Column], Column], src: str = "src", tgt: str = "tgt") -> DataFrame:
+    """Pairs with ``<src>_translation``, ``<tgt>_translation`` (each made from the other side by a provider) and
+    ``tgt_similarity``, ``src_similarity``: the score of each side against the translation into its language."""
+    done = pairs.withColumns({f"{src}_translation": to_src(F.col(tgt)), f"{tgt}_translation": to_tgt(F.col(src))})
+    return done.withColumns({f"{s}_similarity": score(F.col(s), F.col(f"{s}_translation")) for s in (src, tgt)})
+
+
+def meteor(candidate: list[str], reference: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
+    """METEOR of two token lists with exact matches only (stems and synonyms need outside word lists).
+
+    Words are matched from the end, each with the last equal one that is free; a chunk is a stretch of matches that
+    are neighbours on both sides.
+    """
+    places: dict[str, list[int]] = {}
+    for j, w in enumerate(reference):
+        places.setdefault(w, []).append(j)
+    pairs = [(i, places[candidate[i]].pop()) for i in range(len(candidate) - 1, -1, -1) if places.get(candidate[i])][::-1]
+    if not pairs:
+        return 0.0
+    precision, recall = len(pairs) / len(candidate), len(pairs) / len(reference)
+    mean = precision * recall / (alpha * precision + (1 - alpha) * recall)
+    chunks = 1 + sum((b[0] - a[0], b[1] - a[1]) != (1, 1) for a, b in zip(pairs[:-1], pairs[1:], strict=True))
+    return mean * (1 - gamma * (chunks / len(pairs)) ** beta)
+
+
+@F.pandas_udf(DoubleType())
+def sentence_meteor(candidates: pd.Series, references: pd.Series) -> pd.Series:
+    """METEOR of each pair of texts (lower case, words and signs as tokens); null if one is null."""
+    tokens = lambda t: re.findall(r"\w+|[^\w\s]", t.lower())
+    return pd.Series([None if a is None or b is None else meteor(tokens(a), tokens(b)) for a, b in zip(candidates, references, strict=True)], dtype="float64")
+
+
+def corpus_meteor(pairs: DataFrame, candidate: str, reference: str) -> DataFrame:
+    """``n``, ``meteor``: the mean over all pairs that have both texts."""
+    return pairs.select(sentence_meteor(F.col(candidate), F.col(reference)).alias("m")).agg(F.count("m").alias("n"), F.avg("m").alias("meteor"))
+
+
 class ScoreFilter(Protocol):
     """Scores both sides of augmented pairs and keeps the best; draws are multiplied by ``multiplier`` beforehand."""
 

@@ -11,7 +11,6 @@ from itertools import count
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from bitloom.functions.trees import HEAVY_LABELS
 
@@ -120,13 +119,18 @@ def edge_jaccard(one: Tree, two: Tree) -> float:
     return mapped / (total - mapped) if total else 1.0
 
 
-def edit_distance(one: Tree, two: Tree, max_expansions: int = 20_000) -> tuple[float, bool]:
+#: Search steps of the edit distance, and of the second search for the pairs that the first one did not finish.
+BUDGETS = (2_000, 200_000)
+
+
+def edit_distance(one: Tree, two: Tree, max_expansions: int = BUDGETS[1]) -> tuple[float, bool]:
     """Edit distance of two trees with their roots matched to each other, and whether the search was cut short.
 
     Changing the part of speech of a node or the main label of an edge costs 2; adding or deleting a node or edge 1,
     but 0 for punctuation (part of speech PUNCT; raw label punct). A best-first search over assignments of the nodes
-    of ``one``, with a bound from the parts of speech that are left. After max_expansions steps the cheapest
-    completion seen is returned, so the result never depends on the clock.
+    of ``one``, with a bound from the parts of speech and the edge labels that are left. A search that needs more than
+    max_expansions steps is cut short and gives the cheapest assignment seen, so the distance is then an upper limit;
+    the result never depends on the clock.
     """
     node = lambda p: 0 if p == "PUNCT" else 1
     edge = lambda e: 0 if e.label == "punct" else 1
@@ -134,6 +138,10 @@ def edit_distance(one: Tree, two: Tree, max_expansions: int = 20_000) -> tuple[f
     second = [two.root, *(n for n in two.upos if n != two.root)]
     edges1 = {(e.source, e.target): e for e in one.edges}
     edges2 = {(e.source, e.target): e for e in two.edges}
+    touching: dict[int, list[Edge]] = {n: [] for n in second}
+    for e in two.edges:
+        touching[e.source].append(e)
+        touching[e.target].append(e)
 
     def edge_cost(a: Edge | None, b: Edge | None) -> int:
         if a is None or b is None:
@@ -150,62 +158,74 @@ def edit_distance(one: Tree, two: Tree, max_expansions: int = 20_000) -> tuple[f
                 cost += edge_cost(a, b)
         return cost
 
-    def finish(done: list[tuple[int, int | None]]) -> int:
+    def finish(done: Sequence[tuple[int, int | None]]) -> int:
         """Nodes of ``two`` that nothing was assigned to, and their edges."""
-        used = {t for _, t in done}
-        rest = [n for n in second if n not in used]
-        free = set(rest)
-        return sum(node(two.upos[n]) for n in rest) + sum(edge(e) for e in two.edges if e.source in free or e.target in free)
-
-    kinds = sorted({*one.upos.values(), *two.upos.values()}, key=str)
-    place = {p: i for i, p in enumerate(kinds)}
-    price = [node(p) for p in kinds]
-    # how many nodes of each part of speech are left of ``one`` after k assignments
-    left_one = [[sum(one.upos[n] == p for n in first[k:]) for p in kinds] for k in range(len(first) + 1)]
+        free = set(second) - {t for _, t in done}
+        return sum(node(two.upos[n]) for n in free) + sum(edge(e) for e in two.edges if e.source in free or e.target in free)
+
+    # what is left is counted by part of speech and by main label; a kind with a free member costs nothing in the bound
+    kinds = {("n", p): node(p) for p in (*one.upos.values(), *two.upos.values())}
+    for e in (*one.edges, *two.edges):
+        kinds["e", e.main] = min(kinds.get(("e", e.main), 1), edge(e))
+    place = {k: i for i, k in enumerate(kinds)}
+    price = list(kinds.values())
+    left_one = []
+    for k in range(len(first) + 1):
+        rest = set(first[k:])
+        counts = Counter(place["n", one.upos[n]] for n in rest) + Counter(place["e", e.main] for e in one.edges if e.source in rest or e.target in rest)
+        left_one.append([counts[i] for i in range(len(price))])
 
     def bound(k: int, left_two: tuple[int, ...]) -> int:
         return sum(abs(x - y) * c for x, y, c in zip(left_one[k], left_two, price, strict=True))
 
-    def without(left_two: tuple[int, ...], to: int | None) -> tuple[int, ...]:
+    def without(left_two: tuple[int, ...], used: set[int | None], to: int | None) -> tuple[int, ...]:
         if to is None:
             return left_two
-        i = place[two.upos[to]]
-        return (*left_two[:i], left_two[i] - 1, *left_two[i + 1 :])
+        out = list(left_two)
+        out[place["n", two.upos[to]]] -= 1
+        for e in touching[to]:
+            if (e.target if e.source == to else e.source) in used:
+                out[place["e", e.main]] -= 1
+        return tuple(out)
 
     start = ((first[0], second[0]),)
     base = 0 if one.upos[first[0]] == two.upos[second[0]] else 2
-    rest = without(tuple(sum(two.upos[n] == p for n in second) for p in kinds), second[0])
-    tick, best, steps = count(), float("inf"), 0
+    whole = Counter(place["n", p] for p in two.upos.values()) + Counter(place["e", e.main] for e in two.edges)
+    rest = without(tuple(whole[i] for i in range(len(price))), set(), second[0])
+    # something complete to begin with: all other nodes of one deleted
+    best, full = base, list(start)
+    for n in first[1:]:
+        best += node(one.upos[n]) + added(full, n, None)
+        full.append((n, None))
+    best += finish(full)
+    if len(first) == 1:
+        return float(best), False
+    tick, steps = count(), 0
     heap = [(base + bound(1, rest), -1, next(tick), base, start, rest)]
     while heap:
         estimate, _, _, cost, done, rest = heapq.heappop(heap)
         if estimate >= best:
             break
-        if len(done) == len(first):
-            best = min(best, cost + finish(list(done)))
-            continue
         steps += 1
         if steps > max_expansions:
-            # a greedy completion: delete what is left
-            tail = cost
-            full = list(done)
-            for n in first[len(done) :]:
-                tail += node(one.upos[n]) + added(full, n, None)
-                full.append((n, None))
-            return float(min(best, tail + finish(full))), True
-        n, used = first[len(done)], {t for _, t in done}
+            return float(best), True
+        n, used, last = first[len(done)], {t for _, t in done}, len(done) + 1 == len(first)
         for to in [*(x for x in second if x not in used), None]:
             step = (0 if one.upos[n] == two.upos[to] else 2) if to is not None else node(one.upos[n])
             c = cost + step + added(done, n, to)
-            after = without(rest, to)
-            guess = c + (bound(len(done) + 1, after) if len(done) + 1 < len(first) else finish([*done, (n, to)]))
+            if last:
+                best = min(best, c + finish((*done, (n, to))))
+                continue
+            after = without(rest, used, to)
+            guess = c + bound(len(done) + 1, after)
             if guess < best:
                 heapq.heappush(heap, (guess, -len(done) - 1, next(tick), c, (*done, (n, to)), after))
     return float(best), False
 
 
-def ged_similarity(one: Tree, two: Tree, max_expansions: int = 20_000) -> float:
-    """1 for equal trees, 0 for nothing in common: the distance against deleting one tree and adding the other.
+def ged_similarity(one: Tree, two: Tree, budgets: Sequence[int] = BUDGETS) -> tuple[float, bool]:
+    """1 for equal trees, 0 for nothing in common (the distance against deleting one tree and adding the other), and
+    whether every search was cut short: the similarity is then a lower limit.
 
     Roots of different parts of speech count 1.
     """
@@ -214,28 +234,32 @@ def ged_similarity(one: Tree, two: Tree, max_expansions: int = 20_000) -> float:
         one = Tree({**one.upos, one.root: two.upos[two.root]}, one.edges)
         extra = 1
     most = 2 * len(one.upos) - 1 + 2 * len(two.upos) - 1
-    distance, _ = edit_distance(one, two, max_expansions)
-    return (most - distance - extra) / most
+    for steps in budgets:
+        distance, cut = edit_distance(one, two, steps)
+        if not cut:
+            break
+    return (most - distance - extra) / most, cut
 
 
-def pair_similarity(kind: str, a: list[dict] | None, b: list[dict] | None, max_expansions: int = 2_000) -> float | None:
-    """Similarity of two subtrees given as tokens; null if one is missing or empty."""
+def pair_similarity(kind: str, a: list[dict] | None, b: list[dict] | None) -> tuple[float | None, bool]:
+    """Similarity of two subtrees given as tokens (null if one is missing or empty), and whether it is a lower limit only."""
     if a is None or b is None or not len(a) or not len(b):
-        return None
+        return None, False
     one, two = Tree.of_tokens(list(a)), Tree.of_tokens(list(b))
     if kind == "edge_mapper":
-        return edge_jaccard(one, two)
+        return edge_jaccard(one, two), False
     if kind == "ged":
-        return ged_similarity(one, two, max_expansions)
+        return ged_similarity(one, two)
     raise ValueError(f"unknown similarity {kind!r}")
 
 
-def similarity(kind: str, a: Column, b: Column, max_expansions: int = 2_000) -> Column:
-    """Column of pair_similarity (``edge_mapper`` or ``ged``) over two arrays of tokens, in Arrow batches."""
+def similarity(kind: str, a: Column, b: Column) -> Column:
+    """``struct<similarity, cut_short>`` of pair_similarity (``edge_mapper`` or ``ged``) over two arrays of tokens, in Arrow batches."""
 
-    @F.pandas_udf(DoubleType())
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([pair_similarity(kind, p, q, max_expansions) for p, q in zip(x, y, strict=True)], dtype="float64")
+    @F.pandas_udf("similarity double, cut_short boolean")
+    def of(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        found = [pair_similarity(kind, p, q) for p, q in zip(x, y, strict=True)]
+        return pd.DataFrame({"similarity": pd.Series([s for s, _ in found], dtype="float64"), "cut_short": [c for _, c in found]})
 
     return of(a, b)
 

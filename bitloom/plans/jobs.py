@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,9 @@ from bitloom.functions import text as T
 from bitloom.functions import trees as R
 from bitloom.operators import augment as A
 from bitloom.operators import filters as L
+from bitloom.operators.reports import report_blocks
 from bitloom.operators.scoring import ScoreFilter
+from bitloom.scratch import materialise
 from bitloom.sources import dep_trees, lines, sinks
 from bitloom.sources.tables import PreprocessConfig, read_config
 
@@ -57,12 +60,12 @@ def preprocess_and_parse(pairs: DataFrame, config: PreprocessConfig, src_parser:
 
 
 def finished_batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the batches that stand complete below ``path``."""
-    try:
-        rows = spark.read.parquet(path).select("batch").distinct().collect()
-    except Exception:  # nothing was written yet
+    """Numbers of the batches that stand complete below ``path``; none if nothing was written there yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at) or not any(s.getPath().getName().startswith("batch=") for s in files.listStatus(at)):
         return []
-    return sorted(r["batch"] for r in rows)
+    return sorted(r["batch"] for r in spark.read.parquet(path).select("batch").distinct().collect())
 
 
 def precompute(pairs: DataFrame, path: str, config: PreprocessConfig, src_parser: Parser, tgt_parser: Parser, identify: Identify | None = None) -> int:
@@ -103,7 +106,8 @@ def augment(
 
 
 def main(argv: list[str] | None = None) -> None:
-    """Commands: ``preprocess CONFIG SRC TGT OUT`` and ``augment SRC_TREES TGT_TREES OUT``."""
+    """Commands: ``preprocess CONFIG SRC TGT OUT``, ``precompute CONFIG SRC TGT OUT`` (parsing, can be run again) and
+    ``augment SRC_TREES TGT_TREES OUT``."""
     parser = argparse.ArgumentParser(prog="bitloom")
     commands = parser.add_subparsers(dest="command", required=True)
     p = commands.add_parser("preprocess")
@@ -120,16 +124,35 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--separate", action="store_true")
     a.add_argument("--save-original", action="store_true")
     a.add_argument("--layout", default="basic", choices=["basic", "tsv"])
+    a.add_argument("--nouns", action="store_true", help="a noun in each subtree")
+    a.add_argument("--any-pos", action="store_true", help="heads of different parts of speech too")
+    a.add_argument("--any-predicate", action="store_true", help="subject and object of different words too (base only)")
+    a.add_argument("--report", help="where to write the originals with what was made of them")
+    t = commands.add_parser("precompute")
+    for name in ("config", "src", "tgt", "out"):
+        t.add_argument(name)
+    t.add_argument("--parser", required=True, help="module:function that registers the parsers of both languages")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("bitloom").getOrCreate()
     if args.command == "preprocess":
         config = PreprocessConfig.of(read_config(args.config))
         sinks.write_pairs(preprocess(lines.read_aligned(spark, args.src, args.tgt), config), args.out)
         return
+    if args.command == "precompute":
+        config = PreprocessConfig.of(read_config(args.config))
+        module, _, function = args.parser.partition(":")
+        getattr(importlib.import_module(module), function)()
+        precompute(lines.read_aligned(spark, args.src, args.tgt), args.out, config, dep_trees.parser(config.source_language), dep_trees.parser(config.target_language))
+        return
     src = dep_trees.read_trees(spark, args.src_trees).select("pair_id", F.col("tokens").alias("src_tokens"))
     tgt = dep_trees.read_trees(spark, args.tgt_trees).select("pair_id", F.col("tokens").alias("tgt_tokens"))
-    made = augment(src.join(tgt, "pair_id"), args.kind, args.ratio, args.size, args.threshold, args.seed, args.separate, save_original=args.save_original)
+    pairs = materialise(src.join(tgt, "pair_id"))
+    rules = {"nouns": args.nouns, "same_pos": not args.any_pos} | ({"same_predicate": not args.any_predicate} if args.kind == "base" else {})
+    made = materialise(augment(pairs, args.kind, args.ratio, args.size, args.threshold, args.seed, args.separate, save_original=args.save_original, **rules))
     sinks.write_augmented(made, args.out, args.layout)
+    if args.report:
+        plain = pairs.select("pair_id", R.sentence(F.col("src_tokens")).alias("src"), R.sentence(F.col("tgt_tokens")).alias("tgt"))
+        report_blocks(made.where(~F.col("method").startswith("original_")), plain).select(F.col("report").alias("value")).write.mode("overwrite").text(args.report)
 
 
 if __name__ == "__main__":

@@ -588,7 +588,8 @@ def augmented_report(spark: SparkSession, sf: str) -> DataFrame:
 def tree_similarities(spark: SparkSession, sf: str) -> DataFrame:
     pools = L.candidate_pools(_pairs(spark, sf), separate=True)
     objects = pools.where("pool = 'obj'")
-    return A.with_similarity(A.with_similarity(objects, "obj", "edge_mapper").withColumnRenamed("similarity", "edge_mapper"), "obj", "ged").select("pair_id", "edge_mapper", F.col("similarity").alias("ged"))
+    mapped = A.with_similarity(objects, "obj", "edge_mapper").withColumnRenamed("similarity", "edge_mapper").drop("cut_short")
+    return A.with_similarity(mapped, "obj", "ged").select("pair_id", "edge_mapper", F.col("similarity").alias("ged"), "cut_short")
 
 
 @query()

@@ -10,7 +10,8 @@ from bitloom.functions import trees as R
 from bitloom.operators import augment as A
 from bitloom.operators import filters as L
 from bitloom.operators import sampling as M
-from bitloom.plans.reference_queries import SEED, TOK, _h, _next_pairs, _pool, _swap_sql, _t, _trees, md5_sql, query, strip_sql
+from bitloom.operators import scoring as S
+from bitloom.plans.reference_queries import SEED, TOK, TREE, _h, _next_pairs, _pool, _swap_sql, _t, _trees, md5_sql, query, strip_sql
 from bitloom.scratch import materialise, scratch_path
 from bitloom.sources import dep_trees, lines, sinks, tables
 
@@ -218,3 +219,26 @@ def run_states(spark: SparkSession, sf: str) -> DataFrame:
     state = F.when(F.col("count") > 1000, "large").otherwise("done")
     rows = counts.select("run", state.alias("state"), F.lit(None).cast("string").alias("result"))
     return tables.upsert_status(tables.upsert_status(rows, "extra", "old"), "extra", "new").select("run", "state")
+
+
+@query(f"{TREE} SELECT pair_id, dep AS pool FROM ok")
+def incremental_pools(spark: SparkSession, sf: str) -> DataFrame:
+    """Pools of the pairs with even numbers, then extended by all pairs."""
+    pairs = materialise(L.tree_pairs(_trees(spark, sf)))
+    even = pairs.where("pair_id % 2 = 0")
+    first = L.candidate_pools(L.with_spans(even), separate=True).select("pair_id", "pool")
+    return L.extend_pools(first, even, pairs, separate=True)
+
+
+@query("""SELECT item_id, reverse(ref_text) AS src_translation, upper(text) AS tgt_translation, round(length(reverse(ref_text)) / length(text)::DOUBLE, 6) AS src_similarity,
+ round(length(upper(text)) / length(ref_text)::DOUBLE, 6) AS tgt_similarity FROM eval_item""")
+def round_trip_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """With stand-ins for the translators (reversed text, capitals) and the score (ratio of lengths)."""
+    items = _t(spark, sf, "eval_item").select("item_id", F.col("text").alias("src"), F.col("ref_text").alias("tgt"))
+    ratio = lambda a, b: F.round(F.length(b) / F.length(a), 6)
+    return S.round_trip_scores(items, F.upper, F.reverse, ratio).drop("src", "tgt")
+
+
+@query()
+def corpus_meteor(spark: SparkSession, sf: str) -> DataFrame:
+    return S.corpus_meteor(_t(spark, sf, "eval_item"), "ref_text", "text")

@@ -108,17 +108,22 @@ def register_parser(language: str, factory: Callable[[], Parser]) -> None:
     _parsers[language] = factory
 
 
+def parser(language: str) -> Callable[[], Parser]:
+    """The registered factory of a language."""
+    if language not in _parsers:
+        raise ValueError(f"no parser is registered for {language!r}")
+    return _parsers[language]
+
+
 def parse(rows: DataFrame, id_col: str, text_col: str, language: str, factory: Callable[[], Parser] | None = None) -> DataFrame:
     """``id``, ``n_sentences``, ``tokens``: trees by the provider of a language; texts of more than one sentence give none."""
-    make = factory or _parsers.get(language)
-    if make is None:
-        raise ValueError(f"no parser is registered for {language!r}")
+    make = factory or parser(language)
     base = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parser = make()
+        trees_of = make()
         for pdf in it:
-            found = [parser(t) if t else [] for t in pdf["text"]]
+            found = [trees_of(t) if t else [] for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "n_sentences": [len(f) for f in found], "tokens": [f[0] if len(f) == 1 else [] for f in found]})
 
     return base.mapInPandas(run, f"id {dict(base.dtypes)['id']}, n_sentences int, tokens array<{TOKEN}>")

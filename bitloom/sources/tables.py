@@ -116,3 +116,26 @@ def experiment_grid(axes: dict[str, list[Any]], repeats: int) -> list[dict[str,
     from itertools import product
 
     return [dict(zip(axes, values, strict=True)) | {"run": r} for values in product(*axes.values()) for r in range(1, repeats + 1)]
+
+
+def corpus_files(directory: str, src: str, tgt: str) -> dict[str, dict[str, str]]:
+    """``name: {path_src, path_tgt}`` of the files ``<name>.<src>`` and ``<name>.<tgt>`` of a directory; others than ``.sp`` are refused."""
+    out: dict[str, dict[str, str]] = {}
+    for f in sorted(p for p in Path(directory).iterdir() if p.is_file()):
+        end = f.suffix[1:]
+        if end in (src, tgt):
+            out.setdefault(f.stem.replace("-", "_"), {})["path_src" if end == src else "path_tgt"] = str(f)
+        elif end != "sp":
+            raise ValueError(f"{f.name} is of neither side")
+    return out
+
+
+def write_train_configs(base: dict[str, Any], directory: str, out: str, src: str, tgt: str, prefix: str = "run") -> list[str]:
+    """A ``config.yaml`` below ``out`` for each corpus directory in ``directory``: the base with its files under ``data``."""
+    written = []
+    for corpus in sorted(p for p in Path(directory).iterdir() if p.is_dir()):
+        at = Path(out) / f"{prefix}-{src}{tgt}-{corpus.name}" / "config.yaml"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(yaml.safe_dump(base | {"data": corpus_files(str(corpus), src, tgt)}, allow_unicode=True, sort_keys=True), encoding="utf-8")
+        written.append(str(at))
+    return written

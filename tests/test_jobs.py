@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import trees as R
 from bitloom.plans import jobs
+from bitloom.sources import dep_trees
 from bitloom.sources.tables import PreprocessConfig
 from bitloom.streaming import incremental
 
@@ -16,6 +17,11 @@ def fake_parser():
     return parse
 
 
+def register():
+    dep_trees.register_parser("hu", fake_parser)
+    dep_trees.register_parser("en", fake_parser)
+
+
 @pytest.fixture(scope="module")
 def pairs(spark):
     rows = [(0, '"Ez egy idézet"', "-This is a quote"), (1, "A kutya ugat .", "The dog barks ."), (2, "the dog", "a kutya"), (3, "", "x"), (4, None, "x"), (5, "szó " * 40, "word " * 40), (6, "egy | kettő", "one two"), (7, "egy kettő", "one two")]
@@ -56,6 +62,15 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "t").write_text("'one'\ntwo\n")
     jobs.main(["preprocess", f"{tmp_path}/c.yaml", f"{tmp_path}/s", f"{tmp_path}/t", f"{tmp_path}/out"])
     assert spark.read.text(f"{tmp_path}/out/tgt").orderBy("value").first().value == "one"
+    jobs.main(["precompute", f"{tmp_path}/c.yaml", f"{tmp_path}/s", f"{tmp_path}/t", f"{tmp_path}/parsed", "--parser", "tests.test_jobs:register"])
+    assert spark.read.parquet(f"{tmp_path}/parsed").count() == 2
+    tree = "I_1\tPRON\tI\tnsubj\tlike_2\tVERB\tlike\nlike_2\tVERB\tlike\tROOT\troot_0\tNone\tNone\n{0}_3\tNOUN\t{0}\tobj\tlike_2\tVERB\tlike\n\n"
+    (tmp_path / "trees").write_text("".join(tree.format(w) for w in ("tea", "ice", "jam", "pie")))
+    jobs.main(["augment", f"{tmp_path}/trees", f"{tmp_path}/trees", f"{tmp_path}/made", "--ratio", "1", "--nouns", "--report", f"{tmp_path}/report", "--layout", "tsv", "--any-pos"])
+    assert spark.read.text(f"{tmp_path}/made").count() == 0  # a subject without a noun
+    jobs.main(["augment", f"{tmp_path}/trees", f"{tmp_path}/trees", f"{tmp_path}/made", "--ratio", "1", "--layout", "tsv", "--report", f"{tmp_path}/report"])
+    assert spark.read.text(f"{tmp_path}/made").count() == 8
+    assert spark.read.text(f"{tmp_path}/report", wholetext=True).where("value like 'I like %'").count() > 0
 
 
 def test_increments(spark, tmp_path):

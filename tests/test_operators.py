@@ -247,3 +247,27 @@ def test_subword_round_trip(spark):
     rows = spark.createDataFrame([("Az őrült szép nap.",), ("",), (None,)], "t string")
     pieces = rows.select("t", subword.encode(F.col("t"), path).alias("p"))
     assert [(r.t, r.d) for r in pieces.select("t", subword.decode(F.col("p"), path).alias("d")).collect()] == [("Az őrült szép nap.",) * 2, ("", ""), (None, None)]
+
+
+def test_meteor():
+    from bitloom.operators.scoring import meteor
+
+    assert meteor("a b c d".split(), "a b c d".split()) == pytest.approx(1 - 0.5 / 64)
+    assert meteor([], ["a"]) == meteor(["a"], []) == meteor(["a"], ["b"]) == 0
+    # two chunks: "the cat" and "sat"
+    p, r = 3 / 4, 3 / 5
+    assert meteor("the cat quietly sat".split(), "the cat on it sat".split()) == pytest.approx(p * r / (0.9 * p + 0.1 * r) * (1 - 0.5 * (2 / 3) ** 3))
+
+
+def test_train_configs(tmp_path):
+    from bitloom.sources.tables import read_config, write_train_configs
+
+    for name in ("train.hu", "train.en", "valid-a.hu", "valid-a.en", "x.sp"):
+        write(tmp_path / "corpora/one" / name, "x\n")
+    (at,) = write_train_configs({"steps": 10}, f"{tmp_path}/corpora", f"{tmp_path}/out", "hu", "en")
+    config = read_config(at)
+    assert at.endswith("run-huen-one/config.yaml") and config["steps"] == 10
+    assert set(config["data"]) == {"train", "valid_a"} and config["data"]["train"]["path_tgt"].endswith("train.en")
+    write(tmp_path / "corpora/one/y.txt", "x")
+    with pytest.raises(ValueError, match="neither"):
+        write_train_configs({}, f"{tmp_path}/corpora", f"{tmp_path}/out", "hu", "en")

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -21,9 +22,45 @@ def test_edge_mapping_of_toy_trees():
 
 def test_edit_distance_of_toy_trees():
     assert edit_distance(ONE, TWO) == (8.0, False)
-    assert ged_similarity(ONE, TWO) == pytest.approx(0.6364, abs=1e-4)
-    assert ged_similarity(Tree({**ONE.upos, 1: "new"}, ONE.edges), TWO) == pytest.approx(0.5909, abs=1e-4)
-    assert edit_distance(ONE, TWO, max_expansions=1)[1]
+    assert ged_similarity(ONE, TWO) == (pytest.approx(0.6364, abs=1e-4), False)
+    assert ged_similarity(Tree({**ONE.upos, 1: "new"}, ONE.edges), TWO)[0] == pytest.approx(0.5909, abs=1e-4)
+    distance, cut = edit_distance(ONE, TWO, max_expansions=1)
+    assert cut and distance >= 8.0
+    assert ged_similarity(ONE, TWO, (1,))[1]
+
+
+def every_distance(one, two):
+    """The least cost over all assignments of nodes, root to root."""
+    node = lambda p: 0 if p == "PUNCT" else 1
+    edge = lambda e: 0 if e.label == "punct" else 1
+    left, right = [n for n in one.upos if n != one.root], [n for n in two.upos if n != two.root]
+    best = float("inf")
+    for k in range(min(len(left), len(right)) + 1):
+        for chosen in itertools.combinations(left, k):
+            for images in itertools.permutations(right, k):
+                to = {one.root: two.root, **dict(zip(chosen, images, strict=True))}
+                cost = sum(0 if one.upos[a] == two.upos[b] else 2 for a, b in to.items())
+                cost += sum(node(p) for n, p in one.upos.items() if n not in to) + sum(node(p) for n, p in two.upos.items() if n not in to.values())
+                met = {(e.source, e.target): e for e in two.edges}
+                for e in one.edges:
+                    other = met.pop((to.get(e.source), to.get(e.target)), None)
+                    cost += edge(e) if other is None else 0 if other.main == e.main else 2
+                best = min(best, cost + sum(map(edge, met.values())))
+    return best
+
+
+def test_edit_distance_against_all_assignments():
+    rng = random.Random(11)
+
+    def tree():
+        n = rng.randint(1, 5)
+        upos = {i: rng.choice(["N", "V", "PUNCT"]) for i in range(n)}
+        return Tree(upos, [Edge(rng.randrange(i), i, rng.choice(["obj", "nsubj", "punct", "obj:x"])) for i in range(1, n)])
+
+    for _ in range(300):
+        one, two = tree(), tree()
+        assert edit_distance(one, two) == (every_distance(one, two), False)
+        assert edit_distance(one, two, 2)[0] >= edit_distance(one, two)[0]
 
 
 def test_mapping_is_one_to_one_and_bounded():
@@ -44,7 +81,7 @@ def test_mapping_is_one_to_one_and_bounded():
 def test_sequence_distance():
     assert sequence_distance(["a", "b"], ["a", "c", "b"]) == 1
     assert sequence_distance([], ["a"]) == 1
-    assert pair_similarity("ged", None, []) is None
+    assert pair_similarity("ged", None, []) == (None, False)
     with pytest.raises(ValueError, match="unknown"):
         pair_similarity("x", [{"id": 1, "upos": "A", "head": 0, "deprel": "r"}], [{"id": 1, "upos": "A", "head": 0, "deprel": "r"}])
 
