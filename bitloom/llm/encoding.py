@@ -13,10 +13,11 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions.words import words
+from bitloom.operators.skew import union_all
 from bitloom.scratch import materialise
 
 # fixed values: single-byte encodings as which UTF-8 is misread
@@ -40,8 +41,8 @@ CHANCE = 10.0
 #: No word of a natural language has more letters; of longer runs that are still open only the best reading goes on.
 LONGEST_WORD = 64
 LONG = " "
-#: Words that the driver fetches and broadcasts at most (about a gigabyte); a corpus whose damage asks for more is refused.
-MAX_ASKED = 20_000_000
+#: Words that the driver fetches and broadcasts at most at once (about 250 MB); damage that asks for more is restored in parts.
+MAX_ASKED = 5_000_000
 
 
 @lru_cache(maxsize=32)
@@ -372,7 +373,7 @@ def _columns(rows: DataFrame) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
     found = materialise(rows.select("skeleton", "word", "n").mapInArrow(run, "h bigint, word string, n bigint"))
     if found.count() > MAX_ASKED:
-        raise ValueError(f"damaged tokens ask for more than {MAX_ASKED} words")
+        raise TooManyWords
     table = found.toArrow().combine_chunks()
     order = np.argsort(table.column("h").to_numpy(), kind="stable")
     table = table.take(pa.array(order)).combine_chunks()
@@ -380,16 +381,25 @@ def _columns(rows: DataFrame) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return table.column("h").to_numpy(), names, table.column("n").to_numpy()
 
 
-def asked_words(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, pa.Array, np.ndarray, int]:
-    """The columns of the vocabulary: all corpus words for which the damaged tokens of the texts ask, with exact counts.
+class TooManyWords(Exception):
+    """The damaged tokens ask for more words than the driver may fetch."""
+
+
+def counted_words(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(odd tokens, words with counts and skeletons, number of words) of all texts; written once."""
+    counted = materialise(_words_and_odd_tokens(texts).withColumn("skeleton", F.regexp_replace("word", r"[^\x00-\x7f]", "?")))
+    vocabulary = counted.where("not odd")
+    return counted.where("odd").select("word"), vocabulary, int(vocabulary.agg(F.sum("n")).first()[0] or 0)
+
+
+def asked_words(tokens: DataFrame, vocabulary: DataFrame, total: int) -> tuple[np.ndarray, pa.Array, np.ndarray, int]:
+    """The columns of a Vocabulary: all corpus words for which the damaged tokens ask, with exact counts.
 
     The distinct tokens are decoded with the words known so far; the skeletons they look up are joined with the
     counted words of all rows. What is decoded in one round may ask for more in the next (twice damaged texts); it
     ends when no round asks for anything new, so every count that decoding uses is then exact.
     """
-    counted = materialise(_words_and_odd_tokens(texts).withColumn("skeleton", F.regexp_replace("word", r"[^\x00-\x7f]", "?")))
-    tokens, vocabulary = counted.where("odd").select("word"), counted.where("not odd")
-    total = int(vocabulary.agg(F.sum("n")).first()[0] or 0)
+    spark = tokens.sparkSession
     columns = (np.zeros(0, np.int64), pa.array([], pa.large_string()), np.zeros(0, np.int64))
     answered = spark.createDataFrame([], "skeleton string")
     while True:
@@ -417,15 +427,45 @@ def restored_texts(records: DataFrame, id_col: str, sides: dict[str, str]) -> Da
     sides: name of a side to its column. Damage is: characters that are misread UTF-8 (also twice, also where bytes
     were lost), replacement characters, stray control characters, and western letters in place of central European
     ones where the corpus knows the other word. Names and signs that fit none of these are left alone. complete: no
-    lost or odd sequence is left in the restored text. Null and empty texts are no cases.
+    lost or odd sequence is left in the restored text. Null and empty texts are no cases; repeated rows are repeated.
 
-    Words are counted exactly over all rows; those for which damaged tokens ask are broadcast with their counts. Texts
-    without an unusual character are passed over by one search. No shuffle beside those of words and distinct tokens.
+    Words are counted exactly over all rows; those for which damaged tokens ask are broadcast with their counts. If
+    they are more than MAX_ASKED, the texts with unusual characters are halved by a hash of their ids until the words
+    for each part are few enough, and the parts are restored one after the other with the same counts, so the result
+    is the same. Texts without an unusual character are passed over by one search. No shuffle beside those of words
+    and distinct tokens.
     """
-    spark = records.sparkSession
-    shared, name = spark.sparkContext.broadcast(asked_words(spark, records.select(*sides.values()))), uuid.uuid4().hex
     base = records.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"t{k}") for k, c in enumerate(sides.values())))
-    id_type, names = dict(base.dtypes)["id"], list(sides)
+    texts = [f"t{k}" for k in range(len(sides))]
+    tokens, vocabulary, total = counted_words(base.select(*texts))
+    try:
+        return _restore(base, asked_words(tokens, vocabulary, total), list(sides))
+    except TooManyWords:
+        odd = F.lit(False)
+        for t in texts:
+            odd = odd | F.coalesce(F.col(t).rlike(_ODD.pattern), F.lit(False))
+        return union_all(_restore_halves(materialise(base.where(odd)), texts, vocabulary, total, list(sides), 0))
+
+
+def _restore_halves(rows: DataFrame, texts: list[str], vocabulary: DataFrame, total: int, names: list[str], bit: int) -> list[DataFrame]:
+    """The restored texts of both halves of the rows by a bit of the hash of their ids, halved again where needed."""
+    if bit > 40:
+        raise ValueError(f"one record asks for more than {MAX_ASKED} words")
+    out = []
+    for side in (0, 1):
+        half = rows.where(F.getbit(F.xxhash64("id"), F.lit(bit)) == side)
+        tokens = materialise(_words_and_odd_tokens(half.select(*texts)).where("odd").select("word"))
+        try:
+            out.append(_restore(half, asked_words(tokens, vocabulary, total), names))
+        except TooManyWords:
+            out += _restore_halves(half, texts, vocabulary, total, names, bit + 1)
+    return out
+
+
+def _restore(base: DataFrame, columns: tuple, names: list[str]) -> DataFrame:
+    """The damaged texts of the rows (``id`` and a column for each name), with a vocabulary for their tokens."""
+    shared, name = base.sparkSession.sparkContext.broadcast(columns), uuid.uuid4().hex
+    id_type = dict(base.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _decoders:

@@ -314,6 +314,20 @@ def test_held_out_agreement(spark, sf, model):
     assert agree > 0.9
 
 
+def test_segments_of_joined_texts(spark, sf, model):
+    """Held-out texts of two languages joined: the languages, and the border to within one word."""
+    rows = spark.read.parquet(f"{sf}/hunglish_sampler.parquet").where("lang_hun = 'hu' and lang_eng = 'en'").select("pair_id", "hun", "eng").collect()
+    good = [r for r in rows if language.agrees(language._TOKEN.findall((r.hun or "").lower()), "hu") and language.agrees(language._TOKEN.findall((r.eng or "").lower()), "en")][:300]
+    joined = [f"{r.hun.strip()} {r.eng.strip()}" for r in good]
+    labeller = language.Labeller(model)
+    first = labeller.label([r.hun for r in good])[1]
+    post, lens = labeller.label(joined)
+    ends = np.cumsum(lens)
+    found = [language.segments(post[e - n : e]) for e, n in zip(ends, lens, strict=True)]
+    right = [[language.LANGUAGES[s[2]] for s in f] == ["hu", "en"] and abs(f[0][1] - n) <= 1 for f, n in zip(found, first, strict=True)]
+    assert len(right) > 100 and np.mean(right) > 0.95
+
+
 # ---- encoding ----
 
 CLEAN = ["Az őrült kőműves örömmel elkészítette a zöld tűzhelyet.", "Öt kis macska ült a fűben, és nézte a csillagokat.", "„Nem tudom” – felelte a kapitány.", "The captain’s ship – an old one – was lost."] * 3
@@ -379,7 +393,7 @@ def test_words_asked_for_are_all_counted(spark):
     twice = "tűzhelyet".encode().decode("cp1252", "replace").encode().decode("cp1252", "ignore")
     texts = [(t,) for t in [*CLEAN, "A zöld tûzhelyet az õrült nézte.", twice, re.sub("[őöéáűü]", "�", CLEAN[0]), "megk�r�lt�k"]]
     frame = spark.createDataFrame(texts, "t string")
-    columns = encoding.asked_words(spark, frame)
+    columns = encoding.asked_words(*encoding.counted_words(frame))
     true = Counter(w for (t,) in texts for w in words(t))
     assert columns[-1] == true.total()
 
@@ -481,3 +495,11 @@ def test_restoration_of_planted_damage(spark, sf):
     for kind, least in (("misread", 0.95), ("twice", 0.95), ("stretch", 0.95), ("bytes", 0.85), ("letters", 0.1)):  # few words are known in so small a corpus
         own = [got[p] == t for p, (k, t) in planted.items() if k == kind]
         assert sum(own) >= least * len(own), (kind, sum(own), len(own))
+
+
+def test_restoring_in_parts_changes_nothing(spark, sf, monkeypatch):
+    whole = sorted(map(tuple, queries.p1_restored(spark, sf).collect()))
+    records = spark.read.parquet(f"{sf}/hunglish_sampler.parquet")
+    n = len(encoding.asked_words(*encoding.counted_words(records.select("hun", "eng")))[0])
+    monkeypatch.setattr(encoding, "MAX_ASKED", 2 * n // 3)
+    assert sorted(map(tuple, queries.p1_restored(spark, sf).collect())) == whole
