@@ -157,3 +157,16 @@ def edge_weight(label: Column) -> Column:
 def label_counts(trees: DataFrame) -> DataFrame:
     """``label``, ``n``: tokens by main label."""
     return trees.select(F.explode("tokens").alias("t")).groupBy(main_label(F.col("t.deprel")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def dot(tokens: Column) -> Column:
+    """The tree as text in the DOT language: an edge a line from head to word (root_0 above the root), labelled."""
+    back, mark = F.lit("\\"), F.lit('"')
+    quoted = lambda c: F.concat(mark, F.replace(F.replace(c, back, F.concat(back, back)), mark, F.concat(back, mark)), mark)
+    key = lambda t: F.concat(t["form"], F.lit("_"), t["id"].cast("string"))
+
+    def line(t: Column) -> Column:
+        head = F.coalesce(key(token_at(tokens, t["head"])), F.concat(F.lit("root_"), t["head"].cast("string")))
+        return F.concat(F.lit("  "), quoted(head), F.lit(" -> "), quoted(key(t)), F.lit(" [label="), quoted(F.coalesce(t["deprel"], F.lit(""))), F.lit("];\n"))
+
+    return F.concat(F.lit("digraph {\n"), F.array_join(F.transform(F.array_sort(tokens), line), ""), F.lit("}"))

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.functions import text as T
-from bitloom.operators.skew import join_by_counts, many_to_many_join
-from bitloom.scratch import materialise
+from bitloom.operators.skew import join_by_counts, many_to_many_join, union_all
+from bitloom.scratch import discard, materialise
 
 
 def distinct_sets(rows: DataFrame, id_col: str, text: str, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -66,18 +66,26 @@ def greedy_leaders(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """``set_id``, ``kept``: scan sets in the order of ids; keep each that no kept earlier one is similar to.
 
     The sequential rule as a fixpoint: a set whose smaller neighbours are all dropped is kept, one with a kept
-    smaller neighbour is dropped; each round decides all sets that it can, and is cut by a written table.
+    smaller neighbour is dropped; each round decides all sets that it can, reads only what the last one decided, and is
+    cut by a written table. Tables that are no longer read are deleted.
     """
     known = materialise(sets.select("set_id").join(pairs.select(F.col("b").alias("set_id")), "set_id", "left_anti").withColumn("kept", F.lit(True)))
-    open_pairs = materialise(pairs.select("a", "b"))
+    rounds, fresh = [known], known
+    open_pairs = materialise(pairs.select("a", "b", F.lit(False).alias("ka")))
     while True:
-        state = open_pairs.join(known.select(F.col("set_id").alias("a"), F.col("kept").alias("ka")), "a", "left")
-        by = state.groupBy("b").agg(F.max(F.coalesce("ka", F.lit(False))).alias("hit"), F.count_if(F.col("ka").isNull()).alias("unsure"))
-        decided = materialise(by.where("hit or unsure = 0").select(F.col("b").alias("set_id"), (~F.col("hit")).alias("kept")))
+        # pairs whose first set is decided as dropped say nothing any more; those with a kept one decide the second
+        state = open_pairs.drop("ka").join(fresh.select(F.col("set_id").alias("a"), F.col("kept").alias("ka")), "a", "left")
+        rest = materialise(state.where("ka is null or ka"))
+        by = rest.groupBy("b").agg(F.max(F.coalesce("ka", F.lit(False))).alias("hit"))
+        all_b = open_pairs.select("b").distinct().join(by, "b", "left")
+        unsure = F.col("hit").isNotNull() & ~F.col("hit")
+        decided = materialise(all_b.where(~unsure | F.col("hit").isNull()).select(F.col("b").alias("set_id"), F.col("hit").isNull().alias("kept")))
         if decided.isEmpty():
-            return known
-        known = materialise(known.unionByName(decided))
-        open_pairs = materialise(open_pairs.join(decided.select(F.col("set_id").alias("b")), "b", "left_anti"))
+            return union_all(rounds)
+        rounds.append(decided)
+        left = materialise(rest.join(decided.select(F.col("set_id").alias("b")), "b", "left_anti"))
+        discard(open_pairs, rest)
+        open_pairs, fresh = left, decided
 
 
 __all__ = ["distinct_sets", "greedy_leaders", "near_pairs"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -242,3 +244,34 @@ def round_trip_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def corpus_meteor(spark: SparkSession, sf: str) -> DataFrame:
     return S.corpus_meteor(_t(spark, sf, "eval_item"), "ref_text", "text")
+
+
+@query(f"""WITH {TOK}, e AS (SELECT t.pair_id, t.side, t.id, '  "' || replace(replace(coalesce(h.form || '_' || h.id, 'root_' || t.head), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '" -> "' || replace(replace(t.form || '_' || t.id, chr(92), chr(92) || chr(92)), '"', chr(92) || '"')
+ || '" [label="' || replace(replace(coalesce(t.deprel, ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"];' || chr(10) AS line FROM tok t LEFT JOIN tok h ON h.pair_id = t.pair_id AND h.side = t.side AND h.id = t.head)
+SELECT pair_id, side, 'digraph {{' || chr(10) || string_agg(line, '' ORDER BY id) || '}}' AS dot FROM e GROUP BY 1, 2""")
+def tree_drawings(spark: SparkSession, sf: str) -> DataFrame:
+    return _trees(spark, sf).select("pair_id", "side", R.dot(F.col("tokens")).alias("dot"))
+
+
+_CONFIG = {"data": {"src": "./a/x.hu", "files": ["../b", "c"]}, "steps": 10, "model": {"size": {"layers": 6}}}
+
+
+@query("""SELECT * FROM (VALUES ('data.src', '"./a/x.hu"'), ('data.files', '["../b", "c"]'), ('steps', '10'), ('model.size.layers', '6')) AS v(key, value)""")
+def flat_config(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in tables.flatten(_CONFIG).items()], "key string, value string")
+
+
+@query("""SELECT * FROM (VALUES ('data.src', '".././a/x.hu"'), ('data.files', '["../../b", "c"]'), ('steps', '10'), ('model.size.layers', '6')) AS v(key, value)""")
+def deeper_config(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in tables.flatten(tables.parent_paths(_CONFIG)).items()], "key string, value string")
+
+
+@query("""SELECT * FROM (VALUES ('6', '10', NULL, 'd1', 'p1', 'g1', '31.5'), ('6', '10', '2', 'd2', 'p2', 'g2', '32.0')) AS v(layers, steps, extra, date, path, git_hash, bleu)""")
+def run_history(spark: SparkSession, sf: str) -> DataFrame:
+    """A history of two runs, the second with one more key, written and read again."""
+    base = {"steps": 10, "model": {"size": {"layers": 6}}}
+    one = tables.append_history(spark, None, base, {"bleu": 31.5}, "d1", "p1", "g1")
+    two = tables.append_history(spark, one, base | {"extra": 2}, {"bleu": 32.0}, "d2", "p2", "g2")
+    path = scratch_path(spark)
+    two.coalesce(1).write.csv(path, sep="\t", header=True)
+    return tables.read_history(spark, path).withColumnRenamed("model.size.layers", "layers")

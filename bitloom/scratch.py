@@ -44,7 +44,23 @@ def materialise(df: DataFrame, *keys: str, partitions: int | None = None, rows_a
     path = scratch_path(spark)
     out = df if not keys and partitions is None else df.repartition(*([partitions] if partitions else []), *keys)
     out.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path  # for discard
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more, such as those of earlier rounds of a loop."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path:
+            _written[:] = [w for w in _written if w[1] != path]
+            _delete(table.sparkSession, path)
 
 
 def clear_scratch() -> None:
@@ -52,8 +68,6 @@ def clear_scratch() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone already
             continue
