@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions.hashing import hash_int, hash_unit
 from bitloom.functions.trees import let
-from bitloom.operators.skew import HOT_SHARE, join_by_counts, take_hashed, union_all
+from bitloom.operators.skew import join_by_counts, take_hashed
 from bitloom.scratch import materialise
 
 #: Mean number of partners drawn by one random number; rows with a larger mean use several. Eight times as many never occur.
@@ -30,33 +30,24 @@ def _hashed(rows: DataFrame, on: list[str]) -> DataFrame:
 def overlap(rows: DataFrame, other: DataFrame, on: list[str], keep_multiplicity: bool = False) -> DataFrame:
     """Rows that also stand in ``other``; with keep_multiplicity once for each time they stand there.
 
-    ``other`` is reduced to its different keys, with their number, before anything meets. Hot keys of ``rows`` are
-    broadcast (see join_by_counts). Rows with a null key stand nowhere.
+    ``other`` is reduced to its different keys, with their number, before anything meets, so a key is hot in ``rows``
+    only, and Spark divides such a partition of the left side at run time (adaptive skew join). Rows with a null key
+    stand nowhere.
     """
-    keyed = materialise(_hashed(rows, on).where("_k is not null"))
     asked = _hashed(other.select(*on), on).where("_k is not null").groupBy("_k").agg(F.count(F.lit(1)).alias("_times"))
-    counts = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    both = materialise(counts.join(asked, "_k"))
-    found = join_by_counts(keyed, both, ["_k"], "_n", keyed.count())
-    if keep_multiplicity:
-        found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).drop("_copy")
-    return found.drop("_k", "_n", "_times")
+    keyed = _hashed(rows, on).where("_k is not null")
+    if not keep_multiplicity:
+        return keyed.join(asked.select("_k"), "_k", "left_semi").drop("_k")
+    found = keyed.join(asked, "_k").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
+    return found.drop("_k", "_times", "_copy")
 
 
 def without_overlap(rows: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
-    """Rows that do not stand in ``other`` (rows with a null key never do).
-
-    ``other`` is reduced to its different keys. Keys that are hot in ``rows`` are taken out by broadcast before the
-    rest is shuffled; rows with a null key are not shuffled at all.
-    """
-    keyed = materialise(_hashed(rows, on))
+    """Rows that do not stand in ``other`` (rows with a null key never do, and are not shuffled). See overlap."""
     asked = _hashed(other.select(*on), on).where("_k is not null").select("_k").distinct()
-    counts = keyed.where("_k is not null").groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    limit = keyed.count() / HOT_SHARE
-    hot = materialise(counts.where(F.col("_n") > F.lit(limit)).join(asked.withColumn("_there", F.lit(True)), "_k", "left"))
-    marked = keyed.where("_k is not null").join(F.broadcast(hot.withColumn("_hot", F.lit(True)).select("_k", "_hot", "_there")), "_k", "left")
-    parts = [keyed.where("_k is null"), marked.where("_hot and _there is null"), marked.where("_hot is null").join(asked, "_k", "left_anti")]
-    return union_all([p.select(*rows.columns) for p in parts])
+    keyed = _hashed(rows, on)
+    kept = keyed.where("_k is not null").join(asked, "_k", "left_anti")
+    return kept.select(*rows.columns).unionByName(keyed.where("_k is null").select(*rows.columns))
 
 
 def outer_counts(left: DataFrame, right: DataFrame, on: str) -> DataFrame:

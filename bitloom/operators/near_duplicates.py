@@ -40,7 +40,7 @@ def near_pairs(sets: DataFrame, share: float = 0.8) -> DataFrame:
     sizes meet; sets that are equal were one set before, so a shingle of boilerplate is among the rarest of few sets
     only. Frequent shingles get their counts by broadcast, and a shingle that is still hot is joined by a grid of tasks.
     """
-    exploded = materialise(sets.select("set_id", F.explode("shingles").alias("h")))
+    exploded = sets.select("set_id", F.explode("shingles").alias("h"))
     counts = materialise(exploded.groupBy("h").agg(F.count(F.lit(1)).alias("f")))
     total = counts.agg(F.sum("f")).first()[0] or 0
     ranked = join_by_counts(exploded, counts, ["h"], "f", total).groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("o"))
@@ -50,7 +50,7 @@ def near_pairs(sets: DataFrame, share: float = 0.8) -> DataFrame:
     seeds = ranked.select("set_id", n.alias("n"), band.cast("int").alias("band"), F.explode(prefix).alias("p")).where("p.f > 1")
     seeds = materialise(seeds.select("set_id", "n", "band", F.col("p.h").alias("h")))
     near = F.sequence(F.col("band") - 1, F.col("band") + 1) if share < 1 else F.array("band")
-    left = materialise(seeds.select(F.col("set_id").alias("a"), F.col("n").alias("na"), "h", F.explode(near).alias("band")))
+    left = seeds.select(F.col("set_id").alias("a"), F.col("n").alias("na"), "h", F.explode(near).alias("band"))
     right = seeds.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), "h", "band")
     fits = (F.col("na") >= share * F.col("nb") - 1e-9) & (F.col("nb") >= share * F.col("na") - 1e-9)
     pairs = many_to_many_join(left, right, ["h", "band"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()

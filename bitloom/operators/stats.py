@@ -23,42 +23,51 @@ def _long(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return rows.select(*by, F.inline(F.array(*cells)))
 
 
-def exact_quantiles(rows: DataFrame, by: list[str], columns: list[str], quantiles: tuple[float, ...]) -> DataFrame:
-    """``by``, ``column_name``, ``n`` and ``q0``, ``q1``, ..: exact quantiles with linear interpolation, nulls left out.
+def _ranked(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """``by``, ``column_name``, ``x``, ``_n``: the different values with their number, ``_to``: values up to and with them, ``n``, ``mean``: of the group.
 
-    All columns come from one scan. Equal values are counted before the shuffle, and the ranks are running sums over
-    the sorted different values of a group; these are sorted with spilling and never held in the state of an aggregate.
+    All columns come from one scan, and equal values are counted before the shuffle. The running sums go over the
+    sorted different values of a group, which are sorted with spilling and never held in the state of an aggregate.
     """
     keys = [*by, "column_name"]
     counts = _long(rows, by, columns).where("x is not null").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("_to", F.sum("_n").over(order))
-    whole = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = placed.withColumn("n", F.sum("_n").over(whole))
-    found = []
+    order = Window.partitionBy(*keys).orderBy("x")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = F.sum("_n").over(whole)
+    return counts.select("*", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_to"), total.alias("n"), (F.sum(F.col("x") * F.col("_n")).over(whole) / total).alias("mean"))
+
+
+def _quantiles(quantiles: tuple[float, ...]) -> tuple[list[Column], list[Column]]:
+    """Aggregates over rows of _ranked, and from these the quantiles ``q0``, ``q1``, .. with linear interpolation."""
+    found, between = [], []
     for i, p in enumerate(quantiles):
         at = (F.col("n") - 1) * F.lit(float(p))
         for name, rank in ((f"_a{i}", F.floor(at)), (f"_b{i}", F.ceil(at))):
             found.append(F.max(F.when((rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_n")), F.col("x"))).alias(name))
-    per = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *found)
-    between = [(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * ((F.col("n") - 1) * F.lit(float(p)) - F.floor((F.col("n") - 1) * F.lit(float(p))))).alias(f"q{i}") for i, p in enumerate(quantiles)]
-    return per.select(*keys, "n", *between)
+        between.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (at - F.floor(at))).alias(f"q{i}"))
+    return found, between
+
+
+def exact_quantiles(rows: DataFrame, by: list[str], columns: list[str], quantiles: tuple[float, ...]) -> DataFrame:
+    """``by``, ``column_name``, ``n`` and ``q0``, ``q1``, ..: exact quantiles with linear interpolation, nulls left out (see _ranked)."""
+    keys = [*by, "column_name"]
+    found, between = _quantiles(quantiles)
+    return _ranked(rows, by, columns).groupBy(*keys).agg(F.max("n").alias("n"), *found).select(*keys, "n", *between)
 
 
 def describe(rows: DataFrame, columns: list[str], quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """One row a column: count, mean, both standard deviations, min, max and the exact quantiles as ``q<per mille>``.
 
-    Two scans, however many columns: one for the moments and one for the quantiles (see exact_quantiles).
+    Everything comes from the counted values of one scan, however many columns there are.
     """
-    x = F.col("x")
-    moments = _long(rows, [], columns).groupBy("column_name").agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std_sample"), F.stddev_pop(x).alias("std_population"), F.min(x).alias("lowest"), F.max(x).alias("highest")
-    )
-    every = F.broadcast(rows.sparkSession.createDataFrame([(c,) for c in columns], "column_name string"))
-    named = [F.col(f"q{i}").alias(f"q{round(q * 1000)}") for i, q in enumerate(quantiles)]
-    found = F.broadcast(exact_quantiles(rows, [], columns, quantiles).drop("n"))  # one row a column
-    full = every.join(F.broadcast(moments), "column_name", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
-    return full.join(found, "column_name", "left").select("column_name", "n", "mean", "std_sample", "std_population", "lowest", "highest", *named)
+    found, between = _quantiles(quantiles)
+    squares = F.sum(F.col("_n") * F.pow(F.col("x") - F.col("mean"), 2))
+    one = _ranked(rows, [], columns).groupBy("column_name").agg(F.max("n").alias("n"), F.max("mean").alias("mean"), squares.alias("_s"), F.min("x").alias("lowest"), F.max("x").alias("highest"), *found)
+    every = rows.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    full = every.join(F.broadcast(one), "column_name", "left")  # one row a column
+    std = [F.sqrt(F.try_divide(F.col("_s"), F.col("n") - d)).alias(name) for d, name in ((1, "std_sample"), (0, "std_population"))]
+    named = [q.alias(f"q{round(p * 1000)}") for q, p in zip(between, quantiles, strict=True)]
+    return full.select("column_name", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "mean", *std, "lowest", "highest", *named)
 
 
 def ngram_counts(texts: DataFrame, column: str, n: int) -> DataFrame:
