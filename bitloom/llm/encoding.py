@@ -26,6 +26,8 @@ CHANNELS = ("cp1252", "latin-1", "cp1250", "iso8859-2", "mac-roman", "cp437", "c
 SINGLE = str.maketrans("õûÕÛ", "őűŐŰ")
 LOST = "�"
 ACCENTED = "áéíóöőúüű"
+# fixed values: signs of running text outside ASCII, the most usual first
+USUAL_SIGNS = "”“„’‘–—…"
 #: What damaged text may decode to, also half-way: the upper halves of Latin-1 and cp1252, Latin Extended-A, usual signs.
 ALLOWED = frozenset([chr(c) for c in (*range(0x80, 0x180), *range(0x2009, 0x203B))] + list("€™•−ƒˆ˜‚„†‡‰‹›"))
 _PLAIN = r"\x00-\x7fáéíóöőúüűÁÉÍÓÖŐÚÜŰ„“”–…\xa0\xad"
@@ -68,6 +70,29 @@ def _matching(pattern: tuple[int, ...]) -> tuple[str, ...]:
     return tuple(sorted(c for b, c in _by_bytes().items() if len(b) == len(pattern) and all(p in (-1, x) for p, x in zip(pattern, b, strict=True))))
 
 
+@lru_cache(maxsize=32)
+def undefined(channel: str) -> frozenset[int]:
+    """The bytes that an encoding does not know, which a reader of it loses."""
+    return frozenset(b for b in range(0x80, 0x100) if not bytes([b]).decode(channel, "ignore"))
+
+
+@lru_cache(maxsize=4096)
+def _readings(pattern: tuple[int, ...], channel: str) -> str | tuple[str, ...]:
+    """The character of a byte sequence, or the choices where bytes were lost.
+
+    If none of these is a letter, it is the most usual sign whose lost bytes the channel does not know, if there is one.
+    """
+    fits = _matching(pattern)
+    if len(fits) == 1:
+        return fits[0]
+    if not any(map(str.isalpha, fits)):
+        lost = [k for k, b in enumerate(pattern) if b == -1]
+        for sign in USUAL_SIGNS:
+            if sign in fits and all(sign.encode()[k] in undefined(channel) for k in lost):
+                return sign
+    return fits
+
+
 Part = str | tuple[str, ...]
 Edge = tuple[int, Part, int]
 
@@ -92,9 +117,9 @@ def lattice(token: str, channel: str) -> list[list[Edge]]:
         for n in (2,) if 0xC2 <= b <= 0xDF else (3,) if 0xE0 <= b <= 0xEF else (2, 3) if b == -1 else ():
             seq = tuple(codes[i : i + n])
             if len(seq) == n and all(x == -1 or 0x80 <= x <= 0xBF for x in seq[1:]) and any(x >= 0 for x in seq):
-                fits = _matching(seq)
+                fits = _readings(seq, channel)
                 if fits:
-                    own.append((i + n, fits[0] if len(fits) == 1 else fits, 1))
+                    own.append((i + n, fits, 1))
         if c == LOST and not (i == 0 and token[1:2].isupper() and not shout):  # else rather a quotation mark
             own.append((i + 1, tuple(ACCENTED.upper() if shout else ACCENTED + ACCENTED.upper() if i == 0 else ACCENTED), 0))
         other = other or bool(own)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions.text import folded_name
 from bitloom.operators.skew import join_by_counts
-from bitloom.scratch import materialise
+from bitloom.scratch import discard, materialise
 
 # fixed values: entries that name nobody
 PLACEHOLDERS = ("", "unknown", "n/a", "-", "ismeretlen", "various")
@@ -49,7 +49,7 @@ def source_groups(catalog: DataFrame) -> DataFrame:
     shared = links.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     n_links = links.count()
     links = materialise(join_by_counts(links, shared, ["name"], "n", n_links))
-    labels = materialise(rows.select("source_id").distinct().withColumn("group_id", F.col("source_id")))
+    labels = table = materialise(rows.select("source_id").distinct().withColumn("group_id", F.col("source_id")))
     while True:
         seen = links.join(labels, "source_id")
         by_name = seen.groupBy("name").agg(F.min("group_id").alias("m"), F.count(F.lit(1)).alias("n"))
@@ -60,8 +60,9 @@ def source_groups(catalog: DataFrame) -> DataFrame:
         pointed = step.groupBy("mid").agg(F.count(F.lit(1)).alias("n"))
         target = pointed.join(step.select(F.col("source_id").alias("mid"), F.col("mid").alias("jump")), "mid")
         new = materialise(join_by_counts(step, target, ["mid"], "n", n_links + 1).select("source_id", F.least("mid", "jump").alias("group_id"), "old"))
+        discard(step, table)
+        table, labels = new, new.select("source_id", "group_id")
         changed = not new.where("group_id <> old").isEmpty()
-        labels = new.select("source_id", "group_id")
         if not changed:
             return labels
 
@@ -191,8 +192,10 @@ def search_splits(placed: DataFrame, targets: DataFrame, seed: int = 7, replicas
     first = F.array_position(F.array(*[u < F.lit(float(e)) for e in edges[:-1]], F.lit(True)), True) - 1
     state = comps.withColumn("at", first.cast("int")).withColumn("block", F.pmod(F.xxhash64("component"), F.lit(n_blocks)).cast("int"))
 
+    old: list[DataFrame] = []
     for turn in range(rounds):
         state = materialise(state)
+        discard(*old)
         have = np.zeros((len(names), 1 + len(labels)))
         for r in state.select("at", F.inline("labels")).groupBy("at", "label").agg(F.sum("n").alias("n")).collect():
             have[r["at"], labels[r["label"]]] += r["n"] / 2
@@ -201,6 +204,7 @@ def search_splits(placed: DataFrame, targets: DataFrame, seed: int = 7, replicas
 
         many = state.withColumn("replica", F.explode(F.array(*map(F.lit, range(replicas)))))
         tried = materialise(many.groupBy("block", "replica").applyInPandas(_block_search(lack, seed, turn, steps), "block int, replica int, cost double, component string, new_at int"))
+        old = [state, tried]
         best = tried.groupBy("block").agg(F.min(F.struct("cost", "replica")).alias("b")).select("block", F.col("b.replica").alias("replica"))
         state = state.join(tried.join(best, ["block", "replica"]).select("component", "new_at"), "component").withColumn("at", F.col("new_at")).drop("new_at")
     return state.select("component", F.element_at(F.array(*map(F.lit, names)), F.col("at") + 1).alias("new_split"), F.col("size").alias("n"))

@@ -417,6 +417,11 @@ def test_many_lost_letters_and_long_tokens():
     assert n == 1 and text.startswith("y" * 100_000)
 
 
+def test_lost_quotation_marks(decoder):
+    damaged = "„Nem tudom” – felelte a kapitány.".encode().decode("cp1252", "replace")
+    assert "\ufffd" in damaged and decoder.restore(damaged)[0] == "„Nem tudom” – felelte a kapitány."
+
+
 def test_the_lattice_has_all_readings():
     edges = encoding.lattice("kÃ¡", "cp1252")
     assert edges == [[(1, "k", 0)], [(3, "á", 1), (2, "Ã", 0)], [(3, "¡", 0)]]
