@@ -691,7 +691,12 @@ def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return N.near_pairs(sets).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NEAR}, p AS (SELECT a, b FROM c WHERE k >= 0.8 * (na + nb - k) - 1e-9),
+bs AS (SELECT b, list(a) AS near, row_number() OVER (ORDER BY b) AS r FROM p GROUP BY b),
+go AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS dropped UNION ALL
+ SELECT bs.r, CASE WHEN len(list_filter(near, lambda x: NOT list_contains(dropped, x))) > 0 THEN list_append(dropped, b) ELSE dropped END FROM go JOIN bs ON bs.r = go.r + 1),
+d AS (SELECT dropped FROM go ORDER BY r DESC LIMIT 1), m AS (SELECT id AS pair_id, min(id) OVER (PARTITION BY g) AS set_id FROM g)
+SELECT pair_id, set_id, NOT list_contains(dropped, set_id) AS kept FROM m, d""")
 def near_duplicate_leaders(spark: SparkSession, sf: str) -> DataFrame:
     sets, members = N.distinct_sets(_h(spark, sf), "pair_id", "eng")
     return members.join(N.greedy_leaders(sets, N.near_pairs(sets)), "set_id").select(F.col("id").alias("pair_id"), "set_id", "kept")
