@@ -311,6 +311,7 @@ def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_
     files: dict[int, list[str]] = {}
     for r in index.select("bucket", F.input_file_name().alias("f")).orderBy("bucket", "f").collect():
         files.setdefault(r["bucket"], []).append(r["f"])
+    places = sc.broadcast(files)  # a path for each shard of SHARD sets
     columns = ["train_id", "set_key", "common", "jaccard", "n_spans", "span_words"]
 
     def found(shard: Shard, ids: pa.Array, values: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -327,7 +328,7 @@ def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, counts, ids = numbers_of(batch)
-            for uri in files.get(0, ()):
+            for uri in places.value.get(0, ()):
                 yield from found(load_shard(uri), ids, values, counts)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +336,7 @@ def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_
             values, counts, ids = numbers_of(batch)
             packed = _packed(values, counts)
             row, bucket = routes(values, counts, share, n_buckets)
-            uris = [files.get(b, ()) for b in bucket.tolist()]
+            uris = [places.value.get(b, ()) for b in bucket.tolist()]
             many = np.repeat(row, [len(u) for u in uris])
             yield pa.RecordBatch.from_arrays([pa.array([f for u in uris for f in u], pa.string()), ids.take(pa.array(many)), pa.array([packed[i] for i in many], pa.binary())], ["uri", "id", "words"])
 
