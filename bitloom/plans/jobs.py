@@ -105,6 +105,12 @@ def augment(
     return made
 
 
+def _named(place: str) -> Callable:
+    """The function that ``module:function`` names."""
+    module, _, function = place.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def main(argv: list[str] | None = None) -> None:
     """Commands: ``preprocess CONFIG SRC TGT OUT``, ``precompute CONFIG SRC TGT OUT`` (parsing, can be run again) and
     ``augment SRC_TREES TGT_TREES OUT``."""
@@ -128,6 +134,7 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--any-pos", action="store_true", help="heads of different parts of speech too")
     a.add_argument("--any-predicate", action="store_true", help="subject and object of different words too (base only)")
     a.add_argument("--report", help="where to write the originals with what was made of them")
+    a.add_argument("--filters", help="module:function that returns the score filters")
     t = commands.add_parser("precompute")
     for name in ("config", "src", "tgt", "out"):
         t.add_argument(name)
@@ -140,15 +147,15 @@ def main(argv: list[str] | None = None) -> None:
         return
     if args.command == "precompute":
         config = PreprocessConfig.of(read_config(args.config))
-        module, _, function = args.parser.partition(":")
-        getattr(importlib.import_module(module), function)()
+        _named(args.parser)()
         precompute(lines.read_aligned(spark, args.src, args.tgt), args.out, config, dep_trees.parser(config.source_language), dep_trees.parser(config.target_language))
         return
     src = dep_trees.read_trees(spark, args.src_trees).select("pair_id", F.col("tokens").alias("src_tokens"))
     tgt = dep_trees.read_trees(spark, args.tgt_trees).select("pair_id", F.col("tokens").alias("tgt_tokens"))
     pairs = materialise(src.join(tgt, "pair_id"))
     rules = {"nouns": args.nouns, "same_pos": not args.any_pos} | ({"same_predicate": not args.any_predicate} if args.kind == "base" else {})
-    made = materialise(augment(pairs, args.kind, args.ratio, args.size, args.threshold, args.seed, args.separate, save_original=args.save_original, **rules))
+    filters = _named(args.filters)() if args.filters else None
+    made = materialise(augment(pairs, args.kind, args.ratio, args.size, args.threshold, args.seed, args.separate, filters, save_original=args.save_original, **rules))
     sinks.write_augmented(made, args.out, args.layout)
     if args.report:
         plain = pairs.select("pair_id", R.sentence(F.col("src_tokens")).alias("src"), R.sentence(F.col("tgt_tokens")).alias("tgt"))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bitloom.functions import trees as R
+from bitloom.operators.scoring import QuantileFilter
 from bitloom.plans import jobs
 from bitloom.sources import dep_trees
 from bitloom.sources.tables import PreprocessConfig
@@ -17,6 +18,10 @@ def fake_parser():
     return parse
 
 
+def one_filter():
+    return [QuantileFilter(F.col("draw") * 2 + F.col("slot"), F.col("draw") * 2 + F.col("slot"), 0.0)]
+
+
 def register():
     dep_trees.register_parser("hu", fake_parser)
     dep_trees.register_parser("en", fake_parser)
@@ -70,6 +75,8 @@ def test_command_line(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/made").count() == 0  # a subject without a noun
     jobs.main(["augment", f"{tmp_path}/trees", f"{tmp_path}/trees", f"{tmp_path}/made", "--ratio", "1", "--layout", "tsv", "--report", f"{tmp_path}/report"])
     assert spark.read.text(f"{tmp_path}/made").count() == 8
+    jobs.main(["augment", f"{tmp_path}/trees", f"{tmp_path}/trees", f"{tmp_path}/kept", "--ratio", "1", "--layout", "tsv", "--filters", "tests.test_jobs:one_filter"])
+    assert 0 < spark.read.text(f"{tmp_path}/kept").count() < 8
     assert spark.read.text(f"{tmp_path}/report", wholetext=True).where("value like 'I like %'").count() > 0
 
 
