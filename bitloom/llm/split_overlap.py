@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,16 @@ SHARD = 150_000
 STEP = 3_000_000
 #: Pairs of neighbours beyond the least number that are searched; a candidate needs as many matches more.
 EXTRA = 2
+#: Distinct evaluation sets beyond which sets without any possible match are dropped before the search.
+FILTERED = 20_000
+#: Pairs of neighbours in one part of the filter (about 8 MB).
+PART = 400_000
+#: Pairs that the filter compares at once; small enough for a cache.
+NEAR_STEP = 200_000
+#: Of a key of the filter the low bits are the size of the set, at most LARGEST; of larger sets only the pair counts.
+LARGEST = (1 << 12) - 1
+#: A pair of neighbours in the filter: hash and size of its set, sketch of the set, hash of the record or the set.
+PAIR = np.dtype([("key", "<u8"), ("sketch", "<u8"), ("tag", "<i4")])
 #: Cells of the table that says how common words are among the evaluation records: 4 MB, whatever the corpus.
 LEVEL_BITS = 22
 HASH_BITS = 57
@@ -114,6 +124,86 @@ def common_words(t: np.ndarray, e: np.ndarray, train: tuple[np.ndarray, np.ndarr
     return common, first
 
 
+def most_different(n: np.ndarray, m: np.ndarray, share: float) -> np.ndarray:
+    """How many words at most only one of two sets of n and m words has, if they have a Jaccard value of ``share``."""
+    return np.floor((n + m) * (1 - share) / (1 + share) + 1e-9).astype(np.int64)
+
+
+def sketches(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """64 parities of each set, of at least one word; two sets differ in no more parities than words."""
+    bits = np.uint64(1) << ((values.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(58))
+    return np.bitwise_xor.reduceat(bits, np.cumsum(counts) - counts) if len(counts) else bits
+
+
+def neighbours(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, hash, whether evaluation records may have both words) of all pairs of neighbours."""
+    pattern, size = padded(values, counts)
+    row = np.repeat(np.arange(len(counts)), size)
+    front = np.flatnonzero(row[1:] == row[:-1])
+    known = (pattern >> HASH_BITS > 0) | (pattern == PAD)
+    a, b = pattern[front].astype(np.uint64), pattern[front + 1].astype(np.uint64)
+    mix = (a * np.uint64(0x9E3779B97F4A7C15)) ^ ((b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+    mix = (mix ^ (mix >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return row[front], mix ^ (mix >> np.uint64(31)), known[front] & known[front + 1]
+
+
+def rarest(row: np.ndarray, rank: np.ndarray, counts: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The places of the ``most`` pairs of each set with the lowest rank (0 .. 63)."""
+    order = np.argsort(row << 6 | rank, kind="stable")
+    return order[np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts) < np.repeat(most, counts)]
+
+
+def filter_pairs(values: np.ndarray, counts: np.ndarray, tags: np.ndarray, levels: np.ndarray | None = None, most: np.ndarray | None = None) -> np.ndarray:
+    """The pairs of neighbours of each set, or the ``most`` rarest of them by the table, as far as an evaluation record may have them."""
+    row, mix, known = neighbours(values, counts)
+    if levels is not None:
+        chosen = rarest(row, np.where(known, levels[mixed(mix, LEVEL_BITS)], 0), counts - (counts > 1), most)
+        row, mix, known = row[chosen], mix[chosen], known[chosen]
+    row, mix = row[known], mix[known]
+    out = np.empty(len(row), dtype=PAIR)
+    out["key"] = mix & ~np.uint64(LARGEST) | np.minimum(counts, LARGEST).astype(np.uint64)[row]
+    out["sketch"] = sketches(values, counts)[row]
+    out["tag"] = tags[row]
+    return out
+
+
+def parts_of(pairs: np.ndarray, n_parts: int) -> tuple[list[int], list[bytes]]:
+    """The pairs of each part of the filter, by the hash of the pair alone."""
+    part = ((pairs["key"] >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    some, begins = np.unique(part[order], return_index=True)
+    ordered = pairs[order]
+    return some.tolist(), [ordered[i:j].tobytes() for i, j in zip(begins, [*begins[1:], len(ordered)], strict=True)]
+
+
+def near_sets(asked: np.ndarray, held: np.ndarray, share: float) -> np.ndarray:
+    """(tag, tag) of sets that have a pair of neighbours in common and may have a Jaccard value of ``share``; held: by key."""
+    keys, marks, tags = (np.ascontiguousarray(held[c]) for c in ("key", "sketch", "tag"))
+    asked = asked[np.argsort(asked["key"])]  # places in order are found several times as fast
+    n = (asked["key"] & np.uint64(LARGEST)).astype(np.int64)
+    pair = asked["key"] & ~np.uint64(LARGEST)
+    least = np.ceil(n * share - 1e-9).astype(np.uint64)
+    largest = np.where(n == LARGEST, LARGEST, np.minimum(LARGEST, np.floor((n + 1e-9) / share))).astype(np.uint64)
+    low = np.searchsorted(keys, pair | least)
+    width = np.searchsorted(keys, pair | largest, side="right") - low
+    some = np.flatnonzero(width)
+    low, width, n, mark, tag = low[some], width[some], n[some], asked["sketch"][some], asked["tag"][some]
+    out, before = [np.empty((0, 2), dtype=np.int32)], np.concatenate([[0], np.cumsum(width)])
+    begin = 0
+    while begin < len(low):
+        end = max(begin + 1, int(np.searchsorted(before, before[begin] + NEAR_STEP, side="right")) - 1)
+        w = width[begin:end]
+        at = np.repeat(low[begin:end] - (before[begin:end] - before[begin]), w) + np.arange(before[end] - before[begin])
+        apart = np.bitwise_count(np.repeat(mark[begin:end], w) ^ marks[at])
+        near = np.flatnonzero(apart <= np.repeat(np.minimum(64, most_different(n[begin:end], np.minimum(LARGEST, np.floor(n[begin:end] / share + 1e-9)), share)), w))
+        one, at, apart = np.repeat(np.arange(begin, end), w)[near], at[near], apart[near]
+        m = (keys[at] & np.uint64(LARGEST)).astype(np.int64)
+        fit = (apart <= most_different(n[one], m, share)) | (n[one] == LARGEST) | (m == LARGEST)
+        out.append(np.unique(np.stack([tag[one[fit]], tags[at[fit]]], axis=1), axis=0))
+        begin = end
+    return np.concatenate(out)
+
+
 class Shard:
     """One shard: the index over its sets and their keys; it answers for the pairs whose first common word is in its bucket."""
 
@@ -213,6 +303,11 @@ class Shard:
         return spans, np.bincount(pair[first], weights=length[first] - pads, minlength=n).astype(np.int64)
 
 
+def _payload(uri: str) -> bytes:
+    fs, path = pyarrow.fs.FileSystem.from_uri(uri) if ":" in uri else (pyarrow.fs.LocalFileSystem(), uri)
+    return pyarrow.parquet.read_table(path, filesystem=fs, columns=["payload"]).column(0)[0].as_py()
+
+
 _loaded: dict[str, Shard] = {}
 
 
@@ -220,19 +315,17 @@ def load_shard(uri: str) -> Shard:
     """A shard from the shared folder; the last one is kept by the worker."""
     if uri not in _loaded:
         _loaded.clear()
-        fs, path = pyarrow.fs.FileSystem.from_uri(uri) if ":" in uri else (pyarrow.fs.LocalFileSystem(), uri)
-        _loaded[uri] = Shard.loads(pyarrow.parquet.read_table(path, filesystem=fs, columns=["payload"]).column(0)[0].as_py())
+        _loaded[uri] = Shard.loads(_payload(uri))
     return _loaded[uri]
 
 
-def _levels(held: DataFrame) -> np.ndarray:
-    """How common the words of each cell are among the evaluation records: 0 for none, else 1 + 1.5 log2 of their number."""
+def _levels(held: DataFrame, hashes_of: Callable[[np.ndarray, np.ndarray], np.ndarray] = lambda values, counts: values) -> np.ndarray:
+    """How common the words of each cell (or other hashes) are among the evaluation records: 0 for none, else 1 + 1.5 log2 of their number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << LEVEL_BITS, dtype=np.int64)
         for batch in batches:
-            hashes = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int64)
-            np.add.at(total, mixed(hashes, LEVEL_BITS), 1)
+            np.add.at(total, mixed(hashes_of(*_flat(batch.column(0).to_pylist())), LEVEL_BITS), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
@@ -242,11 +335,76 @@ def _levels(held: DataFrame) -> np.ndarray:
     return out
 
 
+def _flat(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(packed), dtype=np.int64), np.array([len(p) // 8 for p in packed], dtype=np.int64)
+
+
 def _packed(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
     ends = np.cumsum(counts)
     return [values[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
 
 
+_part: dict[str, np.ndarray] = {}
+
+
+def load_part(uri: str) -> np.ndarray:
+    """A part of the filter from the shared folder; the last one is kept by the worker."""
+    if uri not in _part:
+        _part.clear()
+        _part[uri] = np.frombuffer(_payload(uri), dtype=PAIR)
+    return _part[uri]
+
+
+def possible(training: DataFrame, distinct: DataFrame, numbers: Callable[[list, list], tuple[np.ndarray, np.ndarray, np.ndarray]], renumbered: Callable[[np.ndarray, np.ndarray], np.ndarray], n_pairs: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """``training`` and ``distinct`` without sets that cannot have a match, and a few more by chance of 32-bit hashes.
+
+    A match lacks at most K pairs of neighbours (see breakable), so any K + 1 pairs of a training set do as keys: those
+    that are rarest in a table of fixed size. They meet all pairs of the evaluation sets, by the hash of the pair; each
+    brings 64 parities of its set along, in which similar sets cannot differ more than in words. Each pair is looked up
+    once, in one part of about PART pairs, so the cost of the keys grows with training alone; that of the comparisons
+    grows also with the number of evaluation sets that share a rare pair. The training records are read once more.
+    """
+    sc = training.sparkSession.sparkContext
+    n_parts = -(-n_pairs // PART)
+    pair_levels = sc.broadcast(_levels(distinct.select("words"), lambda values, counts: neighbours(renumbered(values, counts), counts)[1].view(np.int64)))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, counts = _flat(batch.column(1).to_pylist())
+            part, pairs = parts_of(filter_pairs(renumbered(values, counts), counts, batch.column(0).to_numpy()), n_parts)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(pairs, pa.binary())], ["part", "pairs"])
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = np.frombuffer(b"".join(pdf["pairs"]), dtype=PAIR)
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "payload": [pairs[np.argsort(pairs["key"])].tobytes()]})
+
+    parts = distinct.select(F.hash("set_key").alias("tag"), "words").mapInArrow(held, "part bigint, pairs binary").groupBy("part").applyInPandas(build, "part bigint, payload binary")
+    index = materialise(parts, "part", partitions=n_parts, rows_a_file=1)
+    places = sc.broadcast({r["part"]: r["f"] for r in index.select("part", F.input_file_name().alias("f")).collect()})
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, counts, rows = numbers(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            tags = batch.column(0).to_numpy()[rows]
+            part, pairs = parts_of(filter_pairs(values, counts, tags, pair_levels.value, breakable(counts, share) + 1), n_parts)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(pairs, pa.binary())], ["part", "pairs"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column(0).to_pylist()
+            cuts = [0, *(i for i in range(1, len(runs)) if runs[i] != runs[i - 1]), len(runs)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if begin < end and runs[begin] in places.value:
+                    asked = np.frombuffer(b"".join(batch.column(1).slice(begin, end - begin).to_pylist()), dtype=PAIR)
+                    found = near_sets(asked, load_part(places.value[runs[begin]]), share)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["of_train", "of_held"])
+
+    asked = training.select(F.hash("id").alias("tag"), "a", "b").mapInArrow(ask, "part bigint, pairs binary")
+    near = materialise(asked.hint("rebalance", "part").sortWithinPartitions("part").mapInArrow(meet, "of_train int, of_held int"))
+    kept = [df.join(F.broadcast(near.select(F.col(c).alias("tag")).distinct()), F.hash(k) == F.col("tag"), "left_semi") for df, k, c in ((training, "id", "of_train"), (distinct, "set_key", "of_held"))]
+    return kept[0], materialise(kept[1])
+
+
 def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_col: str, train: str = "train", share: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Near-copies of evaluation records in training: (matches, members).
 
@@ -263,7 +421,10 @@ def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_
     (``n_spans``, ``span_words``), and both sets are compared in full. Maximal matches alone would not do: a set that
     shares a shorter run than another one is found through the pairs only.
 
-    One shard needs no shuffle of training. Where there are more, a set stands in the buckets of its first (rarest)
+    Beyond FILTERED distinct sets those of both sides that cannot have a match are dropped first (see possible), so that
+    the indexes and the search take in little more than the matches; nothing is decided there.
+
+    One shard needs no shuffle of training sets. Where there are more, a set stands in the buckets of its first (rarest)
     words, since two similar sets share one of those (see prefix_length); a bucket of more than SHARD sets is divided.
     Training sets are shuffled to the shards of their own first words that occur in the evaluation records at all, so
     the cost grows with training and not with training times shards, a task reads each of its shards once, and large
@@ -284,14 +445,26 @@ def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_
     members = held.select("set_key", F.col("id").alias("eval_id"))
     levels = sc.broadcast(_levels(held))
     distinct = materialise(held.groupBy("set_key").agg(F.first("words").alias("words")))
-    sized = distinct.agg(F.count(F.lit(1)), F.sum(F.floor(F.octet_length("words") / 8 * (1 - share) + 1e-9) + 1)).first()
+    training = base.where("is_train").select("id", "a", "b")
+
+    def renumbered(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return sorted_sets(word_numbers(values, levels.value), counts)
+
+    def numbers(a: list, b: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values, counts, rows = word_sets(a, b)
+        return renumbered(values, counts), counts, rows
+
+    size = (F.count(F.lit(1)), F.sum(F.floor(F.octet_length("words") / 8 * (1 - share) + 1e-9) + 1), F.sum(F.octet_length("words") / 8).cast("bigint"))
+    sized = distinct.agg(*size).first()
+    if sized[0] > FILTERED:
+        training, distinct = possible(training, distinct, numbers, renumbered, sized[2], share)
+        sized = distinct.agg(*size).first()
     n_buckets = 1 if sized[0] <= SHARD else -(-sized[1] // SHARD)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = batch.column(1).to_pylist()
-            counts = np.array([len(p) // 8 for p in packed], dtype=np.int64)
-            values = sorted_sets(word_numbers(np.frombuffer(b"".join(packed), dtype=np.int64), levels.value), counts)
+            values, counts = _flat(batch.column(1).to_pylist())
+            values = renumbered(values, counts)
             own, bucket = routes(values, counts, share, n_buckets) if n_buckets > 1 else (np.arange(len(counts)), np.zeros(len(counts), dtype=np.int64))
             packed = _packed(values, counts)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0).take(pa.array(own)), pa.array([packed[i] for i in own], pa.binary())], ["bucket", "set_key", "words"])
@@ -322,8 +495,8 @@ def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_
             )
 
     def numbers_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        values, counts, rows = word_sets(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-        return sorted_sets(word_numbers(values, levels.value), counts), counts, batch.column(0).take(pa.array(rows))
+        values, counts, rows = numbers(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+        return values, counts, batch.column(0).take(pa.array(rows))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,7 +524,6 @@ def split_overlap(records: DataFrame, id_col: str, left: str, right: str, split_
                     yield from found(load_shard(runs[begin]), batch.column(1).slice(begin, end - begin), np.frombuffer(b"".join(packed), dtype=np.int64), counts)
 
     schema = f"train_id {id_type}, set_key binary, common bigint, jaccard double, n_spans bigint, span_words bigint"
-    training = base.where("is_train").select("id", "a", "b")
     if n_buckets == 1:
         return training.mapInArrow(stream, schema), members
     placed = training.mapInArrow(spread, f"uri string, id {id_type}, words binary").hint("rebalance", "uri").sortWithinPartitions("uri")

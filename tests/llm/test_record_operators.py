@@ -146,6 +146,59 @@ def test_split_overlap_in_several_shards(spark, rows, monkeypatch):
         assert set(found) == expected_overlap(rows, share)
 
 
+@pytest.mark.parametrize("shard", [20, 150_000])
+def test_split_overlap_filtered(spark, rows, monkeypatch, shard):
+    from bitloom.llm import split_overlap as module
+
+    for name, value in (("FILTERED", 5), ("PART", 100), ("NEAR_STEP", 30), ("SHARD", shard)):
+        monkeypatch.setattr(module, name, value)
+    found = [(r.pair_id_a, r.pair_id_b) for r in overlap_pairs(frame(spark, rows), "pair_id", "hun", "eng", "split").collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == expected_overlap(rows)
+
+
+def test_sets_without_a_match_are_not_searched(spark, monkeypatch):
+    from bitloom.llm import split_overlap as module
+
+    rng = random.Random(12)
+    texts = [[f"w{rng.randrange(150)}" for _ in range(20)] for _ in range(600)]
+    table = [(i, " ".join(w[:10]), " ".join(w[10:]), "train" if i % 3 else "test") for i, w in enumerate(texts)]
+    table += [(1000 + i, " ".join(texts[i][:10]), " ".join([*texts[i][10:], "new"]), "train") for i in range(0, 60, 3)]
+    seen, possible = [], module.possible
+
+    def spy(*args):
+        out = possible(*args)
+        seen.extend((df.count() for df in (*args[:2], *out)))
+        return out
+
+    monkeypatch.setattr(module, "possible", spy)
+    monkeypatch.setattr(module, "FILTERED", 5)
+    df = spark.createDataFrame(table, "pair_id bigint, hun string, eng string, split string")
+    found = {(r.pair_id_a, r.pair_id_b) for r in overlap_pairs(df, "pair_id", "hun", "eng", "split").collect()}
+    assert found == expected_overlap(table) and len(found) >= 20
+    assert seen[:2] == [420, 200]
+    assert all(20 <= n < 60 for n in seen[2:])
+
+
+@pytest.mark.parametrize("share", [0.8, 0.9])
+def test_near_sets_keep_every_match(share):
+    from bitloom.llm import split_overlap as module
+
+    rng = random.Random(13)
+    number = lambda w: (1 + w % 60) << module.HASH_BITS | w * 7919
+    held = [sorted(map(number, rng.sample(range(1, 200), rng.randint(1, 40)))) for _ in range(150)] + [sorted(map(number, range(1, 5001)))]
+    asked = [sorted({*rng.sample(h, max(1, len(h) - rng.randint(0, len(h) // 5))), *map(number, rng.sample(range(1, 200), rng.randint(0, len(h) // 8)))}) for h in held]
+    asked += [sorted(map(number, rng.sample(range(1, 200), 30))) for _ in range(300)]
+    sides = []
+    for sets, most in ((asked, True), (held, False)):
+        values, counts = np.array([w for s in sets for w in s], dtype=np.int64), np.array([len(s) for s in sets])
+        levels = np.zeros(1 << module.LEVEL_BITS, dtype=np.uint8)
+        sides.append(module.filter_pairs(values, counts, np.arange(len(sets), dtype=np.int32), *((levels, breakable(counts, share) + 1) if most else ())))
+    got = set(map(tuple, module.near_sets(sides[0], np.sort(sides[1], order="key"), share).tolist()))
+    want = {(i, j) for i, a in enumerate(asked) for j, b in enumerate(held) if len({*a} & {*b}) >= share * len({*a} | {*b}) - 1e-9}
+    assert want <= got and len(got) < len(want) + 300
+
+
 def test_maximal_matches_and_merged_spans():
     rng = random.Random(9)
     held = [sorted(rng.sample(range(1, 60), rng.randint(1, 25))) for _ in range(80)]
